@@ -121,9 +121,9 @@ def p1_found(spark: SparkSession, sf_dir: str, share: int = 50) -> DataFrame:
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
     records = materialize(records)
-    total = records.select(F.floor(F.count("*") / share).alias("capacity"))
+    capacity = records.count() // share
     repos = records.select(F.explode("contributors").alias("contributor")).distinct()
-    out = cap_contributors(records, repos.crossJoin(F.broadcast(total)))
+    out = cap_contributors(records, repos.withColumn("capacity", F.lit(capacity).cast("bigint")))
     return out.where("displaced_by is not null").select(F.col("id").alias("data_id"))
 
 

@@ -138,13 +138,12 @@ def p6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     A card's trust is its support_count + 1; votes halve every 30 days before the newest card.
     """
     cards = spark.read.parquet(f"{sf_dir}/purpose_index.parquet")
-    newest = cards.agg(F.max("indexed_at").alias("_newest"))  # one row
-    cards = cards.crossJoin(F.broadcast(newest))
+    newest = F.lit(cards.agg(F.max("indexed_at")).first()[0]).cast("timestamp")
     me, at = F.col("card_id"), F.col("indexed_at")
     text = {c: FieldVote(strip(F.col(c)), F.lit(1), F.lower(strip(F.col(c)))) for c in TEXTS}
     lists = {c: FieldVote(F.array_join(F.col(c), "\n"), F.lit(1)) for c in LISTS}
     trust = F.col("support_count") + 1
-    return survivors(cards, purpose_key(), me, at, text | lists, trust, recency(at, F.col("_newest"), 30.0)).select(
+    return survivors(cards, purpose_key(), me, at, text | lists, trust, recency(at, newest, 30.0)).select(
         F.col("group").alias("purpose"), *text, *lists
     )
 
