@@ -34,6 +34,9 @@ ROWS, BANDS = 3, 48
 STEP = 16
 TOLERANCE = 1e-5
 BATCH_WORDS = 200_000
+#: bytes kept of a shingle's hash; two sets of a thousand shingles meet by chance once in 3e8 pairs
+WIDTH = 6
+_LOW = np.uint64((1 << 8 * WIDTH) - 1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,6 +51,16 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view(np.uint64).ravel()
+
+
 def shingle_sets(words: list[list[str]], size: int, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts behind one another, and the number of each text."""
     if len(cache) > 1_000_000:
@@ -63,7 +76,7 @@ def shingle_sets(words: list[list[str]], size: int, cache: dict[str, int]) -> tu
     for i in range(size):
         total = _mixed(total * _M + hashes[i : i + n])
     inside = owner[: len(total)] == owner[size - 1 :]
-    owner, total = owner[: len(total)][inside], total[inside]
+    owner, total = owner[: len(total)][inside], total[inside] & _LOW
     order = np.lexsort((total, owner))
     owner, total = owner[order], total[order]
     keep = np.ones(len(total), bool)
@@ -76,8 +89,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[
 
     def block(ids: list[str], words: list[list[str]]) -> pa.RecordBatch:
         flat, counts = shingle_sets(words, size, cache)
-        raw = flat.tobytes()
-        ends = np.concatenate([[0], np.cumsum(counts)]) * 8
+        raw = packed(flat)
+        ends = np.concatenate([[0], np.cumsum(counts)]) * WIDTH
         sets = [raw[a:b] for a, b in zip(ends, ends[1:])]
         keys = [xxhash.xxh3_128_digest(s) for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["id", "key", "shingles"])
@@ -98,45 +111,39 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[
         yield block(ids, texts)
 
 
-def minhashes(sets: list[bytes], n: int) -> np.ndarray:
-    """n MinHash values (32 bits) of every set of hashes; the sets are not empty."""
-    flat = np.frombuffer(b"".join(sets), np.uint64)
-    sizes = np.array([len(s) // 8 for s in sets])
+def minhashes(flat: np.ndarray, sizes: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The MinHash values (32 bits) first to last of every set; the sets are not empty."""
     starts = np.cumsum(sizes) - sizes
-    a, b = multipliers(n)
-    out = np.empty((len(sets), n), np.uint32)
-    for i in range(n):
-        values = ((flat * a[i] + b[i]) >> np.uint64(32)).astype(np.uint32)
-        out[:, i] = np.minimum.reduceat(values, starts)
+    a, b = multipliers(last)
+    out = np.empty((len(sizes), last - first), np.uint32)
+    for i in range(first, last):
+        out[:, i - first] = np.minimum.reduceat(((flat * a[i] + b[i]) >> np.uint64(32)).astype(np.uint32), starts)
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers the classes: the number is (task, count), fixed once the table is written."""
-    task, count = TaskContext.get().partitionId() << 40, 0
+    count = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = part.column(1).to_pylist()
-            signature = minhashes(sets, rows * bands)
-            numbers = np.arange(task + count, task + count + len(sets))
-            count += len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([s.tobytes() for s in signature], pa.binary()), pa.array(numbers)],
-                names=["key", "shingles", "signature", "class"],
-            )
+        numbers = pa.array(np.arange(count, count + batch.num_rows), pa.int64())
+        count += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, numbers], names=["key", "shingles", "class"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-        for band in range(bands):
-            total = np.full(batch.num_rows, band, np.uint64)
-            for i in range(rows):
-                total = _mixed(total * _M + signature[:, band * rows + i])
-            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), batch.column(0)], names=["bucket", "class"])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = part.column(1).to_pylist()
+            sizes = np.array([len(s) // WIDTH for s in sets])
+            signature = minhashes(unpacked(b"".join(sets)), sizes, 0, rows * bands)
+            for band in range(bands):
+                total = np.full(len(sets), band, np.uint64)
+                for i in range(rows):
+                    total = _mixed(total * _M + signature[:, band * rows + i])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(total.view(np.int64)), part.column(0)], names=["bucket", "class"]
+                )
 
 
 def least_matches(threshold: float, tolerance: float, n: int) -> int:
@@ -150,33 +157,34 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
     return n + 1
 
 
-def _pruned(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    limits: dict[int, int] = {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-        left, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-        for n in range(STEP, a.shape[1] + 1, STEP):
-            matches[left] += (a[left, n - STEP : n] == b[left, n - STEP : n]).sum(axis=1)
-            if n not in limits:
-                limits[n] = least_matches(threshold, tolerance, n)
-            left = left[matches[left] >= limits[n]]
-        rows = pa.array(left)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _linked(
+    batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float, most: int
+) -> Iterator[pa.RecordBatch]:
+    """Bayesian pruning in steps of STEP values, each step computed only for the pairs that are left."""
+    limits = {n: least_matches(threshold, tolerance, n) for n in range(STEP, most + 1, STEP)}
     for batch in batches:
         kept, scores = [], []
-        for row, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            # in whole numbers where the threshold is a short decimal
-            either = len(x) + len(y) - both
-            if both * 1_000_000 >= round(threshold * 1_000_000) * either:
-                kept.append(row)
-                scores.append(both / either)
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            sets = [[unpacked(x) for x in part.column(i).to_pylist()] for i in (2, 3)]
+            left, matches = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
+            for n, least in limits.items():
+                if not len(left):
+                    break
+                a, b = (
+                    minhashes(np.concatenate([s[i] for i in left]), np.array([len(s[i]) for i in left]), n - STEP, n)
+                    for s in sets
+                )
+                matches[left] += (a == b).sum(axis=1)
+                left = left[matches[left] >= least]
+            for i in left.tolist():
+                x, y = sets[0][i], sets[1][i]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                # in whole numbers, the threshold is a short decimal
+                either = len(x) + len(y) - both
+                if both * 1_000_000 >= round(threshold * 1_000_000) * either:
+                    kept.append(at + i)
+                    scores.append(both / either)
         rows = pa.array(kept, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(scores, pa.float64())],
@@ -202,25 +210,16 @@ def near_duplicates(
     texts = df.where(F.col(text).isNotNull()).select(F.col(record_id).alias("id"), text)
     sets = materialize(texts.mapInArrow(lambda it: _sets(it, shingle, min_words), "id string, key binary, shingles binary"))
     distinct = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    classes = materialize(
-        distinct.mapInArrow(
-            lambda it: _signed(it, rows, bands), "key binary, shingles binary, signature binary, class bigint"
-        )
-    )
+    classes = materialize(distinct.mapInArrow(_numbered, "key binary, shingles binary, class bigint"))
     members = sets.select("id", "key").join(classes.select("key", "class"), "key").select("id", "class").distinct()
-    buckets = classes.select("class", "signature").mapInArrow(
-        lambda it: _banded(it, rows, bands), "bucket bigint, class bigint"
-    )
+    own = classes.select("class", "shingles")
+    buckets = own.mapInArrow(lambda it: _banded(it, rows, bands), "bucket bigint, class bigint")
     one, other = buckets.toDF("bucket", "a"), buckets.toDF("bucket", "b")
     pairs = materialize(one.join(other, "bucket").where("a < b").select("a", "b").distinct())
-    signatures = classes.select("class", "signature")
-    compared = (
-        pairs.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    whole = pairs.join(own.toDF("a", "xa"), "a").join(own.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    links = whole.mapInArrow(
+        lambda it: _linked(it, threshold, tolerance, rows * bands), "a bigint, b bigint, similarity double"
     )
-    likely = materialize(compared.mapInArrow(lambda it: _pruned(it, threshold, tolerance), "a bigint, b bigint"))
-    sizes = classes.select("class", "shingles")
-    whole = likely.join(sizes.toDF("a", "xa"), "a").join(sizes.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    links = whole.mapInArrow(lambda it: _verified(it, threshold), "a bigint, b bigint, similarity double")
     return materialize(members), materialize(links)
 
 
