@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = "caps survivors encoding leaks spans neardups parsing splitting secrets".split()
+MODULES = "caps survivors encoding leaks spans neardups parsing splitting secrets handwritten".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
