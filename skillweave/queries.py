@@ -1,10 +1,515 @@
-"""Queries of the core operators and their SQL, for the driver's entry module."""
+"""Queries of the core operators and their SQL, for the driver's entry module.
+
+The records of the purpose view are the cards of purpose_index with the symbol and repository of the unit that
+represents them; the pipeline's model answers are read off the tables, so that SQL can give them too.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skillweave.functions import guards, normalize, text
+from skillweave.functions import purpose as P
+from skillweave.functions.vocab import (
+    CAPABILITY_TAGS,
+    FAMILY_HINTS,
+    GENERIC_NOUNS,
+    INTENT_VERBS,
+    LANGUAGES,
+    LIFECYCLE,
+    SCORES,
+    SECRET_MARKERS,
+    STOPWORDS,
+    TASK_FAMILIES,
+    VERB_ALIASES,
+)
+from skillweave.operators import decisions, purpose_index, selection
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str = "") -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ SQL fragments
+
+_SPACES = " || ".join(f"chr({x})" for x in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NL = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _bounded(c: str, n: int) -> str:
+    return f"coalesce(array_to_string(list_filter(regexp_split_to_array({c}, '{_WS}+'), lambda w: w != '')[1:{n}], ' '), '')"
+
+
+def _items(c: str) -> str:
+    return f"list_filter(list_transform(coalesce({c}, []), lambda y: trim(coalesce(y, 'None'), {_SPACES})), lambda y: y != '')"
+
+
+_ALIASES = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in sorted(VERB_ALIASES.items())) + "}"
+
+
+def _tokens(c: str) -> str:
+    camel = rf"lower(regexp_replace(coalesce({c}, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'))"
+    found = f"list_filter(regexp_extract_all({camel}, '[A-Za-z][A-Za-z0-9]*'), lambda t: length(t) > 1 and t not in {_in(STOPWORDS)})"
+    return f"list_transform({found}, lambda t: coalesce({_ALIASES}[t], t))"
+
+
+_TEST = (
+    "(contains(p, '/tests/') or contains(p, '/test/') or starts_with(b, 'test_') or ends_with(b, '_test.py') or ends_with(b, '.spec.ts') "
+    "or ends_with(b, '.spec.js') or ends_with(b, '.test.ts') or ends_with(b, '.test.js'))"
+)
+_PATH = "select *, '/' || lower(replace(relative_path, '\\', '/')) as p, regexp_extract(lower(replace(relative_path, '\\', '/')), '[^/]*$') as b from source_unit"
+_MARKER = "case " + " ".join(f"when regexp_matches(code, '{p}') then '{n}'" for n, p in SECRET_MARKERS) + " end"
+_SUFFIX = r"lower(regexp_extract(regexp_extract(relative_path, '[^/]*$'), '[^.].*?(\.[^.]+)$', 1))"
+_LANGUAGE = (
+    f"case when {_SUFFIX} = '' then 'text' else coalesce(map {{" + ", ".join(f"'{k}': '{v}'" for k, v in LANGUAGES.items())
+    + f"}}[{_SUFFIX}], ltrim({_SUFFIX}, '.')) end"
+)
+
+
+# ------------------------------------------------------------------ scanning and guards
+
+
+@query("select distinct data_id, substr(sha1(concat_ws('|', repo_name, relative_path, symbol, line_start, line_end, coalesce(code, ''))), 1, 20) as unit_id from source_unit")
+def unit_data_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content-addressed id of every unit, recomputed."""
+    own = guards.unit_id(*[F.col(c) for c in "repo_name relative_path symbol line_start line_end".split()], F.coalesce("code", F.lit("")))
+    return table(spark, sf_dir, "source_unit").select("data_id", own.alias("unit_id")).distinct()
+
+
+@query(f"select distinct relative_path, {_LANGUAGE} as language from source_unit")
+def language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_unit").select("relative_path", guards.language(F.col("relative_path")).alias("language")).distinct()
+
+
+@query(f"select distinct test_path, {_TEST} as is_test from (select *, relative_path || suffix as test_path, '/' || lower(relative_path || suffix) as p, regexp_extract(lower(relative_path || suffix), '[^/]*$') as b from source_unit, (values (''), ('/tests/x.py'), ('_test.py'), ('.spec.ts')) v(suffix))")
+def test_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test paths among the units' paths, and among paths made from them."""
+    ends = F.explode(F.array(*map(F.lit, ["", "/tests/x.py", "_test.py", ".spec.ts"])))
+    paths = table(spark, sf_dir, "source_unit").select("relative_path", ends.alias("suffix"))
+    path = F.concat("relative_path", "suffix")
+    return paths.select(path.alias("test_path"), guards.is_test_path(path).alias("is_test")).distinct()
+
+
+@query(f"select coalesce({_MARKER}, 'none') as marker, count(*) as n from source_unit where code is not null group by all")
+def secret_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "source_unit").where("code is not null")
+    return units.groupBy(F.coalesce(guards.secret_marker(F.col("code")), F.lit("none")).alias("marker")).agg(F.count("*").alias("n"))
+
+
+@query(f"select data_id, case when {_TEST} then 'test_file' when strlen(code) > 8000 then 'file_too_large' when {_MARKER} is not null then 'secret_marker:' || {_MARKER} else 'kept' end as outcome from ({_PATH}) where code is not null group by all")
+def file_guard_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first guard that each text fails; the size limit is lowered so that all guards occur."""
+    units = table(spark, sf_dir, "source_unit").where("code is not null")
+    reason = guards.skip_reason(F.col("relative_path"), F.octet_length("code"), F.col("code"), 8000)
+    return units.select("data_id", F.coalesce(reason, F.lit("kept")).alias("outcome")).distinct()
+
+
+@query(rf"select doc_id, case when text = '' then 0 else len(regexp_split_to_array(text, '{_NL}')) - case when regexp_matches(text, '(?s)(?:{_NL})\z') then 1 else 0 end end as lines from documents where text is not null")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", text.line_count(F.col("text")).cast("bigint").alias("lines"))
+
+
+@query("select data_id, lower(regexp_extract(relative_path, '[^/]*$')) in ('main.py', 'main.go', 'main.rs', 'cli.py', 'index.js', 'index.ts') or contains(code, '__name__ == \"__main__\"') or contains(code, 'public static void main') as entrypoint from source_unit where code is not null and unit_type in ('file', 'command_entrypoint') group by all")
+def entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which whole files start a program."""
+    files = table(spark, sf_dir, "source_unit").where("code is not null and unit_type in ('file', 'command_entrypoint')")
+    return files.select("data_id", guards.is_entrypoint(F.col("relative_path"), F.col("code")).alias("entrypoint")).distinct()
+
+
+@query("select coalesce(repo_name, '') as repo_name, coalesce(reason, 'none') as reason, count(*) as n, count(distinct path) as paths from skipped_file group by all")
+def scan_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skipped = table(spark, sf_dir, "skipped_file").groupBy(F.coalesce("repo_name", F.lit("")).alias("repo_name"), F.coalesce("reason", F.lit("none")).alias("reason"))
+    return skipped.agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
+
+
+# ------------------------------------------------------------------ parsing
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillweave.operators.parsing import parse_files
+
+    files = table(spark, sf_dir, "source_unit").where("code is not null and unit_type in ('file', 'command_entrypoint')")
+    files = files.select("repo_name", F.coalesce("repo_path", F.lit("")).alias("repo_path"), "relative_path", F.col("code").alias("content"))
+    return parse_files(files.distinct())
+
+
+@query()
+def parsed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All units of the whole files among the table's units (functions, methods, files and their chunks)."""
+    return _parsed(spark, sf_dir).drop("parser_metadata")
+
+
+@query()
+def chunked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of over-long units, with a limit that cuts many."""
+    from skillweave.operators.parsing import parse_files
+
+    files = table(spark, sf_dir, "source_unit").where("code is not null and unit_type in ('file', 'command_entrypoint')")
+    files = files.select("repo_name", F.coalesce("repo_path", F.lit("")).alias("repo_path"), "relative_path", F.col("code").alias("content"))
+    units = parse_files(files.distinct(), max_unit_bytes=1000).where("unit_type like '%_chunk'")
+    return units.select("data_id", "symbol", "line_start", "line_end", "parser_metadata.chunk_index", "parser_metadata.chunk_count")
+
+
+# ------------------------------------------------------------------ normalisation
+
+
+@query(f"select doc_id, {_bounded('text', 60)} as words from documents")
+def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.bounded(F.col("text"), 60).alias("words"))
+
+
+_LISTED = f"list_filter(list_transform(coalesce(workflow, []), lambda y: {_bounded('y', 3)}), lambda y: y != '')"
+
+
+@query(f"with c as (select distinct card_id, {_LISTED} as items from purpose_index) select card_id, array_to_string([y for y, i in list_zip(items, range(1, len(items) + 1)) if false], '|') as items from c".replace("[y for y, i in list_zip(items, range(1, len(items) + 1)) if false]", "list_filter(items, lambda y, i: list_position(items, y) = i)[1:4]"))
+def norm_string_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most four different items of three words, in first-seen order."""
+    cards = table(spark, sf_dir, "purpose_index")
+    return cards.select("card_id", F.array_join(text.bounded_list(F.col("workflow"), 4, 3), "|").alias("items")).distinct()
+
+
+_CLAMP = "case when {0} is null or isnan({0}) then 0.0 else least(1.0, greatest(0.0, {0})) end"
+
+
+@query("select distinct tag_id, " + ", ".join(f"{_CLAMP.format(s + '_score')} as {s}" for s in SCORES) + " from source_unit_tag")
+def norm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "source_unit_tag")
+    return tags.select("tag_id", *[normalize.clamp(F.col(f"{s}_score")).alias(s) for s in SCORES]).distinct()
+
+
+_SNAKE = "translate(lower({0}), '- ', '__')"
+
+
+@query(f"select distinct card_id, case when {_SNAKE.format(_bounded('task_family', 3))} in {_in(TASK_FAMILIES)} then {_SNAKE.format(_bounded('task_family', 3))} else 'workflow' end as family from purpose_index")
+def closed_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = table(spark, sf_dir, "purpose_index")
+    v = F.try_parse_json(F.to_json(F.struct("task_family")))
+    family = normalize.closed(normalize.field(v, "task_family"), TASK_FAMILIES, "workflow")
+    return cards.select("card_id", family.alias("family")).distinct()
+
+
+_CANDIDATES = f"list_filter(list_transform(list_concat(coalesce(selection_tags, []), ['Validate-Input', 'fail fast', 'fail-fast', 'junk', 'Retry Backoff']), lambda y: {_bounded('y', 5)}), lambda y: y != '')"
+_DISTINCT = "list_filter({0}, lambda y, i: list_position({0}, y) = i)"
+
+
+@query(f"with a as (select distinct tag_id, {_CANDIDATES} as c from source_unit_tag), b as (select tag_id, list_filter(list_transform({_DISTINCT.format('c')}[1:4], lambda y: {_SNAKE.format('y')}), lambda y: y in {_in(CAPABILITY_TAGS)}) as k from a) select tag_id, array_to_string({_DISTINCT.format('k')}[1:2], ',') as tags from b")
+def closed_vocab_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two vocabulary words among the first four candidates."""
+    own = F.concat(F.coalesce("selection_tags", F.array().cast("array<string>")), F.array(*map(F.lit, ["Validate-Input", "fail fast", "fail-fast", "junk", "Retry Backoff"])))
+    tags = table(spark, sf_dir, "source_unit_tag").select("tag_id", own.alias("tags"))
+    v = F.try_parse_json(F.to_json(F.struct("tags")))
+    return tags.select("tag_id", F.array_join(normalize.closed_list(normalize.field(v, "tags"), CAPABILITY_TAGS, 2), ",").alias("tags")).distinct()
+
+
+@query("select event_id, try_cast(props::json->>'k' as bigint) as k, '' as error from events")
+def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects out of answers that are bare, fenced or amid other text."""
+    events = table(spark, sf_dir, "events")
+    way = F.col("event_id") % 4
+    answer = (
+        F.when(way == 0, F.col("props")).when(way == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
+        .when(way == 2, F.concat(F.lit("Here it is: "), "props", F.lit(" - done"))).otherwise(F.concat(F.lit("  "), "props", F.lit("\n")))
+    )
+    own = normalize.with_object(events.select("event_id", answer.alias("answer")), "answer")
+    k = F.try_variant_get(normalize.payload(F.col("object")), "$.k", "bigint")
+    return own.select("event_id", k.alias("k"), F.col("object_error").alias("error"))
+
+
+@query(f"select doc_id, trim(text, {_SPACES}) as inside from documents where text is not null and not contains(text, '```')")
+def strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null and not contains(text, '```')")
+    wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n```python\n"), "text", F.lit("\n```  "))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.code_fence_stripped(wrapped).alias("inside"))
+
+
+@query(
+    "with c as (select distinct card_id, " + ", ".join(f"{_bounded(c, n)} as {c}" for c, n in (("transfer_title", 12), ("transfer_summary", 60)))
+    + f", {_SNAKE.format(_bounded('task_family', 3))} as fam from purpose_index) "
+    "select card_id, sha256('{\"canonical_fingerprint\":\"\",\"capability_tags\":[],\"constraint_tags\":[],\"custom_tags\":[],\"domain_hints\":[],\"failure_modes\":[],"
+    "\"interaction_pattern\":\"single_step\",\"notes\":\"\",\"retrieval_phrases\":[],\"success_signal\":\"\",\"success_tags\":[],\"task_family\":\"' || "
+    f"case when fam in {_in(TASK_FAMILIES)} then fam else 'workflow' end || '\",\"transfer_summary\":' || to_json(transfer_summary) || ',\"transfer_title\":' || to_json(transfer_title) || ',\"when_to_use\":\"\"}}') as fingerprint from c"
+)
+def features_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of cards of which only family, title and summary are known."""
+    cards = table(spark, sf_dir, "purpose_index")
+    v = F.try_parse_json(F.to_json(F.struct("task_family", "transfer_title", "transfer_summary")))
+    return cards.select("card_id", normalize.features(v)["canonical_fingerprint"].alias("fingerprint")).distinct()
+
+
+# ------------------------------------------------------------------ selection
+
+_LAST_TAG = (
+    "select data_id, coalesce(keep_for_extraction, false) as keep, (" + " + ".join(_CLAMP.format(s + "_score") for s in SCORES)
+    + ") / 6.0 as mean from (select *, row_number() over (partition by data_id order by tagged_at desc, tag_id desc) as n from source_unit_tag) where n = 1"
+)
+_ONE_UNIT = "select data_id, min(coalesce(repo_path, '')) as repo_path, min(repo_name) as repo_name, min(relative_path) as relative_path, min(symbol) as symbol from source_unit group by data_id"
+
+
+def last_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """data_id, keep, mean of every unit's latest tag, with its scores normalised."""
+    scores = [F.col(f"{s}_score") for s in SCORES]
+    tags = table(spark, sf_dir, "source_unit_tag").groupBy("data_id").agg(
+        F.max_by(F.struct("keep_for_extraction", *scores), F.struct("tagged_at", "tag_id")).alias("t")
+    )
+    mean = selection.mean_score([normalize.clamp(F.col(f"t.{s}_score")) for s in SCORES])
+    return tags.select("data_id", F.coalesce("t.keep_for_extraction", F.lit(False)).alias("keep"), mean.alias("mean"))
+
+
+def one_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["repo_name", "relative_path", "symbol"]
+    return table(spark, sf_dir, "source_unit").groupBy("data_id").agg(
+        F.min(F.coalesce("repo_path", F.lit(""))).alias("repo_path"), *[F.min(c).alias(c) for c in names]
+    )
+
+
+@query(f"select data_id, mean, keep and mean >= 0.5 as passes from ({_LAST_TAG})")
+def tag_mean_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_tags(spark, sf_dir).select("data_id", "mean", selection.passes_selection(F.col("keep"), F.col("mean")).alias("passes"))
+
+
+_CAPPED = (
+    f"select u.*, t.mean, row_number() over (partition by u.repo_path order by t.mean desc, u.data_id) <= 20 as selected "
+    f"from ({_ONE_UNIT}) u join ({_LAST_TAG}) t using (data_id) where t.keep and t.mean >= 0.5"
+)
+
+
+def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = last_tags(spark, sf_dir).where(selection.passes_selection(F.col("keep"), F.col("mean")))
+    return selection.repository_cap(one_unit(spark, sf_dir).join(tags, "data_id"), k=20)
+
+
+@query(f"select data_id, repo_path, mean, selected from ({_CAPPED})")
+def repo_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-repository cap, lowered to 20 so that it bites."""
+    return capped(spark, sf_dir).select("data_id", "repo_path", "mean", "selected")
+
+
+@query("select distinct card_id, coalesce(support_count > 1, false) and representative_score >= 0.45 as passes from purpose_index where representative_score is not null")
+def skill_value_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = table(spark, sf_dir, "purpose_index").where("representative_score is not null")
+    passes = selection.passes_value(F.col("support_count") > 1, F.col("representative_score"))
+    return cards.select("card_id", passes.alias("passes")).distinct()
+
+
+# ------------------------------------------------------------------ decisions with a scripted model
+
+
+def _byte(hexes: Column, at: int) -> Column:
+    return F.conv(F.substring(hexes, at, 2), 16, 10).cast("int")
+
+
+def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The input of the decision: tags from the table, the other stages' answers from the digits of data_id."""
+    units = one_unit(spark, sf_dir).join(last_tags(spark, sf_dir), "data_id", "left")
+    rank = capped(spark, sf_dir).select("data_id", "selected")
+    own = units.join(rank, "data_id", "left")
+    a, b, c, d = (_byte(F.col("data_id"), i) for i in (1, 3, 5, 7))
+    empty = F.array().cast("array<string>")
+    tag = F.struct(F.col("keep").alias("keep_for_extraction"), *[F.col("mean").alias(f"{s}_score") for s in SCORES])
+    skill = F.struct((a >= 20).alias("worth_extracting"), (a / 256.0).alias("skill_value_score"), F.concat(F.lit("skill "), "symbol").alias("summary"))
+    return own.select(
+        "data_id", "repo_name", "relative_path", "symbol", F.coalesce("selected", F.lit(False)).alias("selected"),
+        F.when(F.col("mean").isNotNull(), tag).alias("source_tag"), skill.alias("skill"),
+        F.struct(F.lit("code").alias("code"), F.lit(True).alias("output_valid"), empty.alias("validation_notes")).alias("reconstruction"),
+        F.struct((b < 128).alias("equivalent"), F.concat(F.lit("judge "), b.cast("string")).alias("reason")).alias("equivalence"),
+        F.when(b >= 128, F.struct((c < 128).alias("keep"), F.concat(F.lit("adjudicator "), c.cast("string")).alias("reason"))).alias("adjudication"),
+        F.when(d >= 10, F.struct(F.lit("validation").alias("task_family"), F.concat(F.lit("title "), "symbol").alias("transfer_title"))).alias("retrieval"),
+        F.lit("").alias("tag_error"), F.when(a == 255, F.lit("no answer")).otherwise(F.lit("")).alias("stage_error"),
+        F.when(d < 10, F.lit("no answer")).otherwise(F.lit("")).alias("feature_error"),
+    )
+
+
+_HEX = "(16 * (strpos('0123456789abcdef', substr(data_id, {0}, 1)) - 1) + strpos('0123456789abcdef', substr(data_id, {0} + 1, 1)) - 1)"
+# the decision's threshold is met by the mean of six equal scores, added up again
+_DECIDED = f"""
+select u.data_id, u.repo_name, u.relative_path, u.symbol, a, b, c, d,
+  case when t.mean is null then 'tagging_error'
+       when not t.keep or (t.mean + t.mean + t.mean + t.mean + t.mean + t.mean) / 6.0 < 0.5 then 'source_unit_selection_gate'
+       when not coalesce(r.selected, false) then 'per_repository_cap' when a = 255 then 'pipeline_error'
+       when a < 20 or a / 256.0 < 0.45 then 'skill_value_gate' when b < 128 then 'equivalent'
+       when c < 128 then 'kept' else 'dropped' end as k
+from (select *, {_HEX.format(1)} as a, {_HEX.format(3)} as b, {_HEX.format(5)} as c, {_HEX.format(7)} as d from ({_ONE_UNIT})) u
+left join ({_LAST_TAG}) t using (data_id) left join ({_CAPPED}) r using (data_id)
+"""
+_DECISION = f"""
+select data_id, repo_name, relative_path, symbol, k in ('equivalent', 'kept') as accepted,
+  case when k in ('tagging_error', 'source_unit_selection_gate', 'per_repository_cap') then 'source_tagging' when k = 'pipeline_error' then 'error'
+       when k = 'skill_value_gate' then 'extraction' when k = 'equivalent' then 'equivalence' else 'adjudication' end as decision_stage,
+  case k when 'equivalent' then 'equivalence' when 'kept' then 'adjudication' else '' end as accepted_stage,
+  case when k = 'equivalent' then 'judge ' || b when k in ('kept', 'dropped') then 'adjudicator ' || c else k end as rationale,
+  case when k = 'pipeline_error' then 'no answer' when k in ('equivalent', 'kept') and d < 10 then 'feature_tagging_error:no answer' else '' end as error,
+  d, b
+from ({_DECIDED})
+"""
+
+
+@query(f"select * exclude (d, b) from ({_DECISION})")
+def accept_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit's one decision under the scripted model."""
+    cols = "data_id repo_name relative_path symbol accepted decision_stage accepted_stage rationale error".split()
+    return decisions.decide(scripted(spark, sf_dir)).select(*cols)
+
+
+@query(f"select count(*) filter (where accepted) as accepted_records, count(*) filter (where not accepted) as rejected_records, count(*) filter (where accepted and d >= 10) as retrieval_records from ({_DECISION})")
+def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.decision_counts(decisions.decide(scripted(spark, sf_dir)))
+
+
+@query(f"select data_id, accepted_stage, rationale, accepted_stage = 'equivalence' as shows_code, b >= 128 as adjudicated, d >= 10 as has_retrieval from ({_DECISION}) where accepted")
+def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = decisions.accepted_records(decisions.decide(scripted(spark, sf_dir)))
+    present = lambda c: F.col(c).isNotNull()
+    return own.select("data_id", "accepted_stage", "rationale", present("reconstruction").alias("shows_code"), present("adjudication").alias("adjudicated"), present("retrieval").alias("has_retrieval"))
+
+
+@query(f"select data_id, repo_name, relative_path, symbol, 'validation' as task_family, 'title ' || symbol as transfer_title from ({_DECISION}) where accepted and d >= 10")
+def retrieval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.retrieval_records(decisions.decide(scripted(spark, sf_dir)))
+
+
+@query("select coalesce(decision_stage, '') as decision_stage, coalesce(accepted_stage, '') as accepted_stage, count(distinct data_id) as units, count(distinct data_id) filter (where accepted) as accepted from unit_decision group by all")
+def decision_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "unit_decision")
+    keys = [F.coalesce(c, F.lit("")).alias(c) for c in ("decision_stage", "accepted_stage")]
+    return d.groupBy(*keys).agg(F.countDistinct("data_id").alias("units"), F.countDistinct(F.when(F.col("accepted"), F.col("data_id"))).alias("accepted"))
+
+
+# ------------------------------------------------------------------ the purpose view
+
+
+def purpose_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat skill records: a card's texts with the symbol and repository of the unit that stands for it."""
+    cards = table(spark, sf_dir, "purpose_index").dropDuplicates(["card_id"])
+    units = one_unit(spark, sf_dir).select("data_id", "repo_name", "symbol")
+    own = cards.join(units, cards.representative_data_id == units.data_id).drop("data_id")
+    level = F.element_at(F.map_keys("level_counts"), 1)
+    return own.select(
+        F.concat_ws("-", "representative_data_id", "card_id").alias("data_id"), "repo_name", "symbol", level.alias("level"),
+        F.concat_ws(" ", "intent_action", "transfer_title").alias("name"), F.col("transfer_summary").alias("summary"),
+        "workflow", "inputs", "outputs", "invariants", "error_cases",
+    )
+
+
+_RECORDS = f"""
+select representative_data_id || '-' || card_id as data_id, u.repo_name, coalesce(u.symbol, '') as symbol, map_keys(level_counts)[1] as level,
+  concat_ws(' ', intent_action, transfer_title) as name, coalesce(transfer_summary, '') as summary, {_items("workflow")} as workflow, {_items("inputs")} as inputs,
+  {_items("outputs")} as outputs, {_items("invariants")} as invariants, {_items("error_cases")} as error_cases
+from (select distinct on (card_id) * from purpose_index) p join ({_ONE_UNIT}) u on u.data_id = p.representative_data_id
+"""
+_BLOB = "array_to_string(list_concat(list_filter([symbol, name, summary], lambda y: y != ''), workflow, inputs, outputs, invariants, error_cases), chr(10))"
+_REASON = r"""case when regexp_matches(blob, '(?i)\b(getter|setter|trivial|thin wrapper|logging[- ]only|constant mapping)\b') then 'boilerplate_or_trivial'
+  when regexp_matches(symbol, '^(get|set|is|has)[A-Z_]') and len(workflow) <= 1 then 'getter_setter_like'
+  when length(summary) < 80 and len(workflow) <= 1 and len(invariants) = 0 and len(error_cases) = 0 then 'too_little_reusable_logic'
+  when contains(symbol, 'toString') or contains(symbol, '__str__') or contains(symbol, '__repr__') then 'representation_only' else '' end"""
+_FAMILY = "list_max([" + ", ".join(f"{{'n': len(list_intersect(words, {hints})), 'name': '{name}'}}" for name, hints in FAMILY_HINTS.items()) + "])"
+_LIFE = "case " + " ".join(f"when intent_action in {_in(v)} then '{k}'" for k, v in LIFECYCLE.items()) + " else 'execute' end"
+
+
+def _sign(c: str, n: int, sep: str) -> str:
+    return f"array_to_string({_tokens(f'array_to_string({c}, chr(32))')}[1:{n}], '{sep}')"
+
+
+_INFERRED = f"""
+with r as ({_RECORDS}), b as (select *, {_BLOB} as blob from r), w as (select *, {_tokens("blob")} as words, {_REASON} as reason from b),
+a as (select *, list_filter(words, lambda t: t in {_in(INTENT_VERBS)})[1] as verb, {_FAMILY} as fam from w),
+t as (select *, coalesce(verb, 'execute') as intent_action, case when fam.n > 0 then fam.name else 'workflow' end as task_family,
+        list_filter(words[case when verb is null then 1 else list_position(words, verb) + 1 end:], lambda t: t not in {_in(INTENT_VERBS + GENERIC_NOUNS)})[1:2] as tail from a),
+f as (select *, case when len(tail) = 0 then 'object' else array_to_string(tail, '_') end as intent_target from t)
+select *, {_LIFE} as lifecycle_stage,
+  coalesce(nullif({_sign("inputs", 2, "_")}, ''), 'unspecified') || '->' || coalesce(nullif({_sign("outputs", 2, "_")}, ''), 'unspecified') as io_shape,
+  {_sign("invariants", 6, " ")} as constraint_signature, {_sign("error_cases", 6, " ")} as failure_signature,
+  substr(sha1('{{"intent_action":"' || intent_action || '","intent_target":"' || intent_target || '","task_family":"' || task_family || '"}}'), 1, 20) as purpose_id,
+  least(1.0::double, len(workflow) / 6.0::double) * 0.30::double + least(1.0::double, len(invariants) / 5.0::double) * 0.20::double
+  + least(1.0::double, len(error_cases) / 5.0::double) * 0.20::double + least(1.0::double, 0 / 4.0::double) * 0.10::double
+  + least(1.0::double, length(summary) / 600.0::double) * 0.10::double
+  + case level when 'pattern' then 0.10::double when 'composite' then 0.06::double else 0.0::double end as score
+from f
+"""
+
+
+def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purpose_index.infer(purpose_records(spark, sf_dir))
+
+
+@query(f"select token, count(*) as n from (select unnest({_tokens('text')}) as token from documents) group by token having count(*) >= 5")
+def tokens_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+@query(f"select data_id, reason from ({_INFERRED})")
+def low_value_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inferred(spark, sf_dir).select("data_id", "reason")
+
+
+@query(f"select data_id, purpose_id, task_family, intent_action, intent_target, lifecycle_stage, io_shape, constraint_signature, failure_signature from ({_INFERRED})")
+def infer_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _inferred(spark, sf_dir)
+    flat = [F.array_join(c, " ").alias(c) for c in ("constraint_signature", "failure_signature")]
+    return own.select("data_id", "purpose_id", "task_family", "intent_action", "intent_target", "lifecycle_stage", "io_shape", *flat)
+
+
+@query(f"select data_id, score from ({_INFERRED})")
+def representative_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inferred(spark, sf_dir).select("data_id", "score")
+
+
+@query(f"select data_id, purpose_id, task_family, intent_action, intent_target from ({_INFERRED}) where reason = ''")
+def purpose_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purpose_index.edges(_inferred(spark, sf_dir)).select("data_id", "purpose_id", "purpose_key.*")
+
+
+@query(f"select data_id, reason from ({_INFERRED}) where reason != ''")
+def purpose_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purpose_index.dropped(_inferred(spark, sf_dir))
+
+
+@query(f"select purpose_id, coalesce(nullif(level, ''), 'unknown') as level, count(*) as n from ({_INFERRED}) where reason = '' group by all")
+def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purpose_index.level_histogram(_inferred(spark, sf_dir))
+
+
+@query(f"""
+with e as (select * from ({_INFERRED}) where reason = ''),
+g as (select purpose_id, count(*) as support_count, count(distinct repo_name) as repo_support from e group by purpose_id),
+l as (select purpose_id, string_agg(level || '=' || n, ',' order by level) as levels from
+      (select purpose_id, coalesce(nullif(level, ''), 'unknown') as level, count(*) as n from e group by all) group by purpose_id),
+b as (select *, row_number() over (partition by purpose_id order by score desc, data_id desc) as n from e)
+select g.purpose_id, g.support_count, g.repo_support, l.levels, b.task_family, b.intent_action, b.intent_target, b.data_id as representative_data_id,
+  b.name as transfer_title, b.summary as transfer_summary, array_to_string(b.workflow, '|') as workflow
+from g join l using (purpose_id) join b on b.purpose_id = g.purpose_id and b.n = 1
+""")
+def purpose_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: one card per purpose."""
+    own = purpose_index.cards(_inferred(spark, sf_dir))
+    entries = F.transform(F.map_entries("level_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return own.select(
+        "purpose_id", "support_count", "repo_support", F.array_join(entries, ",").alias("levels"), "task_family", "intent_action", "intent_target",
+        "representative_data_id", "transfer_title", "transfer_summary", F.array_join("workflow", "|").alias("workflow"),
+    )
+
+
+del Column, P
