@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from skillweave.functions import purpose as P
 from skillweave.functions.guards import low_value_reason
+from skillweave.functions.normalize import field
 from skillweave.functions.text import tokens, trimmed_items
 
 TEXTS = "level name summary when_to_use transfer_title transfer_summary".split()
@@ -41,6 +42,31 @@ def flat_records(records: DataFrame) -> DataFrame:
     )
 
 
+def records_of(lines: DataFrame, payload: str) -> DataFrame:
+    """Flat records of JSON objects (a variant column), nested under skill or flat. A text where a list belongs is
+    a list of one; items that are no texts are their JSON."""
+    record = F.col(payload)
+    skill = field(record, "skill")
+    nested = F.coalesce(F.schema_of_variant(skill).startswith("OBJECT"), F.lit(False))
+
+    def of(name: str) -> Column:
+        return F.when(nested, field(skill, name)).otherwise(field(record, name))
+
+    def items(name: str) -> Column:
+        listed = F.transform(F.try_variant_get(of(name), "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
+        alone = F.try_variant_get(of(name), "$", "string")
+        kind = F.coalesce(F.schema_of_variant(of(name)), F.lit("VOID"))
+        one = F.when(F.coalesce(alone, F.lit("")) != "", F.array(alone))
+        return F.when(kind.startswith("ARRAY"), listed).when(kind == "STRING", one).alias(name)
+
+    text = lambda v, name: F.try_variant_get(v, "$", "string").alias(name)
+    family = F.try_variant_get(record, "$.retrieval.task_family", "string")
+    return lines.select(
+        *[text(field(record, c), c) for c in ("data_id", "repo_name", "symbol")], *[text(of(c), c) for c in TEXTS],
+        *[items(c) for c in LISTS], F.struct(family.alias("task_family")).alias("retrieval"),
+    )
+
+
 def infer(records: DataFrame) -> DataFrame:
     """Flat records with reason ("" if indexed), the inferred purpose, purpose_id and score."""
     flat = flat_records(records)
