@@ -35,8 +35,9 @@ class FieldVote:
 
 def recency(at: Column, newest: Column, half_life_days: float) -> Column:
     """Halves every half_life_days before newest; an unknown time counts as ten half-lives old."""
-    age = F.greatest(F.lit(0.0), (F.unix_timestamp(newest) - F.unix_timestamp(at)) / 86400.0)
-    return F.pow(F.lit(0.5), F.coalesce(age / half_life_days, F.lit(10.0)))
+    age = (F.unix_timestamp(newest) - F.unix_timestamp(at)) / 86400.0
+    lives = F.when(age.isNull(), 10.0).when(age > 0, age / half_life_days).otherwise(0.0)
+    return F.pow(F.lit(0.5), lives)
 
 
 def survivors(

@@ -327,7 +327,8 @@ ParamList = (Param (',' Param)* (',' '...')? | '...')? ;
 Param = Specs (Declarator | Abstract) ;
 InitDecl = Declarator Attribute* ('asm' Args)? ('=' Init)? ;
 Decl = Specs (InitDecl (',' InitDecl)*)? ';' ;
-Function = Specs Declarator Attribute* (Decl)* Block | Qual* Declarator Block ;
+Called = ('*' Qual*)* (ID | '(' Declarator ')') '(' ParamList ')' ('[' Assign? ']' | '(' ParamList ')')* ;
+Function = Specs Called Attribute* (Decl)* Block | Qual* Called Block ;
 Init = Assign | Braced ;
 Braced = '{' (InitItem (',' InitItem)* ','?)? '}' ;
 InitItem = (('.' ID | '[' Expr ('...' Expr)? ']')+ '=' | ID ':')? Init ;
@@ -394,7 +395,8 @@ ParamList = (Param (',' Param)* (','? '...')? | '...')? ;
 Param = ('this')? Specs (Declarator | Abstract) ('=' Init)? ;
 InitDecl = Declarator ('=' Init | Braced | Args)? ;
 Decl = Specs (InitDecl (',' InitDecl)*)? ';' ;
-Function = (Specs? | Qual*) Declarator Tail (Ctor? Block | '=' ('default' | 'delete' | NUM) ';' | Ctor? 'try' Block Catch+ | ';') ;
+Called = Pointer* (Name | '(' Declarator ')') Attribute* '(' ParamList ')' Tail ('(' ParamList ')' Tail)* ;
+Function = (Specs? | Qual*) Called (Ctor? Block | '=' ('default' | 'delete' | NUM) ';' | Ctor? 'try' Block Catch+ | ';') ;
 Ctor = ':' (Name (Args | Braced) '...'?) (',' Name (Args | Braced) '...'?)* ;
 Init = Assign | Braced ;
 Braced = '{' (InitItem (',' InitItem)* ','?)? '}' ;

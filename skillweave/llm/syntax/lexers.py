@@ -13,12 +13,11 @@ from skillweave.llm.syntax import grammars as G
 from skillweave.llm.syntax.gll import BASE, Grammar
 
 _CONFLICT = r"^(?:<<<<<<<|>>>>>>>|\|\|\|\|\|\|\||=======)(?=[ \r\n]|$)"
-_ID = r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*"
+_ID = r"(?:[^\W\d]|\$)(?:\w|[$\u0300-\u036f\u0900-\u0dff\u200c\u200d])*"
 _SLASHES = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
 _STR = r'"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"'
 _CHR = r"'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"
 _NUM = r"0[xX][0-9a-fA-F_']+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?\w*|0[bB][01_']+\w*|0[oO][0-7_]+\w*|(?:\d[\d_']*\.?(?!\.)(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[A-Za-z]*\d*"
-_QUOTES = "“”‘’«»„…‹›「」"
 
 
 class Lexer:
@@ -172,6 +171,12 @@ class GoLexer(BraceLexer):
         return tuple(out) if at == len(text) + 1 and not stack else None
 
 
+_STARTERS = (
+    "const let var type export interface import return if for while switch throw try declare abstract public private "
+    "protected readonly static enum namespace }"
+).split()
+
+
 class ScriptLexer(Lexer):
     """JavaScript and TypeScript: regular expressions, templates and JSX by context, ASI at line ends."""
 
@@ -188,6 +193,11 @@ class ScriptLexer(Lexer):
         self.enders = self.operand | {o["++"], o["--"], w["break"], w["continue"], w["return"], w["debugger"]}
         for x in ("await", "of", "as", "async", "extends", "implements", "is", "keyof", "yield", "from"):
             self.operand.discard(w.get(x, -1))
+        # in TypeScript ! and > may end an expression or a type
+        self.starters = frozenset(_STARTERS) if "interface" in w and a[0] is G.TYPESCRIPT else frozenset()
+        if self.starters:
+            self.enders.add(o["!"])
+        self.angle = o[">"]
         self.template, self.regex, self.jsx_id = (self.grammar.term(x) for x in ("TEMPLATE", "REGEX", "JSX"))
 
     def _template_end(self, text: str, at: int) -> int:
@@ -217,7 +227,6 @@ class ScriptLexer(Lexer):
 
     def _jsx_end(self, text: str, at: int) -> int:
         """Index after the JSX element that begins at ``at``, or -1; expressions are skipped by braces."""
-        tag = re.compile(r"<(/?)([\w.:$-]*)((?:\s+|[\w:$-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(\{)))?|(\{))*)")
         depth, i = 0, at
         while i < len(text):
             if text[i] == "{":
@@ -251,7 +260,6 @@ class ScriptLexer(Lexer):
                     return i if depth == 0 else -1
             else:
                 i += 1
-        del tag
         return -1
 
     def _braces_end(self, text: str, at: int) -> int:
@@ -281,6 +289,7 @@ class ScriptLexer(Lexer):
         words, ops, group, enders = self.words, self.op_ids, self.grammar.group, self.enders
         asi, semi, goes_on, op_index = self.asi, ops[";"], self._GOES_ON, self.op_index
         at, n, line_end = 0, len(text), False
+        angle, starters = self.angle, self.starters
         while at < n:
             again = False
             for m in self.pattern.finditer(text, at):
@@ -293,7 +302,9 @@ class ScriptLexer(Lexer):
                     continue
                 if line_end:
                     line_end = False
-                    if out and (out[-1] >= BASE or out[-1] in enders) and m[0] not in goes_on:
+                    if out and m[0] not in goes_on and (
+                        out[-1] >= BASE or out[-1] in enders or (out[-1] == angle and m[0] in starters)
+                    ):
                         out.append(asi)
                 if k == 3:
                     out.append(words.get(m[3], self.id))
@@ -308,7 +319,9 @@ class ScriptLexer(Lexer):
                         kind, outer = stack.pop()
                         if kind != {")": "(", "]": "[", "}": "{"}[op]:
                             return None
-                        if op == "}" and out and out[-1] != semi and out[-1] != asi and (out[-1] >= BASE or out[-1] in enders):
+                        if op == "}" and out and out[-1] != semi and out[-1] != asi and (
+                            out[-1] >= BASE or out[-1] in enders or (starters and out[-1] == angle)
+                        ):
                             out.append(asi)
                         outer.append(group(self.open[kind], tuple(out)))
                         out = outer
@@ -651,10 +664,6 @@ _PY_STR = (
 )
 
 
-def _joined(x: str) -> str:
-    return rf"(?:{x})"
-
-
 @lru_cache(maxsize=None)
 def lexer(dialect: str) -> Lexer | YamlLexer:
     """One lexer, with its grammar, per dialect and process."""

@@ -121,6 +121,9 @@ def _is_declaration(words: list[str], language: str) -> bool:
         if words[0] == "type":
             return len(words) > 2 and words[2] in ("=", "<")
         # a method on its own: name(...) [: type] {
+        call = words.index("(") if "(" in words else 0
+        if "function" in words[:call] or not (words[0][0].isalpha() or words[0][0] in "_$#*["):
+            return False
         return _called_block(words) and words[0] not in ("if", "for", "while", "switch", "with", "catch", "try", "do", "else")
     if language == "go":
         return words[0] in ("func", "type")
