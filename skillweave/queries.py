@@ -397,6 +397,28 @@ def decision_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.countDistinct("data_id").alias("units"), F.countDistinct(F.when(F.col("accepted"), F.col("data_id"))).alias("accepted"))
 
 
+@query()
+def stage_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first stage's model sees of every unit: the messages' roles, their length and their hash."""
+    from skillweave.plans import prompts
+
+    units = table(spark, sf_dir, "source_unit").where("code is not null").dropDuplicates(["data_id"])
+    m = units.select("data_id", prompts.source_tagging().alias("m"))
+    said = F.get("m", F.lit(1))["content"]
+    return m.select("data_id", F.size("m").alias("messages"), F.length(said).alias("characters"), F.sha2(F.to_json("m"), 256).alias("request"))
+
+
+@query(f"with d as ({_DECISION}) select decision_stage, accepted_stage, rationale in ('tagging_error', 'pipeline_error') as failed, count(*) as units, count(distinct repo_name) as repositories, count(*) filter (where accepted and d >= 10) as retrieval_records from d group by all")
+def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages with the scripted model, from the tagged units to counts by outcome."""
+    d = decisions.decide(scripted(spark, sf_dir))
+    failed = F.col("rationale").isin("tagging_error", "pipeline_error").alias("failed")
+    return d.groupBy("decision_stage", "accepted_stage", failed).agg(
+        F.count("*").alias("units"), F.countDistinct("repo_name").alias("repositories"),
+        F.count_if(F.col("accepted") & F.col("retrieval").isNotNull()).alias("retrieval_records"),
+    )
+
+
 # ------------------------------------------------------------------ the purpose view
 
 
