@@ -10,6 +10,7 @@ from skillweave.functions import purpose as P
 from skillweave.functions.guards import low_value_reason
 from skillweave.functions.normalize import field
 from skillweave.functions.text import tokens, trimmed_items
+from skillweave.plans.materialize import materialize
 
 TEXTS = "level name summary when_to_use transfer_title transfer_summary".split()
 LISTS = "workflow inputs outputs invariants error_cases anti_goals evidence".split()
@@ -103,14 +104,17 @@ def edges(inferred: DataFrame) -> DataFrame:
     )
 
 
+def _level() -> Column:
+    return F.when(F.coalesce("level", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("level")).alias("level")
+
+
 def level_histogram(inferred: DataFrame) -> DataFrame:
-    level = F.when(F.coalesce("level", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("level"))
-    return inferred.where("reason = ''").groupBy("purpose_id", level.alias("level")).agg(F.count("*").alias("n"))
+    return inferred.where("reason = ''").groupBy("purpose_id", _level()).agg(F.count("*").alias("n"))
 
 
 def cards(inferred: DataFrame) -> DataFrame:
-    """One row per purpose. Support, levels and the representative come from one pre-aggregation by purpose and
-    level; repositories are counted from distinct (purpose, repository) pairs. No group is collected."""
+    """One row per purpose. Support, repositories, levels and the representative come from one pre-aggregation by
+    purpose, repository and level, so that a hot purpose is combined before it moves and no group is collected."""
     kept = inferred.where("reason = ''")
     title = F.coalesce(*[F.when(F.coalesce(c, F.lit("")) != "", F.col(c)) for c in ("name", "transfer_title")], F.lit(""))
     short = F.coalesce(*[F.when(F.coalesce(c, F.lit("")) != "", F.col(c)) for c in ("summary", "transfer_summary")], F.lit(""))
@@ -118,12 +122,21 @@ def cards(inferred: DataFrame) -> DataFrame:
         *KEY, F.col("data_id").alias("representative_data_id"), F.round("score", 6).alias("representative_score"),
         title.alias("transfer_title"), short.alias("transfer_summary"), *[trimmed_items(F.col(c)).alias(c) for c in CARD_LISTS],
     )
-    best = kept.groupBy("purpose_id").agg(
-        F.count("*").alias("support_count"), F.max_by(shown, F.struct("score", "data_id")).alias("best")
+    # records are read and inferred once: everything below comes from this pre-aggregated table
+    key = F.struct("score", "data_id")
+    small = kept.groupBy("purpose_id", "repo_name", _level()).agg(
+        F.count("*").alias("n"), F.max_by(shown, key).alias("best"), F.max(key).alias("key")
+    )
+    small = materialize(small)
+    by_repo = small.groupBy("purpose_id", "repo_name").agg(
+        F.sum("n").alias("n"), F.max_by("best", "key").alias("best"), F.max("key").alias("key")
+    )
+    best = by_repo.groupBy("purpose_id").agg(
+        F.sum("n").alias("support_count"), F.count("*").alias("repo_support"), F.max_by("best", "key").alias("best")
     )
-    repos = kept.select("purpose_id", "repo_name").distinct().groupBy("purpose_id").agg(F.count("*").alias("repo_support"))
-    levels = level_histogram(inferred).groupBy("purpose_id").agg(
+    by_level = small.groupBy("purpose_id", "level").agg(F.sum("n").alias("n"))
+    levels = by_level.groupBy("purpose_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("level_counts")
     )
-    whole = best.join(repos, "purpose_id").join(levels, "purpose_id")
+    whole = best.join(levels, "purpose_id")
     return whole.select("purpose_id", "support_count", "repo_support", "level_counts", "best.*")
