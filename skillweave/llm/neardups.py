@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillweave.llm.spread import spread
 from skillweave.plans.materialize import materialize
 
 _WORDS = re.compile(r"[A-Za-z0-9_]+").findall
@@ -208,7 +209,7 @@ def near_duplicates(
     Records of one class have the same shingles. The pairs of records follow by joining both tables.
     """
     texts = df.where(F.col(text).isNotNull()).select(F.col(record_id).alias("id"), text)
-    sets = materialize(texts.mapInArrow(lambda it: _sets(it, shingle, min_words), "id string, key binary, shingles binary"))
+    sets = materialize(spread(texts).mapInArrow(lambda it: _sets(it, shingle, min_words), "id string, key binary, shingles binary"))
     distinct = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
     classes = materialize(distinct.mapInArrow(_numbered, "key binary, shingles binary, class bigint"))
     members = sets.select("id", "key").join(classes.select("key", "class"), "key").select("id", "class").distinct()
