@@ -7,7 +7,8 @@ and neighbouring windows share theirs, so the probes of all positions come down
 Keys that a block and another document have in common are anchors. Around an anchor the context (the
 characters any window through it can reach) is fetched, equal contexts are collapsed, and hits are extended
 to the left and right as far as the texts agree. Groups of more than ``crowd`` contexts are not compared pair
-by pair: their windows are hashed and meet in an aggregation instead, which is as exact and linear.
+by pair: equal contexts collapse to one, and the windows of the distinct ones are hashed and meet in an
+aggregation, which is as exact and linear.
 
 Defined cases: null, empty and short texts share nothing. Positions are code points. A doc_id that is
 repeated counts as one document. An empty table gives an empty table.
@@ -183,18 +184,24 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """h1, h2 (hashes), a, b (documents) and span_start of every window of (a, b, start, context)."""
     powers = _Powers()
+    names = ["h1", "h2", "a", "b", "span_start"]
     for batch in batches:
-        for _, doc_id, start, _, context in zip(*(c.to_pylist() for c in batch.columns)):
+        out: list[list[np.ndarray]] = []
+        held = 0
+        for a, b, start, context in zip(*(c.to_pylist() for c in batch.columns)):
             points = np.frombuffer(context.encode("utf-32-le", "surrogatepass"), np.uint32)
-            hashes = rolling(points, length, powers)
-            second = rolling(points[::-1], length, powers)[::-1]
-            places = start + np.arange(len(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64), pa.int64())
-                 for x in (hashes, np.ascontiguousarray(second), np.full(len(hashes), doc_id), places)],
-                names=["h1", "h2", "doc_id", "span_start"],
-            )
+            first = rolling(points, length, powers).view(np.int64)
+            second = np.ascontiguousarray(rolling(points[::-1], length, powers)[::-1]).view(np.int64)
+            n = len(first)
+            out.append([first, second, np.full(n, a), np.full(n, b), start + np.arange(n)])
+            held += n
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=names)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=names)
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -245,13 +252,28 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = 40, crowd: int
         .sortWithinPartitions("key")
         .mapInArrow(lambda it: _compare(it, length), "doc_id bigint, span_start bigint, span_end bigint")
     )
-    windows = around(many).mapInArrow(
-        lambda it: _windows(it, length), "h1 bigint, h2 bigint, doc_id bigint, span_start bigint"
+    # crowded anchors: equal contexts collapse first, so that copies of a text are hashed once
+    contexts = materialize(around(many))
+    same = ["key", "before", "context"]
+    distinct = materialize(contexts.groupBy(*same).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")))
+    size = F.length("context")
+    copied = contexts.join(distinct.where("a < b").select(*same), same, "left_semi").where(size >= length)
+    copied = copied.select("doc_id", F.col("start").alias("span_start"), (F.col("start") + size).alias("span_end"))
+    kinds = "h1 bigint, h2 bigint, a bigint, b bigint, span_start bigint"
+    places = F.lit(0).cast("bigint").alias("start")
+    twice = (
+        distinct.select("a", "b", places, "context")
+        .mapInArrow(lambda it: _windows(it, length), kinds)
+        .groupBy("h1", "h2")
+        .agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .where("a < b")
+        .select("h1", "h2")
     )
-    windows = materialize(windows)
-    twice = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    crowded = windows.join(twice.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    crowded = crowded.select("doc_id", "span_start", (F.col("span_start") + length).alias("span_end"))
+    alone = contexts.join(distinct.where("a = b").select(*same), same, "left_semi")
+    alone = alone.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "start", "context")
+    found = alone.mapInArrow(lambda it: _windows(it, length), kinds).join(twice, ["h1", "h2"], "left_semi")
+    found = found.select(F.col("a").alias("doc_id"), "span_start", (F.col("span_start") + length).alias("span_end"))
+    crowded = copied.unionByName(found)
     return merged(spans.unionByName(crowded).distinct())
 
 
