@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +61,17 @@ FORMATS = [
 ]
 
 _LITERAL = re.compile(
-    r"\"\"\"(?P<a>(?:[^\"\\]|\\.|\"(?!\"\"))*)\"\"\"|'''(?P<b>(?:[^'\\]|\\.|'(?!''))*)'''"
+    r"\"\"\"(?P<a>(?:[^\"\\]++|\\.|\"(?!\"\"))*+)\"\"\"|'''(?P<b>(?:[^'\\]++|\\.|'(?!''))*+)'''"
     r"|\"(?P<c>(?:[^\"\\\n]|\\.)*)\"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`", re.S,
 )
+_QUOTE = re.compile("[\"'`]")
 #: what may stand between the pieces of one value
 _GLUE = re.compile(r"(?:\s|\\\n|\+|\.\.(?!\.)|&|(?://|#)[^\n\"']*\n)*(?:[rbfuRBFU]{1,2}(?=[\"']))?")
+#: what stands between a name and its literal
+_DIRECT = re.compile(r"\s*(?:\(\s*)?(?:[A-Za-z_:]+(?:::from|\.from)?\(\s*)?[rbfuRBFU]{0,2}(?=[\"'`])")
+#: the end of a key block, and its body where the end is missing
+_KEY_END = re.compile(r"-----(?:END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?P<next>BEGIN ))")
+_KEY_BODY = re.compile(r"(?:(?:[\s\"'+,]|\\[nr])*[A-Za-z0-9+/=]{20,})*(?:(?:[\s\"'+,]|\\[nr])*[A-Za-z0-9+/]+=+)?")
 _NAME = re.compile(
     r"(?P<q>[\"']?)(?P<n>[A-Za-z_][\w.\-]*)(?P=q)\]?(?P<t>\s*:\s*(?:&'?\w*\s*)?[A-Za-z_][\w<>\[\], |:?]*?(?=\s*=[^=>]))?\s*(?::=|=>|=(?![=>])|:(?!:|//))"
 )
@@ -163,48 +170,86 @@ def _basic(token: str) -> bool:
     return bool(colon and word) and all(32 <= c < 127 for c in plain) and not is_placeholder(word.decode())
 
 
-def format_hits(value: str) -> Iterator[tuple[str, int, int]]:
-    """kind, start and end of every secret that its format tells."""
+def _hit(kind: str, pattern: re.Pattern, m: re.Match) -> tuple[str, int, int] | None:
+    """kind, start and end of the secret that a format's match holds, if it is one."""
+    start, end = m.span("s") if "s" in pattern.groupindex else m.span()
+    value, body = m.string, m.string[start:end]
+    if kind == "private_key":
+        close = _KEY_END.search(value, end)
+        return kind, start, close.end() if close and not close["next"] else len(value)
+    if kind == "authorization" and pattern.pattern.find("asic") > 0:
+        return (kind, start, end) if _basic(body) else None
+    if is_placeholder(body) or (kind not in ("url_password", "connection_password") and len(set(body)) < 8):
+        return None
+    if kind == "authorization" and not (re.search(r"\d", body) and re.search(r"[A-Za-z]", body)):
+        return None
+    return kind, start, end
+
+
+def format_hits(value: str, begins: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """kind, start and end of every secret that its format tells; with begins, of those that begin before it."""
     for kind, pattern in _formats():
-        for m in pattern.finditer(value):
-            start, end = m.span("s") if "s" in pattern.groupindex else m.span()
-            body = value[start:end]
-            if kind == "private_key":
-                close = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(value, end)
-                yield kind, start, close.end() if close else len(value)
-                continue
-            if kind == "authorization" and pattern.pattern.find("asic") > 0:
-                if not _basic(body):
-                    continue
-            elif is_placeholder(body) or (kind not in ("url_password", "connection_password") and len(set(body)) < 8):
-                continue
-            elif kind == "authorization" and not (re.search(r"\d", body) and re.search(r"[A-Za-z]", body)):
-                continue
-            yield kind, start, end
+        matches = pattern.finditer(value) if begins is None else filter(None, (pattern.match(value, i) for i in range(begins)))
+        yield from filter(None, (_hit(kind, pattern, m) for m in matches))
+
+
+def key_blocks(text: str, begin: int, stop: int) -> Iterator[tuple[str, int, int]]:
+    """Key blocks that begin from begin to stop, as they stand in the text, each to its END line however far that is.
+
+    Without an END of its own, or with little but code before it, a block ends with its body.
+    """
+    kind, pattern = _formats()[0]
+    m = pattern.search(text, begin)
+    while m and m.start() < stop:
+        close = _KEY_END.search(text, m.end())
+        end = _KEY_BODY.match(text, m.end()).end()
+        if close and not close["next"]:
+            body = text[m.end() : close.start()]
+            if 2 * sum(map(len, re.findall(r"[A-Za-z0-9+/=]{16,}", body))) >= len(re.sub(r"\s", "", body)):
+                end = close.end()
+        yield kind, m.start(), end
+        m = pattern.search(text, end)
 
 
 class _Chains:
-    """The literals of a stretch of text, those that follow each other joined."""
-
-    def __init__(self, text: str, begin: int, end: int) -> None:
-        self.chains: list[list[tuple[int, int]]] = []
-        at = begin
-        last = -1
-        while at < end:
-            m = _LITERAL.search(text, at, min(len(text), end + 20_000))
-            if not m or m.start() >= end:
-                break
-            span = m.span(m.lastgroup)
-            glued = last >= 0 and _GLUE.fullmatch(text, last, m.start())
-            if glued and text[last : m.start()].strip(" \t") != "" or (glued and "\n" in text[last : m.start()]):
-                self.chains[-1].append(span)
-            elif glued and last == m.start():
-                self.chains[-1].append(span)
-            elif glued:
-                self.chains[-1].append(span)
+    """The literals of a text, those that follow each other joined; a chain is followed to its last literal."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        #: by the begin of a literal, its chain's number and its place there and in the joined value
+        self.known: dict[int, tuple[int, int, int]] = {}
+        self.chains: list[tuple[list[tuple[int, int]], str]] = []
+
+    def _literal(self, at: int) -> tuple[re.Match, tuple[int, int]] | None:
+        m = _LITERAL.match(self.text, at)
+        return m and (m, m.span(m.lastgroup))
+
+    def of(self, begin: int, end: int) -> Iterator[tuple[list[tuple[int, int]], str, bool]]:
+        """The chains that begin from begin to end, their values, and whether one is new, no rest of one given before."""
+        text, at = self.text, begin
+        while quote := _QUOTE.search(text, at, end):
+            start = quote.start()
+            if start in self.known:
+                number, place, skip = self.known[start]
+                chain, value, new = self.chains[number][0][place:], self.chains[number][1][skip:], False
             else:
-                self.chains.append([span])
-            at = last = m.end()
+                chain, size, new, here = [], 0, True, start
+                while found := self._literal(here):
+                    self.known.setdefault(here, (len(self.chains), len(chain), size))
+                    chain.append(found[1])
+                    size += found[1][1] - found[1][0]
+                    here = _GLUE.match(text, found[0].end()).end()
+                    if here >= len(text) or text[here] not in "\"'`":
+                        break
+                if not chain:
+                    at = start + 1
+                    continue
+                value = "".join(text[a:b] for a, b in chain)
+                self.chains.append((chain, value))
+            yield chain, value, new
+            # behind the last literal's closing quotes
+            at = chain[-1][1]
+            at += 3 if text[at : at + 3] in ('"""', "'''") and text[chain[-1][0] - 3 : chain[-1][0]] == text[at : at + 3] else 1
 
 
 def _positions(chain: list[tuple[int, int]], start: int, end: int) -> tuple[tuple[int, int], ...]:
@@ -233,16 +278,32 @@ def find_secrets(text: str, lines: list[int]) -> list[Secret]:
     out: dict[tuple[int, int], Secret] = {}
 
     def add(kind: str, spans: tuple[tuple[int, int], ...], first: int | None = None) -> None:
-        if spans and not any(a < spans[0][1] and spans[0][0] < b for s in out.values() for a, b in s.spans):
-            out[spans[0]] = Secret(kind, spans[0][0] if first is None else first, spans)
+        if not spans:
+            return
+        begin = spans[0][0] if first is None else first
+        over = [s for s in out.values() if any(a < d and c < b for a, b in s.spans for c, d in spans)]
+        if any(s.spans[0][0] <= spans[0][0] and spans[-1][1] <= s.spans[-1][1] for s in over):
+            return
+        # it goes on where shorter ones end: all of them are one secret
+        for s in over:
+            del out[s.spans[0]]
+            begin = min(begin, s.begin)
+        joined: list[tuple[int, int]] = []
+        for a, b in sorted([*spans, *(x for s in over for x in s.spans)]):
+            if joined and a < joined[-1][1]:
+                joined[-1] = joined[-1][0], max(b, joined[-1][1])
+            else:
+                joined.append((a, b))
+        out[joined[0]] = Secret(kind, begin, tuple(joined))
 
     settings: bool | None = None
+    known, reach = _Chains(text), {}
     for number in lines:
         begin, stop = starts[number], limits[number] - 1
         line = text[begin:stop]
         # a value may go on, or only begin, on the next lines
         last = number
-        while last + 1 < len(starts) and last < number + 12:
+        while last not in reach and last + 1 < len(starts):
             here = text[starts[last] : limits[last] - 1].rstrip()
             ahead = text[starts[last + 1] : limits[last + 1] - 1].lstrip()
             if here.endswith(("+", "(", "=", ":", "\\", "..", ",")) and re.match(r"[+.(]?\s*[rbfu]?[\"'`]", ahead):
@@ -251,29 +312,35 @@ def find_secrets(text: str, lines: list[int]) -> list[Secret]:
                 last += 1
             else:
                 break
+        last = reach.get(last, last)
+        reach.update(dict.fromkeys(range(number, last + 1), last) if number not in reach else {})
         end = limits[last] - 1
-        chains = _Chains(text, begin, end).chains
-        for chain in chains:
-            if text.count("\n", begin, chain[0][0]) and number + 1 != 0 and chain[0][0] > stop and not line.rstrip().endswith(("(", "=", ":", "\\")):
+        chains = []
+        for chain, value, new in known.of(begin, end if line.rstrip().endswith(("(", "=", ":", "\\")) else stop):
+            chains.append(chain)
+            if not new and chain[0][0] > stop:
                 continue
-            value = "".join(text[a:b] for a, b in chain)
-            for kind, a, b in format_hits(value):
+            # the rest of a chain that has been read can only tell more of what begins on this line
+            begins = None if new else sum(b - a for a, b in takewhile(lambda x: x[0] < stop, chain))
+            for kind, a, b in format_hits(value, begins):
                 # the whole value begins at its first piece, a key block where it says so
                 first = chain[0][0] if len(chain) > 1 and kind != "private_key" else None
                 add(kind, _positions(chain, a, b), first)
-        for kind, a, b in format_hits(text[begin : min(len(text), stop + 8000)] if "-----BEGIN" in line else line):
-            if begin + a < stop:
+        for kind, a, b in format_hits(line):
+            if kind != "private_key":
                 add(kind, ((begin + a, begin + b),))
+        if "-----BEGIN" in line:
+            for kind, a, b in key_blocks(text, begin, stop):
+                add(kind, ((a, b),))
         for m in _NAME.finditer(line):
             kind = name_kind(m["n"])
             if not kind:
                 continue
             after = begin + m.end()
-            rest = text[after:end]
-            direct = re.match(r"\s*(?:\(\s*)?(?:[A-Za-z_:]+(?:::from|\.from)?\(\s*)?[rbfuRBFU]{0,2}(?=[\"'`])", rest)
+            direct = _DIRECT.match(text, after, end)
             found: list[tuple[int, int]] | None = None
             if direct and not (_LOOKUP.search(direct[0])):
-                found = next((c for c in chains if c[0][0] >= after and c[0][0] <= after + direct.end() + 3), None)
+                found = next((c for c in chains if c[0][0] >= after and c[0][0] <= direct.end() + 3), None)
             else:
                 for f in _FALLBACK.finditer(text[after:stop]):
                     if _LOOKUP.search(text[after : after + f.start()]):
@@ -283,7 +350,7 @@ def find_secrets(text: str, lines: list[int]) -> list[Secret]:
                 if is_strong(value, kind):
                     add(kind, tuple(found))
                 continue
-            if direct or rest[:1] == "\n":
+            if direct or (after < end and text[after] == "\n"):
                 continue
             plain = re.match(r"[ \t]*([^\s\"'`(){}\[\],;]+)[ \t]*(?:[#].*)?$", text[after:stop])
             if plain:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import random
 import re
+import time
 
 import pytest
 
@@ -72,6 +73,33 @@ def test_redaction_keeps_the_code(spark):
     assert secrets.embedded_secrets(df.where("false"), "data_id", "code").count() == 0
 
 
+def test_long_values_are_redacted_to_their_end():
+    draw = random.Random(2)
+    body = ["".join(draw.choices("ABCDEFGHJKLMNPQRSTabcdefghjkmnpqrst23456789", k=64)) for _ in range(300)]
+    for most in (1, 25, 300):
+        block = ["-----BEGIN RSA " + "PRIVATE KEY-----", *body[:most], "-----END RSA " + "PRIVATE KEY-----"]
+        texts = {
+            "glued": "k = (\n" + "".join(f'    "{x}\\n"\n' for x in block) + ")\nx = 'kept'\n",
+            "noted": "k = (\n" + "".join(f'    "{x}"  # a\n' for x in block) + ")\nx = 'kept'\n",
+            "listed": "k = [\n" + "".join(f'    "{x}",\n' for x in block) + "]\nx = 'kept'\n",
+            "mixed": f'k = "{block[0]}\\n{body[0]}"\nk = f(k, [\n' + "".join(f'    "{x}",\n' for x in block[1:]) + "])\nx = 'kept'\n",
+            "whole": "k = '''" + "\n".join(block) + "'''\nx = 'kept'\n",
+            "raw": "\n".join(block) + "\nkept\n",
+            "no end": "\n".join(block[:-1]) + "\n\ndef kept(): pass\n",
+        }
+        for name, text in texts.items():
+            new = secrets.redact(text, secrets.find_secrets(text, dict(secrets.batch_lines([text]))[0]))
+            assert not any(x in new for x in block[1:]) and "kept" in new and new.count("\n") == text.count("\n"), (name, most)
+            if name in ("glued", "noted", "whole"):
+                assert len(ast.parse(new).body) == len(ast.parse(text).body)
+
+
+def test_long_chains_take_linear_time():
+    text = "k = (\n" + f'    "token of {BODY[:9]}"\n' * 20_000 + ")\n"
+    began = time.process_time()
+    assert found(text) == [] and time.process_time() - began < 30
+
+
 VALID = {
     "py": ["", "x = 1\n", "match x:\n    case [1, *r] if r: pass\n    case {'a': b, **c}: pass\n    case A(x=1) | None as y: pass\n", "def f(a, /, b: int = 1, *c, d, **e) -> int:\n  '''x'''\n  return [i async for i in f() if i if j]\n", "with (open(a) as b, c): pass\n",
            "x = f'{a!r:>{w}}' 'b' rb'c'\nprint(*a, sep='')\nlambda *a, b=1: (yield)\n", "class A[T](B, m=C):\n\tx: int\n\t@p\n\tdef f(self): ...\ntype X = int\n", "try:\n    a\nexcept* (A, B) as e:\n    b\nelse:\n    c\nfinally:\n    d\n",
