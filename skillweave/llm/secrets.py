@@ -29,14 +29,22 @@ from pyspark.sql import functions as F
 
 from skillweave.llm.automaton import Automaton
 
-#: what begins or names a credential; the automaton's patterns
+_PASS_WORDS = set("password passwd pwd pass passphrase passcode".split())
+_SECRET_WORDS = set("secret secrets token apikey credential credentials".split())
+_KEY_OWNERS = set("api access private secret encryption signing auth master hmac crypt crypto encrypt sign shared service ssh tls deploy".split())
+#: what parts the words of a name: _, - and all beyond ASCII
+_PARTS = "[^\x00-,.-^`-\x7f]"
+#: what begins or names a credential; the automaton's patterns. Lines without a hit are not read: every name that name_kind
+#: takes must have one, so that its words are made from the same sets
 ANCHORS = [
     "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|npm_|[^a-z]sk-|[rs]k_(live|test)_|AIza|[^a-z]SG\\.|eyJ",
     "-----BEGIN ",
     "://",
-    "(bearer|basic)[\\s]",
-    "(shared)?access[_-]?key|account[_-]?key|(api|private|secret|encryption|signing|auth|master|hmac|crypt)[\\s_.-]?key",
-    "passw(or)?d|passphrase|pwd|pass[_\"'\\s:=0-9]|secret|token|credential|authorization|auth[_-]?header",
+    "(bearer|basic)[^!-\x7f]",
+    "shared[_-]?access[_-]?key|account[_-]?key|authorization|auth[_-]?header",
+    "|".join(sorted((_PASS_WORDS - {"pass"}) | _SECRET_WORDS)) + "|pass[^a-z\n]",
+    # the parts between are seldom many; 8 bytes of them before a key are enough of a hit
+    f"({'|'.join(sorted(_KEY_OWNERS))})([\\s.]|{_PARTS}{{0,7}})key|{_PARTS}{{8}}key",
 ]
 
 _BODY = r"[A-Za-z0-9_-]"
@@ -80,9 +88,6 @@ _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--)|\s(?:#|//)\s")
 _LOOKUP = re.compile(r"(?i)environ|getenv|\benv\b|process\.env|env::|getproperty|config\.get|os\.get|secrets?\.|vault|prompt|input\(|getpass|read_")
 _FALLBACK = re.compile(r"(?:\|\||\?\?|\?:|\bor\b|\belse\b|:|,|\bunwrap_or(?:_else)?\s*\(|\borElse(?:Get)?\s*\(|\bunwrap_or_default\s*\()\s*(?:String::from\s*\(|\|\|\s*|\(\)\s*->\s*)?(?=[rbfu]?[\"'`])")
 
-_PASS_WORDS = set("password passwd pwd pass passphrase passcode".split())
-_SECRET_WORDS = set("secret secrets token apikey credential credentials".split())
-_KEY_OWNERS = set("api access private secret encryption signing auth master hmac crypt crypto encrypt sign shared service ssh tls deploy".split())
 _PUBLIC = set("public pub pubkey verify verification authorized".split())
 _PLACEHOLDERS = set(
     "changeme change_me change-me password passwd pass secret token api_key apikey key user username none null nil true false todo "

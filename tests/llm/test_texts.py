@@ -100,6 +100,22 @@ def test_long_chains_take_linear_time():
     assert found(text) == [] and time.process_time() - began < 30
 
 
+def test_all_names_of_the_grammar_have_anchors():
+    words = sorted(secrets._PASS_WORDS | secrets._SECRET_WORDS) + [f"{a}{p}key" for a in sorted(secrets._KEY_OWNERS) for p in ("_", "-", "__", "é_", "_" * 300)]
+    words += [a + "Key" for a in sorted(secrets._KEY_OWNERS)]
+    texts = []
+    for word in words:
+        for name in (word, word.upper() if "Key" not in word else word, "my_" + word, word + "_2", word + "3", word + "_", word + "é", "a.b." + word):
+            assert secrets.name_kind(name), name
+            texts += [f"{name} = 1", f'"{name}": 1', f"x[{name}] = 1", f"{name}:=1", "-" * 900 + f" {name}: str = 1"]
+    assert dict(secrets.batch_lines(texts)) == {i: [0] for i in range(len(texts))}
+    for name in ("deploy_key", "serviceKey", "shared_key", "ssh-key", "tlsKey", "cryptoKey", "encrypt_key", "sign_key", "passcode"):
+        text = f'x = 1\n{name}: "{BODY}"\n'
+        assert [n for n, _ in found(text)] == [2]
+        assert BODY not in secrets.redact(text, secrets.find_secrets(text, dict(secrets.batch_lines([text]))[0]))
+    assert [n for n, _ in found(f"auth = 'Bearer\t{BODY}'")] == [1]
+
+
 VALID = {
     "py": ["", "x = 1\n", "match x:\n    case [1, *r] if r: pass\n    case {'a': b, **c}: pass\n    case A(x=1) | None as y: pass\n", "def f(a, /, b: int = 1, *c, d, **e) -> int:\n  '''x'''\n  return [i async for i in f() if i if j]\n", "with (open(a) as b, c): pass\n",
            "x = f'{a!r:>{w}}' 'b' rb'c'\nprint(*a, sep='')\nlambda *a, b=1: (yield)\n", "class A[T](B, m=C):\n\tx: int\n\t@p\n\tdef f(self): ...\ntype X = int\n", "try:\n    a\nexcept* (A, B) as e:\n    b\nelse:\n    c\nfinally:\n    d\n",
