@@ -49,7 +49,7 @@ _VENDORED = re.compile(
     r"(?i)\bv\d+\.\d+(?:\.\d+)?\S* *[|(] *(?:mit|bsd|apache|isc|mpl|l?gpl)|@license\b|\bupstream license\b"
     r"|copyright \(c\)[^\n]*\bauthors\b(?![^\n]*this repository)"
 )
-_MAPPED = re.compile(r"(?:^|\n)(?://|/\*)[#@] *sourceMappingURL=\S+(?: *\*/)?\s*\Z")
+_MAPPED = re.compile(r"(?://|/\*)[#@] *sourceMappingURL=\S+(?: *\*/)?\Z")
 _COMMENT_LINE = re.compile(r"\s*(?:#(?!include|define|pragma|if|end|else)|//|/\*|\*|<!--|\"\"\"|''')")
 _STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*.*?\*/", re.S)
 _LITERALS = re.compile(r"\s*(?:(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)[fFuUlL]*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')\s*[,;]?\s*)+$")
@@ -113,6 +113,12 @@ def is_data(text: str, ext: str) -> bool:
     return pure >= LITERAL_LINES and pure >= LITERAL_SHARE * len(lines)
 
 
+def is_mapped(text: str) -> bool:
+    """Whether the last line that isn't blank names a source map, which may itself stand in that line."""
+    bare = text.rstrip()
+    return bool(_MAPPED.match(bare, bare.rfind("\n") + 1))
+
+
 def content_marks(text: str, ext: str) -> int:
     head = header(text)
     marks = 0
@@ -120,7 +126,7 @@ def content_marks(text: str, ext: str) -> int:
         marks |= GENERATED
     if head and _VENDORED.search(head):
         marks |= VENDORED
-    if _MAPPED.search(text, max(0, len(text) - 400)) or is_dense(text):
+    if is_mapped(text) or is_dense(text):
         marks |= DATA if is_data(text, ext) else MINIFIED
     elif is_data(text, ext):
         marks |= DATA

@@ -212,6 +212,12 @@ def test_content_marks():
     assert H.content_marks("A = 1\nB = 'x'\nC = [1, 2]\nD = None\n", "py") == 0
 
 
+def test_inline_source_map():
+    text = HAND.replace("#", "//") + "//# sourceMappingURL=data:application/json;base64," + BODY * 200
+    assert handwritten.content_marks(text + "\n\n", "js") == handwritten.content_marks(text[:200] + text[-6:], "js") | handwritten.MINIFIED
+    assert handwritten.content_marks(text + "\nx()\n", "js") == 0
+
+
 def test_not_handwritten_table(spark):
     from pyspark.sql import functions as F
 
