@@ -41,7 +41,7 @@ VENDORED_PATH = (
 
 _GENERATED = re.compile(
     r"(?i)@generated\b|<auto-?generated|\bauto-?generated (?:file|by|from|code)|\b(?:automatically|machine)[- ](?:generated|produced)\b"
-    r"|\b(?:code )?generated (?:by|from|with|using)\b[^\n]*\n?[^\n]*\b(?:do not (?:edit|modify)|edit \S+ instead|don't edit)"
+    r"|\b(?:code )?generated (?:by|from|with|using)\b(?:[^\n]*\n)?[^\n]*\b(?:do not (?:edit|modify)|edit \S+ instead|don't edit)"
     r"|\bcode generated by\b|\bgenerated (?:by|with|using) \S+ (?:v?\d|on \d)|manual changes will be (?:lost|overwritten)"
     r"|this (?:file|code) (?:is|was) (?:auto|generated|produced)"
 )
@@ -65,7 +65,7 @@ GENERATED, MINIFIED, VENDORED, DATA = 1, 2, 4, 8
 def header(text: str) -> str:
     """The comments and doc strings before a text's first line of code."""
     out, inside = [], ""
-    for line in text[:6000].split("\n"):
+    for line in (m[0] for m in re.finditer(r"[^\n]+|(?<=\n)(?=\n)", text)):
         bare = line.strip()
         if inside:
             out.append(line)
