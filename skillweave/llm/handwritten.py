@@ -187,22 +187,26 @@ def not_handwritten(
     seeds = marked.where(F.col("marks").bitwiseAND(F.lit(VENDORED)) != 0)
     index = (
         seeds.select(place, F.explode("lines").alias("line"))
+        .distinct()
         .groupBy("line")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last"), F.approx_count_distinct("place").alias("inside"))
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("inside"))
     )
     others = marked.where("marks = 0").select("unit", place, F.explode("lines").alias("line"))
     hits = materialize(others.join(index, "line").where("first != place or last != place").drop("first", "last"))
-    # a line that more repositories have outside of vendored files than inside is an idiom, no trace
-    rare = hits.groupBy("line").agg(F.approx_count_distinct("place").alias("outside"), F.max("inside").alias("inside"))
-    rare = rare.where("outside <= 10 + 10 * inside").select("line")
-    shared = hits.join(rare, "line").groupBy("unit").agg(F.count("*").alias("shared")).where(f"shared >= {SHARED_LINES}")
-    copies = (
-        marked.select("unit", "id", F.size("lines").alias("size"))
-        .join(shared, "unit")
-        .where(F.col("shared") >= containment * F.col("size"))
-        .select("id", F.lit(VENDORED).alias("copied"))
-        .distinct()
-    )
+    sizes = marked.where("marks = 0").select("unit", "id", F.size("lines").alias("size"))
+    shared = hits.groupBy("unit").agg(F.count("*").alias("shared")).join(sizes, "unit")
+    strangers = shared.where((F.col("shared") < SHARED_LINES) | (F.col("shared") < containment * F.col("size"))).select("unit")
+    # a line that more repositories have in units that share little else than have it in vendored files is an idiom, no
+    # trace; copies share most lines, so that any number of them makes no line an idiom
+    idioms = (
+        hits.join(strangers, "unit").groupBy("line", "place").agg(F.max("inside").alias("inside"))
+        .groupBy("line").agg(F.count("*").alias("outside"), F.max("inside").alias("inside"))
+        .where("outside > 10 + 10 * inside").select("line", F.lit(1).alias("idle"))
+    )
+    # idioms count neither as shared nor as lines of the unit
+    told = hits.join(idioms, "line", "left").groupBy("unit").agg(F.count("*").alias("all"), F.count("idle").alias("idle"))
+    told = told.join(sizes, "unit").withColumn("shared", F.col("all") - F.col("idle")).where(f"shared >= {SHARED_LINES}")
+    copies = told.where(F.col("shared") >= containment * (F.col("size") - F.col("idle"))).select("id", F.lit(VENDORED).alias("copied")).distinct()
     own = marked.select("id", "repo", "path", "marks").join(copies, "id", "left")
     own = own.withColumn("marks", F.col("marks").bitwiseOR(F.coalesce("copied", F.lit(0)))).drop("copied")
     files = units.where("whole").select("id").distinct().join(own, "id").where("marks > 0")

@@ -243,6 +243,26 @@ def test_not_handwritten_table(spark):
     assert handwritten.not_handwritten(df.where("false"), "data_id", F.col("repo"), "path", whole, "code").count() == 0
 
 
+def test_popular_library_and_idioms(spark):
+    from pyspark.sql import functions as F
+
+    lib = [f"value_{i} = compute_thing_{i}(argument, {i})" for i in range(20)]
+    idiom = ["if __name__ == '__main__':", "logger = logging.getLogger(__name__)", "parser = argparse.ArgumentParser()", "arguments = parser.parse_args()", "sys.exit(main(arguments))"]
+    own = lambda n, k: [f"own_{n}_{i} = something_else_{n}({i})" for i in range(k)]
+    rows = [("lib", "r0", "vendor/lib/a.py", "\n".join(lib + idiom))]
+    # many edited copies; many files that share the idioms only, most of one of them idioms; a copy of 3 of 5 lines that are none
+    rows += [(f"copy{n}", f"c{n}", "src/a.py", "\n".join(lib[: 16 + n % 4] + own(n, 4))) for n in range(60)]
+    rows += [(f"hand{n}", f"h{n}", "src/b.py", "\n".join(idiom + own(n, 30))) for n in range(60)]
+    rows += [("short", "s0", "src/c.py", "\n".join(idiom + own(900, 3))), ("most", "s1", "src/d.py", "\n".join(idiom + lib[:6] + own(901, 4)))]
+    rows += [("less", "s2", "src/e.py", "\n".join(idiom + lib[:6] + own(902, 5)))]
+    df = spark.createDataFrame([(*r, "function") for r in rows], "data_id string, repo string, path string, code string, unit_type string")
+    got = {r.id for r in handwritten.not_handwritten(df, "data_id", F.col("repo"), "path", F.lit(False), "code").collect()}
+    # by brute force: idioms left out of numerator and denominator
+    lines = {i: set(code.split("\n")) - set(idiom) for i, _, _, code in rows}
+    want = {i for i, x in lines.items() if len(x & set(lib)) >= max(5, 0.6 * len(x))}
+    assert got == want and {"copy0", "copy59", "most"} <= got and not {"short", "less", "hand0"} & got
+
+
 def test_encoding_round_trip(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import os
