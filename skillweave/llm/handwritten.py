@@ -119,14 +119,23 @@ def is_mapped(text: str) -> bool:
     return bool(_MAPPED.match(bare, bare.rfind("\n") + 1))
 
 
-def content_marks(text: str, ext: str) -> int:
+def told_marks(text: str, ext: str) -> int:
+    """What a text says of itself in its header and its last line."""
+    if ext in ("json", "yaml", "yml"):
+        return 0
     head = header(text)
     marks = 0
     if head and _GENERATED.search(head):
         marks |= GENERATED
     if head and _VENDORED.search(head):
         marks |= VENDORED
-    if is_mapped(text) or is_dense(text):
+    return marks | (MINIFIED if is_mapped(text) else 0)
+
+
+def content_marks(text: str, ext: str, told: int | None = None) -> int:
+    told = told_marks(text, ext) if told is None else told
+    marks = told & ~MINIFIED
+    if told & MINIFIED or is_dense(text):
         marks |= DATA if is_data(text, ext) else MINIFIED
     elif is_data(text, ext):
         marks |= DATA
@@ -147,15 +156,17 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            marks, hashes = [], []
+            marks, told, chars, hashes = [], [], [], []
             for ext, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                marks.append(content_marks(text, ext))
+                told.append(told_marks(text, ext))
+                marks.append(content_marks(text, ext, told[-1]))
+                chars.append(len(text))
                 hashes.append(line_hashes(text).view(np.int64))
             numbers = pa.array(np.arange(number, number + batch.num_rows), pa.int64())
             number += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], numbers, pa.array(marks, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["id", "repo", "path", "unit", "marks", "lines"],
+                [*batch.columns[:3], numbers, *(pa.array(x, pa.int32()) for x in (marks, told, chars)), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["id", "repo", "path", "unit", "marks", "told", "chars", "lines"],
             )
 
 
@@ -166,20 +177,42 @@ def path_marks(path: Column) -> Column:
     return F.when(settings, mark(VENDORED_PATH, VENDORED)).otherwise(code)
 
 
+def of_parts(parts: DataFrame, containment: float) -> DataFrame:
+    """repo, path, of_file of files that come in parts: id, part, repo, path, marks, told, chars, copied.
+
+    The first part has the file's header, any part may have its last line. Composition and copies are the file's if
+    they hold for as much of it as they must hold for of a text.
+    """
+    parts = parts.groupBy("repo", "path", "id", "part").agg(
+        F.bit_or("marks").alias("marks"), F.bit_or("told").alias("told"), F.max("chars").alias("chars"), F.max("copied").alias("copied")
+    )
+    bit = lambda c, b: F.col(c).bitwiseAND(F.lit(b)) != 0
+    share = lambda x: F.sum(F.when(x, F.col("chars")).otherwise(0)) / F.sum("chars")
+    mark = lambda x, b: F.when(x, b).otherwise(0)
+    header = F.bit_or(F.when(F.col("part") == 1, F.col("told").bitwiseAND(F.lit(GENERATED | VENDORED))).otherwise(0))
+    mapped = F.bit_or(F.col("told").bitwiseAND(F.lit(MINIFIED)))
+    dense, data = mark(share(bit("marks", MINIFIED)) >= DENSE_SHARE, MINIFIED), mark(share(bit("marks", DATA)) >= LITERAL_SHARE, DATA)
+    copied = mark(share(F.col("copied") > 0) >= containment, VENDORED)
+    marks = header.bitwiseOR(mapped).bitwiseOR(dense).bitwiseOR(data).bitwiseOR(copied)
+    return parts.groupBy("repo", "path").agg(marks.alias("of_file")).where("of_file > 0")
+
+
 def not_handwritten(
-    df: DataFrame, record_id: str, repo: Column, path: str, whole: Column, text: str, containment: float = CONTAINMENT
+    df: DataFrame, record_id: str, repo: Column, path: str, whole: Column, text: str, containment: float = CONTAINMENT, part: Column | None = None
 ) -> DataFrame:
     """id, marks (bits: 1 generated, 2 minified, 4 vendored, 8 data) of the records to drop.
 
-    whole: whether a record is its file's whole text, whose marks then hold for all records of the file.
+    whole: whether a record is its file's whole text, whose marks then hold for all records of the file. part: of a
+    record that is one of the parts into which a file's whole text was cut, its number from 1; null for others.
     """
     ext = F.lower(F.regexp_extract(F.col(path), r"\.([^./]+)$", 1))
     units = df.where(F.col(text).isNotNull()).select(
         F.col(record_id).alias("id"), F.coalesce(repo, F.lit("")).alias("repo"), F.col(path).alias("path"),
         ext.alias("ext"), F.col(text).alias("text"), whole.alias("whole"),
+        (F.lit(None).cast("int") if part is None else part).alias("part"),
     )
-    schema = "id string, repo string, path string, unit bigint, marks int, lines array<bigint>"
-    marked = spread(units.drop("whole")).mapInArrow(_marked, schema)
+    schema = "id string, repo string, path string, unit bigint, marks int, told int, chars int, lines array<bigint>"
+    marked = spread(units.drop("whole", "part")).mapInArrow(_marked, schema)
     marked = materialize(marked.withColumn("marks", F.col("marks").bitwiseOR(path_marks(F.col("path")))))
     # the index: lines of vendored files with the repositories they stand in; numbers stand for names, so that
     # the exchange of all other lines moves three numbers a line
@@ -207,11 +240,13 @@ def not_handwritten(
     told = hits.join(idioms, "line", "left").groupBy("unit").agg(F.count("*").alias("all"), F.count("idle").alias("idle"))
     told = told.join(sizes, "unit").withColumn("shared", F.col("all") - F.col("idle")).where(f"shared >= {SHARED_LINES}")
     copies = told.where(F.col("shared") >= containment * (F.col("size") - F.col("idle"))).select("id", F.lit(VENDORED).alias("copied")).distinct()
-    own = marked.select("id", "repo", "path", "marks").join(copies, "id", "left")
-    own = own.withColumn("marks", F.col("marks").bitwiseOR(F.coalesce("copied", F.lit(0)))).drop("copied")
+    own = marked.select("id", "repo", "path", "marks", "told", "chars").join(copies, "id", "left").withColumn("copied", F.coalesce("copied", F.lit(0)))
+    own = own.withColumn("marks", F.col("marks").bitwiseOR(F.col("copied")))
     files = units.where("whole").select("id").distinct().join(own, "id").where("marks > 0")
-    files = files.groupBy("repo", "path").agg(F.bit_or("marks").alias("of_file"))
-    final = own.join(files, ["repo", "path"], "left")
+    files = files.select("repo", "path", F.col("marks").alias("of_file"))
+    cut = units.where("part is not null").select("id", "part").distinct().join(own, "id")
+    files = files.unionByName(of_parts(cut, containment)).groupBy("repo", "path").agg(F.bit_or("of_file").alias("of_file"))
+    final = own.drop("told", "chars", "copied").join(files, ["repo", "path"], "left")
     final = final.withColumn("marks", F.col("marks").bitwiseOR(F.coalesce("of_file", F.lit(0))))
     return final.where("marks > 0").groupBy("id").agg(F.bit_or("marks").alias("marks"))
 
@@ -219,7 +254,10 @@ def not_handwritten(
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = spark.read.parquet(f"{sf_dir}/source_unit.parquet")
     whole = F.coalesce(F.col("unit_type").isin("file", "command_entrypoint"), F.lit(False))
-    return not_handwritten(units, "data_id", repo_key(F.col("repo_name")), "relative_path", whole, "code")
+    # file::chunk_2_of_3
+    number = F.regexp_extract("symbol", r"::chunk_(\d+)_of_\d+$", 1).try_cast("int")
+    part = F.when(F.col("unit_type").isin("file_chunk", "command_entrypoint_chunk"), F.coalesce(number, F.lit(0)))
+    return not_handwritten(units, "data_id", repo_key(F.col("repo_name")), "relative_path", whole, "code", part=part)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,27 @@ def test_not_handwritten_table(spark):
     assert handwritten.not_handwritten(df.where("false"), "data_id", F.col("repo"), "path", whole, "code").count() == 0
 
 
+def test_marks_of_chunked_files(spark):
+    from pyspark.sql import functions as F
+
+    dense, table = "!function(){" + "var a=b.c(d,1);if(e){f(g)}" * 40 + "}();", "    0x01, 0xff, 0x10,\n" * 60
+    lib = ["\n".join(f"value_{i}_{k} = compute_thing_{i}(argument, {k})" for i in range(30)) for k in range(2)]
+    files = {
+        "gen.py": ["# Code generated by tool. DO NOT EDIT.\n" + HAND, HAND, HAND], "late.py": [HAND, "# Code generated by tool. DO NOT EDIT.\n" + HAND, HAND],
+        "banner.js": ["/*! lib v1.2.3 | MIT */\nf();\n", "g();\n"], "map.js": ["f();\n" * 9, "g();\n//# sourceMappingURL=x.map\n"],
+        "dense.js": [dense, dense, "f();\n"], "mixed.js": [dense, HAND * 20], "data.py": ["T = [\n" + table, table, "]\n" + HAND], "some.py": ["T = [\n" + table + "]\n", HAND * 20],
+        "copy.py": [lib[0], lib[1], HAND], "node_modules/l/a.py": lib,
+    }
+    rows = [(f"{p} {n}", "r0" if "modules" in p else "r1", p, n, x) for p, parts in files.items() for n, x in enumerate(parts, 1)]
+    rows += [("of gen", "r1", "gen.py", None, HAND), ("other repo", "r2", "gen.py", None, HAND)]
+    df = spark.createDataFrame(rows + rows[:1], "data_id string, repo string, path string, part int, code string")
+    marks = handwritten.not_handwritten(df, "data_id", F.col("repo"), "path", F.lit(False), "code", part=F.col("part"))
+    got = {r.id: r.marks for r in marks.collect()}
+    every = {"gen.py": 1, "banner.js": 4, "map.js": 2, "dense.js": 2, "data.py": 8, "copy.py": 4, "node_modules/l/a.py": 4}
+    want = {f"{p} {n}": m for p, m in every.items() for n in range(1, len(files[p]) + 1)} | {"of gen": 1, "late.py 2": 1, "mixed.js 1": 2, "some.py 1": 8}
+    assert got == want
+
+
 def test_popular_library_and_idioms(spark):
     from pyspark.sql import functions as F
 
