@@ -245,6 +245,21 @@ def strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.code_fence_stripped(wrapped).alias("inside"))
 
 
+_FENCE = rf"(?s)\A```(?:[A-Za-z0-9_+.-]+)?{_WS}*\n?(.*?)\n?```\z"
+_INSIDE = f"case when regexp_matches({{0}}, '{_FENCE}') then trim(regexp_extract({{0}}, '{_FENCE}', 1), {_SPACES}) else {{0}} end"
+
+
+@query(
+    f"with d as (select doc_id, trim(text, {_SPACES}) as r, trim(chr(10) || '```python' || chr(10) || text || chr(10) || '```  ', {_SPACES}) as w from documents) "
+    f"select doc_id, {_INSIDE.replace('{0}', 'r')} as raw, {_INSIDE.replace('{0}', 'w')} as wrapped from d"
+)
+def strip_fence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, those that hold fences of their own too, as they are and wrapped."""
+    wrapped = F.concat(F.lit("\n```python\n"), "text", F.lit("\n```  "))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.code_fence_stripped(F.col("text")).alias("raw"), text.code_fence_stripped(wrapped).alias("wrapped"))
+
+
 @query(
     "with c as (select distinct card_id, " + ", ".join(f"{_bounded(c, n)} as {c}" for c, n in (("transfer_title", 12), ("transfer_summary", 60)))
     + f", {_SNAKE.format(_bounded('task_family', 3))} as fam from purpose_index) "

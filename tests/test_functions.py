@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skillweave import queries
 from skillweave.functions import normalize as N
 from skillweave.functions import text as T
 from skillweave.functions.guards import low_value_reason
@@ -90,6 +93,25 @@ def test_code_fence(spark):
     assert {r.t: r.s for r in df.select("t", T.code_fence_stripped(F.col("t")).alias("s")).collect()} == cases
 
 
+def test_fences_of_all_documents(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    parts = ["```", "```py\n", "\n```", "x", " ", "\n", "\u2003"]
+    texts = [None, "", *("".join(x) for n in range(1, 5) for x in itertools.product(parts, repeat=n))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def inside(text: str | None) -> str | None:
+        if text is None:
+            return None
+        m = re.fullmatch(r"```(?:[A-Za-z0-9_+.-]+)?\s*\n?(.*?)\n?```", text.strip(), re.S)
+        return m[1].strip() if m else text.strip()
+
+    want = {(i, inside(t), inside(None if t is None else f"\n```python\n{t}\n```  ")) for i, t in enumerate(texts)}
+    assert {tuple(r) for r in queries.QUERIES["strip_fence_whole"](spark, str(tmp_path)).collect()} == want
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert set(db.execute(queries.SQL["strip_fence_whole"]).fetchall()) == want
+
+
 def record(**more: object) -> dict:
     own = {"data_id": "a", "repo_name": "r", "symbol": "f", "level": "atomic", "name": "", "summary": "s" * 80, "when_to_use": ""}
     return own | {c: [] for c in purpose_index.LISTS} | more
