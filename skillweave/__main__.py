@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from skillweave.functions.vocab import STAGES
 from skillweave.operators import purpose_index
 from skillweave.plans import prompts
-from skillweave.plans.config import ModelSettings, Settings
-from skillweave.plans.pipeline import Pipeline
+from skillweave.plans.config import Settings, read_settings
+from skillweave.plans.materialize import materialize, release
+from skillweave.plans.pipeline import Pipeline, absolute
 from skillweave.sources import jsonl
 
 #: one invented unit with everything a stage may see
@@ -43,15 +43,24 @@ def show_prompts(spark: SparkSession, stage: str) -> list[dict]:
     return jsonl.plain(one.select(prompts.BUILDERS[stage]().alias("m")).first()["m"])
 
 
+
 def index_purposes(spark: SparkSession, source: str, target: str) -> dict:
-    inferred = purpose_index.infer(purpose_index.records_of(jsonl.read_lines(spark, source), "payload")).cache()
-    out = Path(target).expanduser().resolve()
+    """Cards at target, edges and dropped records beside it. A line that is no object ends it with its file:line."""
+    lines = purpose_index.records_of(jsonl.read_lines(spark, source), "payload")
+    try:
+        inferred = materialize(purpose_index.infer(lines))
+    except Exception as e:
+        if at := jsonl.first_bad_line(spark, source):
+            raise ValueError(f"{at}: not a JSON object") from e
+        raise
+    out = absolute(target)
+    stem = out.removesuffix(".jsonl").removesuffix(".json")
     cards, edges, dropped = purpose_index.cards(inferred), purpose_index.edges(inferred), purpose_index.dropped(inferred)
-    jsonl.write_lines(cards, str(out), ("purpose_id",))
-    jsonl.write_lines(edges, str(out.with_name(f"{out.stem}_edges.jsonl")))
-    jsonl.write_lines(dropped, str(out.with_name(f"{out.stem}_dropped.jsonl")))
-    said = {"purpose_cards": cards.count(), "edges": edges.count(), "dropped": dropped.count(), "output": str(out)}
-    inferred.unpersist()
+    jsonl.write_lines(cards, out, ("purpose_id",))
+    jsonl.write_lines(edges, f"{stem}_edges.jsonl")
+    jsonl.write_lines(dropped, f"{stem}_dropped.jsonl")
+    said = {"purpose_cards": cards.count(), "edges": edges.count(), "dropped": dropped.count(), "output": out}
+    release(inferred)
     return said
 
 
@@ -64,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         run.add_argument(option)
     run.add_argument("--api-key-env", default="OPENAI_API_KEY")
     run.add_argument("--allow-public-model-url", action="store_true")
+    run.add_argument("--tables-only", action="store_true", help="leave out the single files beside the tables")
     show = commands.add_parser("show-prompts", help="print what one stage's model sees")
     show.add_argument("--stage", required=True, choices=STAGES)
     index = commands.add_parser("purpose-index", help="build the purpose view of accepted records")
@@ -73,11 +83,12 @@ def main(argv: list[str] | None = None) -> int:
     settings = None
     if args.command == "run":
         if args.config:
-            settings = Settings.load(args.config)
+            settings = read_settings(args.config)
             settings.output_dir = args.output_dir or settings.output_dir
         elif args.base_url and args.model:
-            model = ModelSettings(args.base_url, args.model, args.api_key_env, allow_public_url=args.allow_public_model_url)
-            settings = Settings(model, output_dir=args.output_dir or "runs/latest")
+            model = {"base_url": args.base_url, "model": args.model, "api_key_env": args.api_key_env}
+            model["allow_public_url"] = args.allow_public_model_url
+            settings = Settings(model=model, output_dir=args.output_dir or "runs/latest")
         else:
             raise SystemExit("run needs --config, or --base-url and --model")
     spark = SparkSession.builder.appName("skillweave").getOrCreate()
@@ -86,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "purpose-index":
         said = index_purposes(spark, args.input, args.output)
     else:
-        said = Pipeline(spark, settings).run(args.input)["summary"]
+        said = Pipeline(spark, settings).run(args.input, export=not args.tables_only)["summary"]
     print(json.dumps(said, ensure_ascii=False, indent=2))
     return 0
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skillweave.functions.text import any_of, trimmed_items
-from skillweave.functions.vocab import LANGUAGES, SECRET_MARKERS
+from skillweave.functions.text import any_of
+from skillweave.functions.vocab import LANGUAGES, SECRET_MARKERS, TEST_DIRS, TEST_ENDS, TEST_START
 
 ENTRYPOINT_NAMES = "main.py main.go main.rs cli.py index.js index.ts".split()
 
@@ -24,10 +24,7 @@ def is_test_path(path: Column) -> Column:
     """Files under tests/ or test/, named test_*, *_test.py, or *.spec/.test of ts and js."""
     whole = F.concat(F.lit("/"), F.lower(F.replace(path, F.lit("\\"), F.lit("/"))))
     name = base_name(whole)
-    ends = ["_test.py", ".spec.ts", ".spec.js", ".test.ts", ".test.js"]
-    return any_of(
-        [whole.contains("/tests/"), whole.contains("/test/"), name.startswith("test_")] + [name.endswith(x) for x in ends]
-    )
+    return any_of([whole.contains(x) for x in TEST_DIRS] + [name.startswith(TEST_START)] + [name.endswith(x) for x in TEST_ENDS])
 
 
 def secret_marker(text: Column) -> Column:
@@ -68,19 +65,3 @@ def unit_id(repo: Column, path: Column, symbol: Column, start: Column, end: Colu
     """20 hexadecimal digits of the unit's provenance, place and body."""
     seed = F.concat_ws("|", repo, path, symbol, start.cast("string"), end.cast("string"), code)
     return F.substring(F.sha1(seed), 1, 20)
-
-
-def low_value_reason(symbol: Column, summary: Column, blob: Column, workflow: Column, invariants: Column, errors: Column) -> Column:
-    """Why a skill record is not worth indexing; "" if it is. The first reason wins."""
-    steps = F.size(trimmed_items(workflow))
-    flat = r"(?i)\bgetter\b|\bsetter\b|\btrivial\b|\bthin wrapper\b|\blogging[- ]only\b|\bconstant mapping\b"
-    thin = (F.length(summary) < 80) & (steps <= 1)
-    bare = (F.size(trimmed_items(invariants)) == 0) & (F.size(trimmed_items(errors)) == 0)
-    shown = any_of([symbol.contains(x) for x in ("toString", "__str__", "__repr__")])
-    return (
-        F.when(blob.rlike(flat), F.lit("boilerplate_or_trivial"))
-        .when(symbol.rlike("^(get|set|is|has)[A-Z_]") & (steps <= 1), F.lit("getter_setter_like"))
-        .when(thin & bare, F.lit("too_little_reusable_logic"))
-        .when(shown, F.lit("representation_only"))
-        .otherwise(F.lit(""))
-    )

@@ -72,10 +72,8 @@ def accepted_json(decisions: DataFrame) -> DataFrame:
     """data_id, json: one key-sorted object per accepted record. adjudication is an explicit null where there was
     none; reconstruction is there for equivalence accepts only, retrieval only where it exists."""
     plain = lambda c: F.to_json(F.col(c), {"ignoreNullFields": "false"})
-    text = lambda c: F.to_json(F.array(F.col(c)))
     inner = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
     member = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
-    del text
     keys: dict[str, Column] = {
         name: member(name, inner(name)) for name in ("accepted_stage", "data_id", "rationale", "relative_path", "repo_name", "symbol")
     }

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skillweave.functions import purpose as P
-from skillweave.functions.guards import low_value_reason
 from skillweave.functions.normalize import field
-from skillweave.functions.text import tokens, trimmed_items
 from skillweave.plans.materialize import materialize
 
 TEXTS = "level name summary when_to_use transfer_title transfer_summary".split()
@@ -69,28 +67,23 @@ def records_of(lines: DataFrame, payload: str) -> DataFrame:
 
 
 def infer(records: DataFrame) -> DataFrame:
-    """Flat records with reason ("" if indexed), the inferred purpose, purpose_id and score."""
-    flat = flat_records(records)
-    lists = {c: F.col(c) for c in LISTS}
-    text = P.blob(F.col("symbol"), F.col("name"), F.col("summary"), F.col("when_to_use"), lists)
-    summary = F.coalesce("summary", F.lit(""))
-    own = flat.withColumn("_blob", text)
-    reason = low_value_reason(F.col("symbol"), summary, F.col("_blob"), lists["workflow"], lists["invariants"], lists["error_cases"])
-    own = own.withColumn("reason", reason).withColumn("_words", tokens(F.col("_blob")))
-    words = F.col("_words")
-    own = own.withColumns(
-        {"intent_action": P.action(words), "intent_target": P.target(words), "task_family": P.family(F.col("given_family"), words)}
-    )
-    return own.withColumns(
-        {
-            "lifecycle_stage": P.lifecycle(F.col("intent_action")),
-            "io_shape": P.io_shape(F.col("inputs"), F.col("outputs")),
-            "constraint_signature": P.signature(F.col("invariants"), F.col("anti_goals")),
-            "failure_signature": P.signature(F.col("error_cases")),
-            "purpose_id": P.purpose_id(F.col("task_family"), F.col("intent_action"), F.col("intent_target")),
-            "score": P.representative_score(F.col("level"), summary, lists),
-        }
-    ).drop("_blob", "_words", "given_family")
+    """Flat records with reason ("" if indexed), the inferred purpose, purpose_id and score. Null texts are empty,
+    null lists too; a null item is the text None."""
+    lists = {c: f"_{c}" for c in LISTS}
+    own = flat_records(records).selectExpr("*", *[f"{P.items(c)} as {x}" for c, x in lists.items()])
+    own = own.selectExpr("*", f"{P.blob(lists[c] for c in P.BLOB_LISTS)} as _blob")
+    own = own.selectExpr("*", f"{P.low_value_reason(lists)} as reason", f"{P.tokens('_blob')} as _words").drop("_blob")
+    own = own.selectExpr("*", f"{P.verb_at('_words')} as _at", f"{P.family_hits('_words')} as _hits")
+    own = own.selectExpr(
+        "*", f"{P.action('_words', '_at')} as intent_action", f"{P.target('_words', '_at')} as intent_target",
+        f"{P.family('given_family', '_hits')} as task_family",
+    )
+    return own.selectExpr(
+        "*", f"{P.lifecycle('intent_action')} as lifecycle_stage", f"{P.io_shape('_inputs', '_outputs')} as io_shape",
+        f"{P.signature('_invariants', '_anti_goals')} as constraint_signature", f"{P.signature('_error_cases')} as failure_signature",
+        f"{P.purpose_id('task_family', 'intent_action', 'intent_target')} as purpose_id",
+        f"{P.representative_score('level', 'summary', lists)} as score",
+    ).drop("_words", "_at", "_hits", "given_family", *lists.values())
 
 
 def dropped(inferred: DataFrame) -> DataFrame:
@@ -113,30 +106,29 @@ def level_histogram(inferred: DataFrame) -> DataFrame:
 
 
 def cards(inferred: DataFrame) -> DataFrame:
-    """One row per purpose. Support, repositories, levels and the representative come from one pre-aggregation by
-    purpose, repository and level, so that a hot purpose is combined before it moves and no group is collected."""
-    kept = inferred.where("reason = ''")
-    title = F.coalesce(*[F.when(F.coalesce(c, F.lit("")) != "", F.col(c)) for c in ("name", "transfer_title")], F.lit(""))
-    short = F.coalesce(*[F.when(F.coalesce(c, F.lit("")) != "", F.col(c)) for c in ("summary", "transfer_summary")], F.lit(""))
-    shown = F.struct(
-        *KEY, F.col("data_id").alias("representative_data_id"), F.round("score", 6).alias("representative_score"),
-        title.alias("transfer_title"), short.alias("transfer_summary"), *[trimmed_items(F.col(c)).alias(c) for c in CARD_LISTS],
-    )
-    # records are read and inferred once: everything below comes from this pre-aggregated table
+    """One row per purpose. Support, repositories, levels and the winner's key come from one pre-aggregation by
+    purpose, repository and level that moves no texts, so that a hot purpose is combined before it moves and no group
+    is collected; the winners' texts are joined after the arg-max. Equal keys are one record that came more than
+    once: its largest row stands."""
+    kept = materialize(inferred.where("reason = ''"))
     key = F.struct("score", "data_id")
-    small = kept.groupBy("purpose_id", "repo_name", _level()).agg(
-        F.count("*").alias("n"), F.max_by(shown, key).alias("best"), F.max(key).alias("key")
-    )
-    small = materialize(small)
-    by_repo = small.groupBy("purpose_id", "repo_name").agg(
-        F.sum("n").alias("n"), F.max_by("best", "key").alias("best"), F.max("key").alias("key")
-    )
+    small = materialize(kept.groupBy("purpose_id", "repo_name", _level()).agg(F.count("*").alias("n"), F.max(key).alias("key")))
+    by_repo = small.groupBy("purpose_id", "repo_name").agg(F.sum("n").alias("n"), F.max("key").alias("key"))
     best = by_repo.groupBy("purpose_id").agg(
-        F.sum("n").alias("support_count"), F.count("*").alias("repo_support"), F.max_by("best", "key").alias("best")
+        F.sum("n").alias("support_count"), F.count("*").alias("repo_support"), F.max("key").alias("key")
     )
     by_level = small.groupBy("purpose_id", "level").agg(F.sum("n").alias("n"))
     levels = by_level.groupBy("purpose_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("level_counts")
     )
-    whole = best.join(levels, "purpose_id")
-    return whole.select("purpose_id", "support_count", "repo_support", "level_counts", "best.*")
+    first = lambda a, b: f"coalesce(nullif({a}, ''), nullif({b}, ''), '')"
+    texts = kept.selectExpr(
+        "purpose_id", "struct(score, data_id) as key", *KEY, "data_id as representative_data_id", "round(score, 6) as representative_score",
+        f"{first('name', 'transfer_title')} as transfer_title", f"{first('summary', 'transfer_summary')} as transfer_summary",
+        *[f"{P.items(c)} as {c}" for c in CARD_LISTS],
+    )
+    shown = [c for c in texts.columns if c not in ("purpose_id", "key")]
+    winners = best.join(texts, ["purpose_id", "key"]).groupBy("purpose_id", "support_count", "repo_support").agg(
+        F.max(F.struct(*shown)).alias("best")
+    )
+    return winners.join(levels, "purpose_id").select("purpose_id", "support_count", "repo_support", "level_counts", "best.*")

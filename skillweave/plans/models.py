@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import os
 import socket
 import time
 import urllib.error
@@ -12,7 +13,7 @@ from collections.abc import Callable, Mapping
 from typing import Any, Protocol
 from urllib.parse import urlsplit
 
-from skillweave.plans.config import ModelSettings
+from skillweave.plans.config import Section, model_url
 
 Messages = list[dict[str, str]]
 
@@ -47,8 +48,8 @@ def check_endpoint(url: str, allow_public: bool = False) -> None:
 class HttpClient:
     """Chat completions over HTTP, with retries."""
 
-    def __init__(self, settings: ModelSettings) -> None:
-        base = settings.url().rstrip("/")
+    def __init__(self, settings: Section) -> None:
+        base = model_url(settings).rstrip("/")
         check_endpoint(base, settings.allow_public_url)
         self.settings = settings
         self.endpoint = base if base.endswith("/chat/completions") else f"{base}/chat/completions"
@@ -60,7 +61,8 @@ class HttpClient:
         if as_json:
             body["response_format"] = {"type": "json_object"}
         headers = {"Content-Type": "application/json"}
-        if key := s.api_key():
+        # read where it is used, on an executor; only the variable's name travels
+        if key := os.environ.get(s.api_key_env, ""):
             headers["Authorization"] = f"Bearer {key}"
         call = urllib.request.Request(self.endpoint, json.dumps(body).encode(), headers, method="POST")
         for attempt in range(s.max_retries + 1):

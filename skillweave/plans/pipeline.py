@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions import normalize
-from skillweave.functions.text import code_fence_stripped, strip
+from skillweave.functions.text import code_fence_stripped
 from skillweave.operators import decisions, parsing, purpose_index, selection
 from skillweave.plans import prompts
 from skillweave.plans.config import Settings
@@ -55,6 +55,11 @@ def normalised(answers: DataFrame, normaliser, name: str, error: str) -> DataFra
     return own.select("data_id", F.when(F.col("object").isNotNull(), value).alias(name), failed.alias(error))
 
 
+def absolute(path: str) -> str:
+    """A path with a scheme as it is, any other one absolute on this machine."""
+    return path.rstrip("/") if "://" in path else str(Path(path).expanduser().resolve())
+
+
 class Pipeline:
     """One run: set-at-a-time stages, each materialised before the next is asked."""
 
@@ -82,7 +87,7 @@ class Pipeline:
         """The decision table of units. Each stage sees the units that reached it; its answers are on disk before
         the next gate reads them."""
         p, s = self.settings.pipeline, self.settings.scan
-        answers = Answers(self.spark, f"{work}/answers", p.concurrency)
+        answers = Answers(self.spark, f"{work}/answers", p.concurrency, p.store_full_traces)
 
         def stage(some: DataFrame, name: str, normaliser, column: str) -> DataFrame:  # noqa: ANN001
             asked = answers.ask(some, name, prompts.BUILDERS[name](), self.client)
@@ -137,10 +142,11 @@ class Pipeline:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def run(self, path: str, output_dir: str | None = None, export: bool = True) -> dict:
-        """Runs everything and returns the manifest. Tables are under output_dir/tables; with export the lines and
-        documents that other tools read are beside them."""
-        root = str(Path(output_dir or self.settings.output_dir).expanduser().resolve())
+    def run(self, path: str, output_dir: str | None = None, export: bool = False) -> dict:
+        """Runs everything and returns the manifest. Tables are under output_dir/tables, output_dir being any path
+        that Hadoop knows; with export the single files that other tools read are beside them, written by the
+        driver, one partition at a time."""
+        root = absolute(output_dir or self.settings.output_dir)
         work = f"{root}/tables"
         units, skipped = self.scan(path)
         units, skipped = self._kept(units, f"{work}/source_units"), self._kept(skipped, f"{work}/scan_skipped")
@@ -165,7 +171,7 @@ class Pipeline:
         manifest = {
             "schema_version": "1.0",
             "created_at": dt.datetime.now(dt.timezone.utc).isoformat(),
-            "input_path": str(Path(path).expanduser().resolve()),
+            "input_path": absolute(path),
             "output_dir": root,
             "config": self.settings.to_dict(),
             "summary": summary,
@@ -177,8 +183,8 @@ class Pipeline:
         }
         if export:
             self._export(root, units, skipped, decided, tables)
-        jsonl.write_document(summary, f"{root}/summary.json")
-        jsonl.write_document(manifest, f"{root}/manifest.json")
+        jsonl.write_document(self.spark, summary, f"{root}/summary.json")
+        jsonl.write_document(self.spark, manifest, f"{root}/manifest.json")
         return manifest
 
     def _export(self, root: str, units: DataFrame, skipped: DataFrame, decided: DataFrame, tables: dict[str, DataFrame]) -> None:
@@ -197,7 +203,5 @@ class Pipeline:
         if traces is not None and self.settings.pipeline.store_full_traces:
             for row in jsonl.objects(traces):
                 shown = {"stage": row["stage"], "messages": row["messages"], "raw_response": row["answer"], "error": row["error"]}
-                jsonl.write_document(shown, f"{root}/traces/{row['data_id']}/{row['stage']}.json")
-
+                jsonl.write_document(self.spark, shown, f"{root}/traces/{row['data_id']}/{row['stage']}.json")
 
-del strip

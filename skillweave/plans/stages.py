@@ -2,7 +2,8 @@
 
 A gate over a model's answer must not make Spark ask again, so answers are a table, not a cached plan. The
 table is keyed by unit, stage and the messages' hash; a run that is started again asks only for what is
-missing. Calls in flight are bounded by the number of tasks, one call per task at a time.
+missing. Calls in flight are bounded by the number of tasks, one call per task at a time. Without full traces the
+messages never reach the disk, only their hash does.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillweave.plans.materialize import exists
 from skillweave.plans.models import ModelClient
 
 ANSWERS = "data_id string, stage string, request string, messages array<struct<role: string, content: string>>, answer string, error string"
@@ -21,7 +23,9 @@ _MESSAGES = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]
 _SCHEMA = pa.schema([*_TYPES, ("messages", _MESSAGES), ("answer", pa.string()), ("error", pa.string())])
 
 
-def _ask(batches: Iterator[pa.RecordBatch], client: ModelClient, stage: str, as_json: bool) -> Iterator[pa.RecordBatch]:
+def _ask(
+    batches: Iterator[pa.RecordBatch], client: ModelClient, stage: str, as_json: bool, full: bool
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             answer, error = None, ""
@@ -29,18 +33,18 @@ def _ask(batches: Iterator[pa.RecordBatch], client: ModelClient, stage: str, as_
                 answer = client.complete(stage, row["data_id"], row["messages"], as_json)
             except Exception as e:  # noqa: BLE001 - whatever a client raises is the unit's error, not the job's
                 error = str(e) or type(e).__name__
-            yield pa.RecordBatch.from_pylist([row | {"stage": stage, "answer": answer, "error": error}], _SCHEMA)
+            said = {} if full else {"messages": None}
+            yield pa.RecordBatch.from_pylist([row | said | {"stage": stage, "answer": answer, "error": error}], _SCHEMA)
 
 
 class Answers:
     """The response table of a run, one directory per stage."""
 
-    def __init__(self, spark: SparkSession, path: str, concurrency: int) -> None:
-        self.spark, self.path, self.concurrency = spark, path.rstrip("/"), concurrency
+    def __init__(self, spark: SparkSession, path: str, concurrency: int, full: bool = True) -> None:
+        self.spark, self.path, self.concurrency, self.full = spark, path.rstrip("/"), concurrency, full
 
     def _known(self, stage: str) -> DataFrame | None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{stage}")
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        if not exists(self.spark, f"{self.path}/{stage}"):
             return None
         return self.spark.read.schema(ANSWERS).parquet(f"{self.path}/{stage}")
 
@@ -53,7 +57,7 @@ class Answers:
         wanted = out
         if known is not None:
             wanted = out.join(known.where("error = ''").select("data_id", "request"), ["data_id", "request"], "left_anti")
-        asked = wanted.repartition(self.concurrency).mapInArrow(lambda it: _ask(it, client, stage, as_json), ANSWERS)
+        asked = wanted.repartition(self.concurrency).mapInArrow(lambda it, full=self.full: _ask(it, client, stage, as_json, full), ANSWERS)
         asked.write.mode("append").parquet(f"{self.path}/{stage}")
         whole = self.spark.read.schema(ANSWERS).parquet(f"{self.path}/{stage}")
         own = whole.join(out.select("data_id", "request"), ["data_id", "request"], "left_semi")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions import guards, normalize, text
-from skillweave.functions import purpose as P
 from skillweave.functions.vocab import (
     CAPABILITY_TAGS,
     FAMILY_HINTS,
@@ -548,5 +547,3 @@ def purpose_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "representative_data_id", "transfer_title", "transfer_summary", F.array_join("workflow", "|").alias("workflow"),
     )
 
-
-del Column, P

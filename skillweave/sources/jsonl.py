@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from pathlib import Path
+import tempfile
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions.text import strip
+from skillweave.plans.materialize import upload
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,6 +25,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def first_bad_line(spark: SparkSession, path: str) -> str:
+    """file:line of a line that is no object, "" if there is none. Lines are numbered only for files that hold one."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(strip(F.col("value")) != "")
+    bad = lines.where(~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
+    found = bad.groupBy("value").agg(F.min("file").alias("file")).orderBy("file", "value").limit(1).collect()
+    if not found:
+        return ""
+    whole = spark.read.text(found[0]["file"], wholetext=True)
+    numbered = whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "line"))
+    at = numbered.where(F.col("line") == found[0]["value"]).agg(F.min("at")).first()[0]
+    return f"{found[0]['file']}:{at + 1}"
+
+
 def plain(value: object) -> object:
     """Rows as dictionaries at every depth."""
     if isinstance(value, Row):
@@ -39,29 +53,27 @@ def objects(df: DataFrame) -> Iterator[dict]:
 
 
 def write_lines(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
-    """One key-sorted object per line, in one local file, for people and other tools. The driver holds one
-    partition at a time. For large results use write_table."""
+    """One key-sorted object per line, in one file, for people and other tools. The driver holds one partition at a
+    time. For large results use write_table."""
     rows = objects(df.orderBy(*order) if order else df)
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("w", encoding="utf-8") as out:
-        for row in rows:
-            out.write(json.dumps(row, ensure_ascii=False, sort_keys=True, default=str) + "\n")
+    write_text(df.sparkSession, (json.dumps(row, ensure_ascii=False, sort_keys=True, default=str) + "\n" for row in rows), path)
 
 
 def write_raw_lines(df: DataFrame, column: str, path: str, order: tuple[str, ...] = ()) -> None:
     """A column of finished JSON texts, normalised to key-sorted lines."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("w", encoding="utf-8") as out:
-        for row in (df.orderBy(*order) if order else df).select(column).toLocalIterator():
-            out.write(json.dumps(json.loads(row[0]), ensure_ascii=False, sort_keys=True) + "\n")
+    rows = (df.orderBy(*order) if order else df).select(column).toLocalIterator()
+    write_text(df.sparkSession, (json.dumps(json.loads(r[0]), ensure_ascii=False, sort_keys=True) + "\n" for r in rows), path)
+
+
+def write_document(spark: SparkSession, value: object, path: str) -> None:
+    write_text(spark, [json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"], path)
 
 
-def write_document(value: object, path: str) -> None:
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+def write_text(spark: SparkSession, parts: Iterable[str], path: str) -> None:
+    """One file at any path that Hadoop knows, put together on the driver's disk and moved as a whole."""
+    with tempfile.NamedTemporaryFile("w", encoding="utf-8", prefix="skillweave-", delete=False) as out:
+        out.writelines(parts)
+    upload(spark, out.name, path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), kind: str = "json") -> None:

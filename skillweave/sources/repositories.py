@@ -1,13 +1,14 @@
 """A Spark data source that lists and reads directories of repositories.
 
-Listing happens on the driver down to the repositories' top entries, which become input partitions; the
-executors walk, guard and read. Cheap guards come first, so that skipped files are not read. Hadoop's own
+Listing happens on the driver down to as many directories as there shall be input partitions; the executors walk
+what lies below them, guard and read. Cheap guards come first, so that skipped files are not read. Hadoop's own
 listing is not used because it hides names that begin with an underscore.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -18,14 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skillweave.functions.guards import secret_marker
-from skillweave.functions.vocab import LANGUAGES, SKIP_DIRS
+from skillweave.functions.vocab import LANGUAGES, SKIP_DIRS, TEST_DIRS, TEST_ENDS, TEST_START
 
 SCHEMA = "repo_name string, repo_path string, relative_path string, size bigint, content string, skip_reason string"
 _ARROW = pa.schema(
     [(c, pa.string()) for c in ("repo_name", "repo_path", "relative_path")]
     + [("size", pa.int64()), ("content", pa.string()), ("skip_reason", pa.string())]
 )
-TEST_ENDS = ("_test.py", ".spec.ts", ".spec.js", ".test.ts", ".test.js")
 
 
 def discover(path: str) -> list[Path]:
@@ -49,15 +49,16 @@ def looks_binary(payload: bytes) -> bool:
 def test_path(relative: str) -> bool:
     whole = "/" + relative.replace("\\", "/").lower()
     name = whole.rpartition("/")[2]
-    return "/tests/" in whole or "/test/" in whole or name.startswith("test_") or name.endswith(TEST_ENDS)
+    return any(x in whole for x in TEST_DIRS) or name.startswith(TEST_START) or name.endswith(tuple(TEST_ENDS))
 
 
 @dataclass
 class Files(InputPartition):
-    """A part of a repository: its own files (top empty), or all below one of its directories."""
+    """A part of a repository: a directory's own files, or all files below it (deep)."""
 
     repo: str
     top: str
+    deep: bool
 
     def __post_init__(self) -> None:
         super().__init__(f"{self.repo}/{self.top}")
@@ -70,21 +71,24 @@ class RepositoryReader(DataSourceReader):
         self.skip_dirs = set(options.get("skip_dirs", " ".join(SKIP_DIRS)).split())
         self.include_tests = options.get("include_tests", "false").lower() == "true"
         self.max_bytes = int(options.get("max_file_bytes", "200000"))
+        self.least_parts = int(options.get("partitions", "256"))
 
     def _kept(self, name: str) -> bool:
         return name not in self.skip_dirs and not name.startswith(".")
 
     def partitions(self) -> list[Files]:
-        out = []
-        for repo in discover(self.path):
-            tops = sorted(x.name for x in os.scandir(repo) if x.is_dir(follow_symlinks=False) and self._kept(x.name))
-            out += [Files(str(repo), ""), *(Files(str(repo), x) for x in tops)]
-        return out
+        """Directories are opened level by level until there are enough parts, so that one deep directory is many."""
+        done, open_ = [], deque((str(repo), "") for repo in discover(self.path))
+        while open_ and len(done) + len(open_) < self.least_parts:
+            repo, top = open_.popleft()
+            done.append(Files(repo, top, False))
+            below = sorted(x.name for x in os.scandir(Path(repo, top)) if x.is_dir(follow_symlinks=False) and self._kept(x.name))
+            open_.extend((repo, f"{top}/{x}" if top else x) for x in below)
+        return done + [Files(repo, top, True) for repo, top in open_]
 
     def _listed(self, part: Files) -> Iterator[Path]:
-        base = Path(part.repo, part.top)
-        for current, dirs, files in os.walk(base):
-            dirs[:] = sorted(x for x in dirs if self._kept(x)) if part.top else []
+        for current, dirs, files in os.walk(Path(part.repo, part.top)):
+            dirs[:] = sorted(x for x in dirs if self._kept(x)) if part.deep else []
             for name in sorted(files):
                 if not name.startswith(".") and Path(name).suffix.lower() in self.extensions:
                     yield Path(current, name)
@@ -122,7 +126,7 @@ class RepositoryReader(DataSourceReader):
 
 class RepositorySource(DataSource):
     """spark.read.format("repositories").load(path); options: extensions and skip_dirs (blank-separated),
-    include_tests, max_file_bytes."""
+    include_tests, max_file_bytes, partitions (how many there should at least be, if there are directories enough)."""
 
     @classmethod
     def name(cls) -> str:

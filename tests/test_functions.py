@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from skillweave import queries
 from skillweave.functions import normalize as N
 from skillweave.functions import text as T
-from skillweave.functions.guards import low_value_reason
 from skillweave.operators import purpose_index, selection
 from skillweave.operators.ranking import within_top
 
@@ -193,6 +192,8 @@ def test_top_k_flags_both_sides(spark):
     assert within_top(df, "repo_path", "data_id", [F.col("data_id")], 3).count() == 102
 
 
-def test_low_value_handles_nulls(spark):
-    df = spark.createDataFrame([(None, None, None)], "a string, b string, l array<string>")
-    assert df.select(low_value_reason(F.col("a"), F.col("b"), F.col("a"), F.col("l"), F.col("l"), F.col("l"))).count() == 1
+def test_records_of_nulls(spark):
+    df = spark.createDataFrame([(None, None, [None, " ", "a b"])], "symbol string, name string, inputs array<string>")
+    own = purpose_index.infer(df).first()
+    assert (own["reason"], own["intent_action"], own["intent_target"]) == ("too_little_reusable_logic", "execute", "none")
+    assert own["io_shape"] == "none->unspecified" and own["score"] == 0.0

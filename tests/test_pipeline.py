@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from skillweave.plans.config import ModelSettings, Settings
+from skillweave.plans.config import Settings
 from skillweave.plans.models import ScriptedClient
 from skillweave.plans.pipeline import Pipeline
 
@@ -38,10 +38,10 @@ def repo(tmp_path: Path) -> Path:
     return tmp_path
 
 
-def run(spark, repo: Path, **more: object) -> tuple[dict, list[dict], Path]:
+def run(spark, repo: Path, settings: dict | None = None, **more: object) -> tuple[dict, list[dict], Path]:
     out = repo / "run"
-    pipeline = Pipeline(spark, Settings(ModelSettings("offline", "offline")), ScriptedClient(answers(**more)))
-    manifest = pipeline.run(str(repo / "repo"), str(out))
+    pipeline = Pipeline(spark, Settings(model={"base_url": "offline", "model": "offline"}, pipeline=settings or {}), ScriptedClient(answers(**more)))
+    manifest = pipeline.run(str(repo / "repo"), f"file://{out}" if settings else str(out), export=True)
     lines = (out / "accepted_records.jsonl").read_text().splitlines()
     return manifest, [json.loads(x) for x in lines], out
 
@@ -134,3 +134,12 @@ def test_second_run_asks_only_what_failed(spark, repo):
     # all answers but the last are on disk; an unreadable answer is an answer
     manifest, accepted, _ = run(spark, repo, source_tagging=never, extraction=never, regeneration=never, equivalence=never)
     assert manifest["summary"]["accepted_records"] == 1
+
+
+def test_a_uri_and_no_full_traces(spark, repo):
+    manifest, accepted, out = run(spark, repo, {"store_full_traces": False})
+    assert manifest["output_dir"] == f"file://{out}" and manifest["summary"]["accepted_records"] == 1 == len(accepted)
+    assert not (out / "traces").exists()
+    kept = spark.read.parquet(*[str(x) for x in (out / "tables" / "answers").iterdir()])
+    assert kept.where("messages is not null or answer is null").count() == 0 < kept.count()
+    assert not list(out.glob(".*.crc"))

@@ -5,33 +5,81 @@ from __future__ import annotations
 import http.server
 import json
 import threading
+from pathlib import Path
 
 import pytest
 
 from skillweave.__main__ import DEMO, DEMO_SCHEMA, index_purposes, show_prompts
 from skillweave.plans import prompts
-from skillweave.plans.config import ModelSettings, PipelineSettings, ScanSettings, Settings
+from skillweave.plans.config import Settings, model_url, read_settings
+from skillweave.plans.materialize import materialize, release, scratch, shared_dir
 from skillweave.plans.models import HttpClient, ScriptedClient, check_endpoint
 
 
+def settings(**more):
+    return Settings(**{"model": {"base_url": "u", "model": "m"}} | more)
+
+
 def test_settings(monkeypatch, tmp_path):
     monkeypatch.setenv("SOME_URL", "http://127.0.0.1:1")
-    assert ModelSettings("env:SOME_URL", "m").url() == "http://127.0.0.1:1"
+    assert model_url(settings(model={"base_url": "env:SOME_URL", "model": "m"}).model) == "http://127.0.0.1:1"
     for bad in ("env:", "env:NOT_SET_ANYWHERE"):
         with pytest.raises(ValueError):
-            ModelSettings(bad, "m").url()
+            model_url(settings(model={"base_url": bad, "model": "m"}).model)
+    for wrong, said in (
+        ({"model": {"model": "m"}}, "model.base_url is required"),
+        ({"scan": {"unknown": 1, "min_unit_lines": 0}}, "scan.unknown is unknown; scan.min_unit_lines must be at least 1"),
+        ({"pipeline": {"min_selection_score": 1.1}}, r"pipeline.min_selection_score must be in \[0, 1\]"),
+        ({"pipeline": {"concurrency": "4"}}, "pipeline.concurrency must be at least 1"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            settings(**wrong)
+    own = settings(unknown=1, scan=None, pipeline={"min_selection_score": 0.5})
+    assert own.output_dir == "runs" and own.to_dict()["scan"]["max_units_per_repo"] == 400
+    own.pipeline.concurrency = 0
     with pytest.raises(ValueError):
-        Settings.of({"model": {"model": "m"}})
-    with pytest.raises(TypeError):
-        Settings.of({"model": {"base_url": "u", "model": "m"}, "scan": {"unknown": 1}})
-    assert Settings.of({"model": {"base_url": "u", "model": "m"}, "unknown": 1}).output_dir == "runs"
-    (tmp_path / "c.json").write_text("[]")
-    with pytest.raises(ValueError):
-        Settings.load(str(tmp_path / "c.json"))
-    model = ModelSettings("u", "m")
-    for wrong in (Settings(model, ScanSettings(min_unit_lines=0)), Settings(model, pipeline=PipelineSettings(min_selection_score=1.1))):
-        with pytest.raises(ValueError):
-            wrong.validate()
+        own.validate()
+    for text in ("[]", '{"model": {"base_url": "u", "model": "m"}, "output_dir": "x"}'):
+        (tmp_path / "c.json").write_text(text)
+        if text == "[]":
+            with pytest.raises(ValueError):
+                read_settings(str(tmp_path / "c.json"))
+    assert read_settings(str(tmp_path / "c.json")).output_dir == "x"
+
+
+def test_package_exports():
+    import skillweave
+
+    assert skillweave.Settings is Settings and skillweave.HttpClient is HttpClient
+    assert all(getattr(skillweave, name) for name in skillweave.__all__)
+    with pytest.raises(AttributeError):
+        skillweave.nothing  # noqa: B018
+
+
+class _Session:
+    """As much of a session as names a master and a folder."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda self: None, "setCheckpointDir": lambda self, x: None})()
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://somewhere:7077"))
+    assert shared_dir(_Session("spark://somewhere:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(_Session("local[2]")).startswith("file://")
+
+
+def test_tables_are_dropped(spark):
+    one = materialize(spark.range(3))
+    path = Path(one._skillweave_path.removeprefix("file:"))
+    assert one.count() == 3 and path.exists()
+    with scratch():
+        two = Path(materialize(spark.range(3))._skillweave_path.removeprefix("file:"))
+    assert path.exists() and not two.exists()
+    release(one)
+    assert not path.exists()
 
 
 @pytest.mark.parametrize("url", ["ftp://localhost", "http://", "http://a:b@localhost", "http://8.8.8.8"])
@@ -60,7 +108,7 @@ def test_http_client():
 
     server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    client = HttpClient(ModelSettings(f"http://127.0.0.1:{server.server_port}/v1/", "m", max_retries=1))
+    client = HttpClient(settings(model={"base_url": f"http://127.0.0.1:{server.server_port}/v1/", "model": "m", "max_retries": 1}).model)
     assert client.endpoint.endswith("/v1/chat/completions")
     assert client.complete("extraction", "x", [{"role": "user", "content": "hi"}], True) == "hello"
     assert len(seen) == 2 and seen[1]["response_format"] == {"type": "json_object"} and seen[1]["max_tokens"] == 4096
@@ -107,3 +155,9 @@ def test_command_line(spark, tmp_path):
     said = index_purposes(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out.jsonl"))
     assert (said["purpose_cards"], said["edges"], said["dropped"]) == (1, 1, 1)
     assert json.loads((tmp_path / "out_dropped.jsonl").read_text())["reason"] == "boilerplate_or_trivial"
+
+
+def test_a_bad_line_is_named(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"data_id": "a"}\n\n[1]\n{"data_id": "b"}\n')
+    with pytest.raises(ValueError, match=r"in\.jsonl:3: not a JSON object"):
+        index_purposes(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out.jsonl"))
