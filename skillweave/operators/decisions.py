@@ -101,10 +101,11 @@ def retrieval_records(decisions: DataFrame) -> DataFrame:
     return own.select("data_id", "repo_name", "relative_path", "symbol", "retrieval.*")
 
 
-def decision_counts(decisions: DataFrame) -> DataFrame:
-    """accepted_records, rejected_records and retrieval_records in one row."""
+def decision_counts(decisions: DataFrame, *more: Column) -> DataFrame:
+    """accepted_records, rejected_records and retrieval_records (and more aggregates) in one row."""
     return decisions.agg(
         F.count_if("accepted").alias("accepted_records"),
         F.count_if(~F.col("accepted")).alias("rejected_records"),
         F.count_if(F.col("accepted") & has("retrieval")).alias("retrieval_records"),
+        *more,
     )

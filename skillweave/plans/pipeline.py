@@ -55,6 +55,21 @@ def normalised(answers: DataFrame, normaliser, name: str, error: str) -> DataFra
     return own.select("data_id", F.when(F.col("object").isNotNull(), value).alias(name), failed.alias(error))
 
 
+def summary_counters(
+    units: DataFrame, skipped: DataFrame, decided: DataFrame, cards: DataFrame, dropped: DataFrame, repositories: int
+) -> dict[str, int]:
+    """The nine counters of a run."""
+    selected = F.count_if(F.col("decision_stage") != "source_tagging").alias("selected_units")
+    return {
+        "repositories": repositories,
+        "source_units": units.count(),
+        **decisions.decision_counts(decided, selected).first().asDict(),
+        "purpose_cards": cards.count(),
+        "purpose_dropped": dropped.count(),
+        "scan_skipped": skipped.count(),
+    }
+
+
 def absolute(path: str) -> str:
     """A path with a scheme as it is, any other one absolute on this machine."""
     return path.rstrip("/") if "://" in path else str(Path(path).expanduser().resolve())
@@ -158,16 +173,8 @@ class Pipeline:
             inferred = self._kept(inferred, f"{work}/inferred")
             tables["purpose_index"] = self._kept(purpose_index.cards(inferred), f"{work}/purpose_index")
             tables["purpose_edges"], tables["purpose_dropped"] = purpose_index.edges(inferred), purpose_index.dropped(inferred)
-        counts = decisions.decision_counts(decided).first().asDict()
-        summary = {
-            "repositories": len(discover(path)),
-            "source_units": units.count(),
-            "selected_units": decided.where("decision_stage != 'source_tagging'").count(),
-            **counts,
-            "purpose_cards": tables["purpose_index"].count() if inferred is not None else 0,
-            "purpose_dropped": tables["purpose_dropped"].count() if inferred is not None else 0,
-            "scan_skipped": skipped.count(),
-        }
+        cards, dropped = (tables.get(x, units.limit(0)) for x in ("purpose_index", "purpose_dropped"))
+        summary = summary_counters(units, skipped, decided, cards, dropped, len(discover(path)))
         manifest = {
             "schema_version": "1.0",
             "created_at": dt.datetime.now(dt.timezone.utc).isoformat(),

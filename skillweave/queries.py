@@ -11,20 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillweave import sql_words as W
 from skillweave.functions import guards, normalize, text
-from skillweave.functions.vocab import (
-    CAPABILITY_TAGS,
-    FAMILY_HINTS,
-    GENERIC_NOUNS,
-    INTENT_VERBS,
-    LANGUAGES,
-    LIFECYCLE,
-    SCORES,
-    SECRET_MARKERS,
-    STOPWORDS,
-    TASK_FAMILIES,
-    VERB_ALIASES,
-)
+from skillweave.functions.vocab import CAPABILITY_TAGS, SCORES, TASK_FAMILIES
 from skillweave.operators import decisions, purpose_index, selection
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +42,6 @@ _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 _NL = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
-def _in(words: list[str]) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
 def _bounded(c: str, n: int) -> str:
     return f"coalesce(array_to_string(list_filter(regexp_split_to_array({c}, '{_WS}+'), lambda w: w != '')[1:{n}], ' '), '')"
 
@@ -65,13 +50,10 @@ def _items(c: str) -> str:
     return f"list_filter(list_transform(coalesce({c}, []), lambda y: trim(coalesce(y, 'None'), {_SPACES})), lambda y: y != '')"
 
 
-_ALIASES = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in sorted(VERB_ALIASES.items())) + "}"
-
-
 def _tokens(c: str) -> str:
     camel = rf"lower(regexp_replace(coalesce({c}, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'))"
-    found = f"list_filter(regexp_extract_all({camel}, '[A-Za-z][A-Za-z0-9]*'), lambda t: length(t) > 1 and t not in {_in(STOPWORDS)})"
-    return f"list_transform({found}, lambda t: coalesce({_ALIASES}[t], t))"
+    found = f"list_filter(regexp_extract_all({camel}, '[A-Za-z][A-Za-z0-9]*'), lambda t: length(t) > 1 and t not in ({W.STOP}))"
+    return f"list_transform({found}, lambda t: coalesce(map {{{W.ALIASES}}}[t], t))"
 
 
 _TEST = (
@@ -79,11 +61,10 @@ _TEST = (
     "or ends_with(b, '.spec.js') or ends_with(b, '.test.ts') or ends_with(b, '.test.js'))"
 )
 _PATH = "select *, '/' || lower(replace(relative_path, '\\', '/')) as p, regexp_extract(lower(replace(relative_path, '\\', '/')), '[^/]*$') as b from source_unit"
-_MARKER = "case " + " ".join(f"when regexp_matches(code, '{p}') then '{n}'" for n, p in SECRET_MARKERS) + " end"
+_MARKER = W.MARKER
 _SUFFIX = r"lower(regexp_extract(regexp_extract(relative_path, '[^/]*$'), '[^.].*?(\.[^.]+)$', 1))"
 _LANGUAGE = (
-    f"case when {_SUFFIX} = '' then 'text' else coalesce(map {{" + ", ".join(f"'{k}': '{v}'" for k, v in LANGUAGES.items())
-    + f"}}[{_SUFFIX}], ltrim({_SUFFIX}, '.')) end"
+    f"case when {_SUFFIX} = '' then 'text' else coalesce(map {{{W.LANGUAGE_OF}}}[{_SUFFIX}], ltrim({_SUFFIX}, '.')) end"
 )
 
 
@@ -158,18 +139,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def parsed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All units of the whole files among the table's units (functions, methods, files and their chunks)."""
-    return _parsed(spark, sf_dir).drop("parser_metadata")
-
-
-@query()
-def chunked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of over-long units, with a limit that cuts many."""
-    from skillweave.operators.parsing import parse_files
-
-    files = table(spark, sf_dir, "source_unit").where("code is not null and unit_type in ('file', 'command_entrypoint')")
-    files = files.select("repo_name", F.coalesce("repo_path", F.lit("")).alias("repo_path"), "relative_path", F.col("code").alias("content"))
-    units = parse_files(files.distinct(), max_unit_bytes=1000).where("unit_type like '%_chunk'")
-    return units.select("data_id", "symbol", "line_start", "line_end", "parser_metadata.chunk_index", "parser_metadata.chunk_count")
+    return _parsed(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ normalisation
@@ -202,7 +172,7 @@ def norm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SNAKE = "translate(lower({0}), '- ', '__')"
 
 
-@query(f"select distinct card_id, case when {_SNAKE.format(_bounded('task_family', 3))} in {_in(TASK_FAMILIES)} then {_SNAKE.format(_bounded('task_family', 3))} else 'workflow' end as family from purpose_index")
+@query(f"select distinct card_id, case when {_SNAKE.format(_bounded('task_family', 3))} in ({W.FAMILIES}) then {_SNAKE.format(_bounded('task_family', 3))} else 'workflow' end as family from purpose_index")
 def closed_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = table(spark, sf_dir, "purpose_index")
     v = F.try_parse_json(F.to_json(F.struct("task_family")))
@@ -214,7 +184,7 @@ _CANDIDATES = f"list_filter(list_transform(list_concat(coalesce(selection_tags,
 _DISTINCT = "list_filter({0}, lambda y, i: list_position({0}, y) = i)"
 
 
-@query(f"with a as (select distinct tag_id, {_CANDIDATES} as c from source_unit_tag), b as (select tag_id, list_filter(list_transform({_DISTINCT.format('c')}[1:4], lambda y: {_SNAKE.format('y')}), lambda y: y in {_in(CAPABILITY_TAGS)}) as k from a) select tag_id, array_to_string({_DISTINCT.format('k')}[1:2], ',') as tags from b")
+@query(f"with a as (select distinct tag_id, {_CANDIDATES} as c from source_unit_tag), b as (select tag_id, list_filter(list_transform({_DISTINCT.format('c')}[1:4], lambda y: {_SNAKE.format('y')}), lambda y: y in ({W.CAPABILITIES})) as k from a) select tag_id, array_to_string({_DISTINCT.format('k')}[1:2], ',') as tags from b")
 def closed_vocab_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two vocabulary words among the first four candidates."""
     own = F.concat(F.coalesce("selection_tags", F.array().cast("array<string>")), F.array(*map(F.lit, ["Validate-Input", "fail fast", "fail-fast", "junk", "Retry Backoff"])))
@@ -223,25 +193,17 @@ def closed_vocab_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select("tag_id", F.array_join(normalize.closed_list(normalize.field(v, "tags"), CAPABILITY_TAGS, 2), ",").alias("tags")).distinct()
 
 
-@query("select event_id, try_cast(props::json->>'k' as bigint) as k, '' as error from events")
+@query("select event_id, case when event_id % 10 < 4 then try_cast(props::json->>'k' as bigint) when event_id % 10 = 9 then 7 end as k, event_id % 10 between 4 and 8 as failed from events")
 def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects out of answers that are bare, fenced or amid other text."""
+    """Objects out of answers that are bare, fenced, amid other text or hold a key twice; and answers that are no
+    object: a list, nothing, an object cut off, one with a brace too many, two in a row."""
     events = table(spark, sf_dir, "events")
-    way = F.col("event_id") % 4
-    answer = (
-        F.when(way == 0, F.col("props")).when(way == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
-        .when(way == 2, F.concat(F.lit("Here it is: "), "props", F.lit(" - done"))).otherwise(F.concat(F.lit("  "), "props", F.lit("\n")))
-    )
+    shapes = ["%s", "```json\n%s\n```", "Here it is: %s - done", "  %s\n", "[%s]", "", '{"k": ', '{"k": 1}}', '{"k": 1} {"k": 2}', '{"k": 1, "k": 7}']
+    shape = F.get(F.array(*map(F.lit, shapes)), (F.col("event_id") % 10).cast("int"))
+    answer = F.replace(shape, F.lit("%s"), F.col("props"))
     own = normalize.with_object(events.select("event_id", answer.alias("answer")), "answer")
     k = F.try_variant_get(normalize.payload(F.col("object")), "$.k", "bigint")
-    return own.select("event_id", k.alias("k"), F.col("object_error").alias("error"))
-
-
-@query(f"select doc_id, trim(text, {_SPACES}) as inside from documents where text is not null and not contains(text, '```')")
-def strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null and not contains(text, '```')")
-    wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n```python\n"), "text", F.lit("\n```  "))).otherwise(F.col("text"))
-    return docs.select("doc_id", text.code_fence_stripped(wrapped).alias("inside"))
+    return own.select("event_id", k.alias("k"), (F.col("object_error") != "").alias("failed"))
 
 
 _FENCE = rf"(?s)\A```(?:[A-Za-z0-9_+.-]+)?{_WS}*\n?(.*?)\n?```\z"
@@ -252,25 +214,71 @@ _INSIDE = f"case when regexp_matches({{0}}, '{_FENCE}') then trim(regexp_extract
     f"with d as (select doc_id, trim(text, {_SPACES}) as r, trim(chr(10) || '```python' || chr(10) || text || chr(10) || '```  ', {_SPACES}) as w from documents) "
     f"select doc_id, {_INSIDE.replace('{0}', 'r')} as raw, {_INSIDE.replace('{0}', 'w')} as wrapped from d"
 )
-def strip_fence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, those that hold fences of their own too, as they are and wrapped."""
     wrapped = F.concat(F.lit("\n```python\n"), "text", F.lit("\n```  "))
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", text.code_fence_stripped(F.col("text")).alias("raw"), text.code_fence_stripped(wrapped).alias("wrapped"))
 
 
+def _listed(c: str, maximum: int, n: int = 25) -> str:
+    """As text.bounded_list."""
+    whole = f"list_filter(list_transform(coalesce({c}, []), lambda y: {_bounded('y', n)}), lambda y: y != '')"
+    return f"{_DISTINCT.format(whole)}[1:{maximum}]"
+
+
+def _vocabulary(c: str, words: str, maximum: int) -> str:
+    """As normalize.closed_list."""
+    said = f"list_filter(list_transform({_listed(c, 2 * maximum, 5)}, lambda y: {_SNAKE.format('y')}), lambda y: y in ({words}))"
+    return f"{_DISTINCT.format(said)}[1:{maximum}]"
+
+
+def _closed(c: str, words: str, fallback: str) -> str:
+    said = _SNAKE.format(_bounded(c, 3))
+    return f"case when {said} in ({words}) then {said} else '{fallback}' end"
+
+
+_FEATURES = {
+    "capability_tags": _vocabulary("list_concat(coalesce(workflow, []), ['Validate-Input', 'fail fast', 'fail-fast', 'junk', 'Retry Backoff'])", W.CAPABILITIES, 8),
+    "constraint_tags": _vocabulary("list_concat(['fail closed', 'no-plan-change', 'junk'], coalesce(inputs, []))", W.CONSTRAINTS, 5),
+    "custom_tags": _listed("outputs", 4, 5),
+    "domain_hints": _listed("inputs", 4, 5),
+    "failure_modes": _listed("error_cases", 6),
+    "interaction_pattern": _closed("case when support_count > 1 then 'Multi-Step workflow' else intent_action end", W.PATTERNS, "single_step"),
+    "notes": _bounded("intent_target", 40),
+    "retrieval_phrases": _listed("invariants", 8, 10),
+    "success_signal": _bounded("array_to_string(outputs, ' ')", 30),
+    "success_tags": _vocabulary("['no error', 'goal-satisfied', 'No Error']", W.SUCCESSES, 4),
+    "task_family": _closed("task_family", W.FAMILIES, "workflow"),
+    "transfer_summary": _bounded("transfer_summary", 60),
+    "transfer_title": _bounded("transfer_title", 12),
+    "when_to_use": _bounded("array_to_string(workflow, ' ')", 80),
+}
+_PRINT = " || ',' || ".join(f"""'"{k}":' || to_json({k})""" for k in _FEATURES)
+
+
 @query(
-    "with c as (select distinct card_id, " + ", ".join(f"{_bounded(c, n)} as {c}" for c, n in (("transfer_title", 12), ("transfer_summary", 60)))
-    + f", {_SNAKE.format(_bounded('task_family', 3))} as fam from purpose_index) "
-    "select card_id, sha256('{\"canonical_fingerprint\":\"\",\"capability_tags\":[],\"constraint_tags\":[],\"custom_tags\":[],\"domain_hints\":[],\"failure_modes\":[],"
-    "\"interaction_pattern\":\"single_step\",\"notes\":\"\",\"retrieval_phrases\":[],\"success_signal\":\"\",\"success_tags\":[],\"task_family\":\"' || "
-    f"case when fam in {_in(TASK_FAMILIES)} then fam else 'workflow' end || '\",\"transfer_summary\":' || to_json(transfer_summary) || ',\"transfer_title\":' || to_json(transfer_title) || ',\"when_to_use\":\"\"}}') as fingerprint from c"
-)
+    "with f as (select distinct card_id, " + ", ".join(f"{v} as {k}" for k, v in _FEATURES.items()) + " from purpose_index) "
+    f"""select card_id, task_family, interaction_pattern, array_to_string(capability_tags, ',') as capability_tags, array_to_string(constraint_tags, ',') as constraint_tags,
+    array_to_string(success_tags, ',') as success_tags, sha256('{{"canonical_fingerprint":"",' || {_PRINT} || '}}') as fingerprint from f"""
+)
 def features_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of cards of which only family, title and summary are known."""
-    cards = table(spark, sf_dir, "purpose_index")
-    v = F.try_parse_json(F.to_json(F.struct("task_family", "transfer_title", "transfer_summary")))
-    return cards.select("card_id", normalize.features(v)["canonical_fingerprint"].alias("fingerprint")).distinct()
+    """All fourteen features and their fingerprint, from answers made of the cards' texts."""
+    words = lambda *x: F.array(*map(F.lit, x))
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    payload = {
+        "transfer_title": F.col("transfer_title"), "transfer_summary": F.col("transfer_summary"), "when_to_use": F.array_join("workflow", " "),
+        "task_family": F.col("task_family"), "success_signal": F.array_join("outputs", " "), "notes": F.col("intent_target"),
+        "capability_tags": F.concat(some("workflow"), words("Validate-Input", "fail fast", "fail-fast", "junk", "Retry Backoff")),
+        "constraint_tags": F.concat(words("fail closed", "no-plan-change", "junk"), some("inputs")),
+        "success_tags": words("no error", "goal-satisfied", "No Error"), "failure_modes": F.col("error_cases"),
+        "interaction_pattern": F.when(F.col("support_count") > 1, "Multi-Step workflow").otherwise(F.col("intent_action")),
+        "domain_hints": F.col("inputs"), "retrieval_phrases": F.col("invariants"), "custom_tags": F.col("outputs"),
+    }
+    v = F.try_parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in payload.items()])))
+    own = table(spark, sf_dir, "purpose_index").select("card_id", normalize.features(v).alias("f"))
+    lists = [F.array_join(f"f.{c}", ",").alias(c) for c in ("capability_tags", "constraint_tags", "success_tags")]
+    return own.select("card_id", "f.task_family", "f.interaction_pattern", *lists, F.col("f.canonical_fingerprint").alias("fingerprint")).distinct()
 
 
 # ------------------------------------------------------------------ selection
@@ -321,10 +329,10 @@ def repo_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(spark, sf_dir).select("data_id", "repo_path", "mean", "selected")
 
 
-@query("select distinct card_id, coalesce(support_count > 1, false) and representative_score >= 0.45 as passes from purpose_index where representative_score is not null")
+@query("select distinct card_id, coalesce(support_count > 1, false) and coalesce(representative_score, 0) >= 0.45 as passes from purpose_index")
 def skill_value_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = table(spark, sf_dir, "purpose_index").where("representative_score is not null")
-    passes = selection.passes_value(F.col("support_count") > 1, F.col("representative_score"))
+    cards = table(spark, sf_dir, "purpose_index")
+    passes = selection.passes_value(F.col("support_count") > 1, normalize.clamp(F.col("representative_score")))
     return cards.select("card_id", passes.alias("passes")).distinct()
 
 
@@ -359,7 +367,7 @@ def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEX = "(16 * (strpos('0123456789abcdef', substr(data_id, {0}, 1)) - 1) + strpos('0123456789abcdef', substr(data_id, {0} + 1, 1)) - 1)"
 # the decision's threshold is met by the mean of six equal scores, added up again
 _DECIDED = f"""
-select u.data_id, u.repo_name, u.relative_path, u.symbol, a, b, c, d,
+select u.data_id, u.repo_name, u.relative_path, u.symbol, a, b, c, d, t.mean,
   case when t.mean is null then 'tagging_error'
        when not t.keep or (t.mean + t.mean + t.mean + t.mean + t.mean + t.mean) / 6.0 < 0.5 then 'source_unit_selection_gate'
        when not coalesce(r.selected, false) then 'per_repository_cap' when a = 255 then 'pipeline_error'
@@ -411,17 +419,6 @@ def decision_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.countDistinct("data_id").alias("units"), F.countDistinct(F.when(F.col("accepted"), F.col("data_id"))).alias("accepted"))
 
 
-@query()
-def stage_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the first stage's model sees of every unit: the messages' roles, their length and their hash."""
-    from skillweave.plans import prompts
-
-    units = table(spark, sf_dir, "source_unit").where("code is not null").dropDuplicates(["data_id"])
-    m = units.select("data_id", prompts.source_tagging().alias("m"))
-    said = F.get("m", F.lit(1))["content"]
-    return m.select("data_id", F.size("m").alias("messages"), F.length(said).alias("characters"), F.sha2(F.to_json("m"), 256).alias("request"))
-
-
 @query(f"with d as ({_DECISION}) select decision_stage, accepted_stage, rationale in ('tagging_error', 'pipeline_error') as failed, count(*) as units, count(distinct repo_name) as repositories, count(*) filter (where accepted and d >= 10) as retrieval_records from d group by all")
 def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages with the scripted model, from the tagged units to counts by outcome."""
@@ -436,7 +433,7 @@ def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ the purpose view
 
 
-def purpose_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def purpose_records(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Flat skill records: a card's texts with the symbol and repository of the unit that stands for it."""
     cards = table(spark, sf_dir, "purpose_index").dropDuplicates(["card_id"])
     units = one_unit(spark, sf_dir).select("data_id", "repo_name", "symbol")
@@ -445,48 +442,60 @@ def purpose_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(
         F.concat_ws("-", "representative_data_id", "card_id").alias("data_id"), "repo_name", "symbol", level.alias("level"),
         F.concat_ws(" ", "intent_action", "transfer_title").alias("name"), F.col("transfer_summary").alias("summary"),
-        "workflow", "inputs", "outputs", "invariants", "error_cases",
+        "workflow", "inputs", "outputs", "invariants", "error_cases", *more,
     )
 
 
 _RECORDS = f"""
 select representative_data_id || '-' || card_id as data_id, u.repo_name, coalesce(u.symbol, '') as symbol, map_keys(level_counts)[1] as level,
   concat_ws(' ', intent_action, transfer_title) as name, coalesce(transfer_summary, '') as summary, {_items("workflow")} as workflow, {_items("inputs")} as inputs,
-  {_items("outputs")} as outputs, {_items("invariants")} as invariants, {_items("error_cases")} as error_cases
+  {_items("outputs")} as outputs, {_items("invariants")} as invariants, {_items("error_cases")} as error_cases, []::varchar[] as evidence, '' as given, p.task_family as own_family
 from (select distinct on (card_id) * from purpose_index) p join ({_ONE_UNIT}) u on u.data_id = p.representative_data_id
 """
-_BLOB = "array_to_string(list_concat(list_filter([symbol, name, summary], lambda y: y != ''), workflow, inputs, outputs, invariants, error_cases), chr(10))"
+#: the same records as they come nested: with their inputs as evidence, and a family given where the card's id is even
+_NESTED = f"""
+select * exclude (evidence, given, card), inputs as evidence, case when card % 2 = 0 then coalesce(own_family, '') else '' end as given
+from (select *, cast(regexp_extract(data_id, '-([0-9]+)$', 1) as bigint) as card from ({_RECORDS}))
+"""
+_BLOB = "array_to_string(list_concat(list_filter([symbol, name, summary], lambda y: y != ''), workflow, inputs, outputs, invariants, error_cases, evidence), chr(10))"
 _REASON = r"""case when regexp_matches(blob, '(?i)\b(getter|setter|trivial|thin wrapper|logging[- ]only|constant mapping)\b') then 'boilerplate_or_trivial'
   when regexp_matches(symbol, '^(get|set|is|has)[A-Z_]') and len(workflow) <= 1 then 'getter_setter_like'
   when length(summary) < 80 and len(workflow) <= 1 and len(invariants) = 0 and len(error_cases) = 0 then 'too_little_reusable_logic'
   when contains(symbol, 'toString') or contains(symbol, '__str__') or contains(symbol, '__repr__') then 'representation_only' else '' end"""
-_FAMILY = "list_max([" + ", ".join(f"{{'n': len(list_intersect(words, {hints})), 'name': '{name}'}}" for name, hints in FAMILY_HINTS.items()) + "])"
-_LIFE = "case " + " ".join(f"when intent_action in {_in(v)} then '{k}'" for k, v in LIFECYCLE.items()) + " else 'execute' end"
+# the family of each different hint word, and the one that most of them name
+_HITS = f"list_filter(list_transform(list_distinct(words), lambda w: map {{{W.HINTS}}}[w]), lambda f: f is not null)"
+_FAMILY = "list_max(list_transform(list_distinct(hits), lambda f: {'n': len(list_filter(hits, lambda g: g = f)), 'name': f}))"
+_LIFE = f"case {W.LIFECYCLE} else 'execute' end"
 
 
 def _sign(c: str, n: int, sep: str) -> str:
     return f"array_to_string({_tokens(f'array_to_string({c}, chr(32))')}[1:{n}], '{sep}')"
 
 
-_INFERRED = f"""
-with r as ({_RECORDS}), b as (select *, {_BLOB} as blob from r), w as (select *, {_tokens("blob")} as words, {_REASON} as reason from b),
-a as (select *, list_filter(words, lambda t: t in {_in(INTENT_VERBS)})[1] as verb, {_FAMILY} as fam from w),
-t as (select *, coalesce(verb, 'execute') as intent_action, case when fam.n > 0 then fam.name else 'workflow' end as task_family,
-        list_filter(words[case when verb is null then 1 else list_position(words, verb) + 1 end:], lambda t: t not in {_in(INTENT_VERBS + GENERIC_NOUNS)})[1:2] as tail from a),
+def inferred_sql(records: str) -> str:
+    return f"""
+with r as ({records}), b as (select *, {_BLOB} as blob from r), w as (select *, {_tokens("blob")} as words, {_REASON} as reason from b),
+h as (select *, {_HITS} as hits from w),
+a as (select *, list_filter(words, lambda t: t in ({W.VERBS}))[1] as verb, {_FAMILY} as fam from h),
+t as (select *, coalesce(verb, 'execute') as intent_action, case when given != '' then given when len(hits) > 0 then fam.name else 'workflow' end as task_family,
+        list_filter(words[case when verb is null then 1 else list_position(words, verb) + 1 end:], lambda t: t not in ({W.VERBS}, {W.NOUNS}))[1:2] as tail from a),
 f as (select *, case when len(tail) = 0 then 'object' else array_to_string(tail, '_') end as intent_target from t)
 select *, {_LIFE} as lifecycle_stage,
   coalesce(nullif({_sign("inputs", 2, "_")}, ''), 'unspecified') || '->' || coalesce(nullif({_sign("outputs", 2, "_")}, ''), 'unspecified') as io_shape,
   {_sign("invariants", 6, " ")} as constraint_signature, {_sign("error_cases", 6, " ")} as failure_signature,
-  substr(sha1('{{"intent_action":"' || intent_action || '","intent_target":"' || intent_target || '","task_family":"' || task_family || '"}}'), 1, 20) as purpose_id,
+  substr(sha1('{{"intent_action":"' || intent_action || '","intent_target":"' || intent_target || '","task_family":' || to_json(task_family) || '}}'), 1, 20) as purpose_id,
   least(1.0::double, len(workflow) / 6.0::double) * 0.30::double + least(1.0::double, len(invariants) / 5.0::double) * 0.20::double
-  + least(1.0::double, len(error_cases) / 5.0::double) * 0.20::double + least(1.0::double, 0 / 4.0::double) * 0.10::double
+  + least(1.0::double, len(error_cases) / 5.0::double) * 0.20::double + least(1.0::double, len(evidence) / 4.0::double) * 0.10::double
   + least(1.0::double, length(summary) / 600.0::double) * 0.10::double
   + case level when 'pattern' then 0.10::double when 'composite' then 0.06::double else 0.0::double end as score
 from f
 """
 
 
-def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+_INFERRED = inferred_sql(_RECORDS)
+
+
+def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return purpose_index.infer(purpose_records(spark, sf_dir))
 
 
@@ -498,34 +507,34 @@ def tokens_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select data_id, reason from ({_INFERRED})")
 def low_value_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inferred(spark, sf_dir).select("data_id", "reason")
+    return inferred(spark, sf_dir).select("data_id", "reason")
 
 
 @query(f"select data_id, purpose_id, task_family, intent_action, intent_target, lifecycle_stage, io_shape, constraint_signature, failure_signature from ({_INFERRED})")
 def infer_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _inferred(spark, sf_dir)
+    own = inferred(spark, sf_dir)
     flat = [F.array_join(c, " ").alias(c) for c in ("constraint_signature", "failure_signature")]
     return own.select("data_id", "purpose_id", "task_family", "intent_action", "intent_target", "lifecycle_stage", "io_shape", *flat)
 
 
 @query(f"select data_id, score from ({_INFERRED})")
 def representative_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inferred(spark, sf_dir).select("data_id", "score")
+    return inferred(spark, sf_dir).select("data_id", "score")
 
 
 @query(f"select data_id, purpose_id, task_family, intent_action, intent_target from ({_INFERRED}) where reason = ''")
 def purpose_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purpose_index.edges(_inferred(spark, sf_dir)).select("data_id", "purpose_id", "purpose_key.*")
+    return purpose_index.edges(inferred(spark, sf_dir)).select("data_id", "purpose_id", "purpose_key.*")
 
 
 @query(f"select data_id, reason from ({_INFERRED}) where reason != ''")
 def purpose_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purpose_index.dropped(_inferred(spark, sf_dir))
+    return purpose_index.dropped(inferred(spark, sf_dir))
 
 
 @query(f"select purpose_id, coalesce(nullif(level, ''), 'unknown') as level, count(*) as n from ({_INFERRED}) where reason = '' group by all")
 def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purpose_index.level_histogram(_inferred(spark, sf_dir))
+    return purpose_index.level_histogram(inferred(spark, sf_dir))
 
 
 @query(f"""
@@ -535,15 +544,29 @@ l as (select purpose_id, string_agg(level || '=' || n, ',' order by level) as le
       (select purpose_id, coalesce(nullif(level, ''), 'unknown') as level, count(*) as n from e group by all) group by purpose_id),
 b as (select *, row_number() over (partition by purpose_id order by score desc, data_id desc) as n from e)
 select g.purpose_id, g.support_count, g.repo_support, l.levels, b.task_family, b.intent_action, b.intent_target, b.data_id as representative_data_id,
-  b.name as transfer_title, b.summary as transfer_summary, array_to_string(b.workflow, '|') as workflow
+  floor(b.score * 1000000 + 0.5) / 1000000 as representative_score, b.name as transfer_title, b.summary as transfer_summary,
+  array_to_string(b.workflow, '|') as workflow, array_to_string(b.inputs, '|') as inputs, array_to_string(b.outputs, '|') as outputs,
+  array_to_string(b.invariants, '|') as invariants, array_to_string(b.error_cases, '|') as error_cases
 from g join l using (purpose_id) join b on b.purpose_id = g.purpose_id and b.n = 1
 """)
 def purpose_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one card per purpose."""
-    own = purpose_index.cards(_inferred(spark, sf_dir))
+    own = purpose_index.cards(inferred(spark, sf_dir))
     entries = F.transform(F.map_entries("level_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return own.select(
         "purpose_id", "support_count", "repo_support", F.array_join(entries, ",").alias("levels"), "task_family", "intent_action", "intent_target",
-        "representative_data_id", "transfer_title", "transfer_summary", F.array_join("workflow", "|").alias("workflow"),
+        "representative_data_id", "representative_score", "transfer_title", "transfer_summary",
+        *[F.array_join(c, "|").alias(c) for c in purpose_index.CARD_LISTS],
     )
 
+
+@query(f"select data_id, reason, purpose_id, task_family, intent_action, intent_target, lifecycle_stage, score from ({inferred_sql(_NESTED)})")
+def nested_purposes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as other tools write them: JSON objects with the skill nested, some with a family of their own."""
+    flat = purpose_records(spark, sf_dir, "task_family")
+    skill = F.struct("level", "name", "summary", *purpose_index.CARD_LISTS, F.col("inputs").alias("evidence"))
+    given = F.when(F.substring_index("data_id", "-", -1).cast("bigint") % 2 == 0, F.col("task_family"))
+    whole = F.to_json(F.struct("data_id", "repo_name", "symbol", skill.alias("skill"), F.struct(given.alias("task_family")).alias("retrieval")))
+    own = purpose_index.infer(purpose_index.records_of(flat.select(F.try_parse_json(whole).alias("payload")), "payload"))
+    return own.select("data_id", "reason", "purpose_id", "task_family", "intent_action", "intent_target", "lifecycle_stage", "score")
+

@@ -105,10 +105,10 @@ def test_fences_of_all_documents(spark, tmp_path):
         return m[1].strip() if m else text.strip()
 
     want = {(i, inside(t), inside(None if t is None else f"\n```python\n{t}\n```  ")) for i, t in enumerate(texts)}
-    assert {tuple(r) for r in queries.QUERIES["strip_fence_whole"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in queries.QUERIES["strip_fence"](spark, str(tmp_path)).collect()} == want
     db = duckdb.connect()
     db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    assert set(db.execute(queries.SQL["strip_fence_whole"]).fetchall()) == want
+    assert set(db.execute(queries.SQL["strip_fence"]).fetchall()) == want
 
 
 def record(**more: object) -> dict:
