@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.functions.vocab import STOPWORDS, VERB_ALIASES
@@ -68,6 +68,16 @@ def tokens(c: Column) -> Column:
     return with_aliases(kept)
 
 
+def token_counts(df: DataFrame, c: str) -> DataFrame:
+    """token, n of all tokens of a column. Words are counted as they stand and combined before they move; stop-words
+    and aliases are seen to on the counts, once a word."""
+    words = F.regexp_extract_all(F.lower(split_camel(F.coalesce(c, F.lit("")))), F.lit("[A-Za-z][A-Za-z0-9]*"), 0)
+    raw = df.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    kept = raw.where((F.length("token") > 1) & ~F.col("token").isin(STOPWORDS))
+    own = F.coalesce(literal_map(VERB_ALIASES)[F.col("token")], F.col("token"))
+    return kept.groupBy(own.alias("token")).agg(F.sum("n").alias("n"))
+
+
 def code_fence_stripped(c: Column) -> Column:
     """The inside of a text that is one fenced block as a whole, trimmed; any other text trimmed."""
     cleaned = strip(c)

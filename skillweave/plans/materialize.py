@@ -76,13 +76,15 @@ def _drop(paths: set[str]) -> None:
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
-    """All tables that are materialised inside are dropped at the end; results must be written or collected before.
+def scratch() -> Iterator[list[DataFrame]]:
+    """All tables that are materialised inside are dropped at the end, but for those put on the list that it gives;
+    results must be written or collected before.
 
     For sessions that run many queries: ``with scratch(): query(spark, path).write...``
     """
     before = {path for _, path in _written}
+    keep: list[DataFrame] = []
     try:
-        yield
+        yield keep
     finally:
-        _drop({path for _, path in _written} - before)
+        _drop({path for _, path in _written} - before - {t._skillweave_path for t in keep})

@@ -501,8 +501,7 @@ def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select token, count(*) as n from (select unnest({_tokens('text')}) as token from documents) group by token having count(*) >= 5")
 def tokens_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("n")).where("n >= 5")
+    return text.token_counts(table(spark, sf_dir, "documents"), "text").where("n >= 5")
 
 
 @query(f"select data_id, reason from ({_INFERRED})")
