@@ -2,7 +2,8 @@
 
 ``survivors`` unpivots the fields of all records to long rows (group, field, value, vote), sums the votes per
 value, chooses each field's winner by max_by and pivots the winners back to one row per group. A vote is
-weight x source trust x recency decay in millionths (integers, so that sums do not depend on their order).
+weight x source trust x recency decay in millionths (integers, so that sums do not depend on their order). A
+record may vote more than once for a field (parts), its votes add up.
 
 Defined cases: a null or blank value gets no vote; a field without any vote is null in the result. Repeated
 rows of one record vote once, with their largest vote. Ties go to the latest time (null is earliest), then
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions.text import strip, with_aliases
-from skillweave.functions.vocab import VERB_ALIASES
+from skillweave.sql_words import ALIASES
 
 MICRO = 1_000_000
 
@@ -26,18 +27,20 @@ MICRO = 1_000_000
 @dataclass(frozen=True)
 class FieldVote:
     """value: what the field shows (string). weight: a non-negative number. key: what counts as the same
-    value, the value itself unless given."""
+    value, the value itself unless given. trust and decay: of this field, instead of the record's."""
 
     value: Column
     weight: Column
     key: Column | None = None
+    trust: Column | None = None
+    decay: Column | None = None
 
 
-def recency(at: Column, newest: Column, half_life_days: float) -> Column:
-    """Halves every half_life_days before newest; an unknown time counts as ten half-lives old."""
+def recency(at: Column, newest: Column, half_life_days: float, unknown: float = 0.5**10) -> Column:
+    """Halves every half_life_days before newest; an unknown time counts as ten half-lives old unless told."""
     age = (F.unix_timestamp(newest) - F.unix_timestamp(at)) / 86400.0
-    lives = F.when(age.isNull(), 10.0).when(age > 0, age / half_life_days).otherwise(0.0)
-    return F.pow(F.lit(0.5), lives)
+    lives = F.when(age > 0, age / half_life_days).otherwise(0.0)
+    return F.when(age.isNull(), unknown).otherwise(F.pow(F.lit(0.5), lives))
 
 
 def survivors(
@@ -45,20 +48,27 @@ def survivors(
     group: Column,
     record_id: Column,
     at: Column,
-    fields: Mapping[str, FieldVote],
+    fields: Mapping[str, FieldVote | list[FieldVote]],
     trust: Column | None = None,
     decay: Column | None = None,
 ) -> DataFrame:
     """One row per group: group, min_id and max_id of its records, one string column per field."""
-    factor = (F.lit(1.0) if trust is None else trust) * (F.lit(1.0) if decay is None else decay)
+    one = F.lit(1.0)
+
+    def factor(v: FieldVote) -> Column:
+        first = lambda *x: next((c for c in x if c is not None), one)
+        return first(v.trust, trust) * first(v.decay, decay)
+
     votes = [
         F.struct(
             F.lit(name).alias("field"),
+            F.lit(part).alias("part"),
             (v.value if v.key is None else v.key).cast("string").alias("key"),
             v.value.cast("string").alias("value"),
-            F.round(v.weight * factor * MICRO).cast("bigint").alias("vote"),
+            F.round(v.weight * factor(v) * MICRO).cast("bigint").alias("vote"),
         )
-        for name, v in fields.items()
+        for name, own in fields.items()
+        for part, v in enumerate(own if isinstance(own, list) else [own])
     ]
     long = (
         df.select(
@@ -69,7 +79,7 @@ def survivors(
     )
     valid = F.col("value").isNotNull() & (strip(F.col("value")) != "")
     # repeated rows collapse first, partly before the exchange: a hot group moves one row per record and value
-    once = long.groupBy("group", "field", "key", "record_id").agg(
+    once = long.groupBy("group", "field", "part", "key", "record_id").agg(
         F.max(F.when(valid, F.col("vote"))).alias("vote"), F.max("at").alias("at"), F.max("value").alias("value")
     )
     newest = F.struct("vote", "at", (-F.col("record_id")).alias("minus_id"))
@@ -116,20 +126,21 @@ def filled(name: str) -> Column:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """card_id, title_card_id, summary_card_id of every purpose with at least two cards.
 
-    The three results are fields of the survivor, whose values are card ids: each card votes for itself, with
-    its number of filled fields, with 1 if its title is filled, with the length of its summary.
+    The three results are fields of the survivor, whose values are card ids. Each of a card's filled fields is a
+    vote for the card, and the votes add up. A filled title is a vote that decays with the card's age: the latest
+    wins, cards so old or undated that nothing is left of their votes by their order in time. A filled summary is a
+    vote of its length. All sources are trusted alike, the result's definition knows no trust.
     """
     cards = spark.read.parquet(f"{sf_dir}/purpose_index.parquet")
-    count = sum((filled(c).cast("int") for c in TEXTS + LISTS), F.lit(0))
-    me = F.col("card_id")
+    newest = F.lit(cards.agg(F.max("indexed_at")).first()[0]).cast("timestamp")
+    me, at = F.col("card_id"), F.col("indexed_at")
+    title, summary = (F.when(filled(c), me) for c in TEXTS)
     fields = {
-        "card_id": FieldVote(me, count),
-        "title_card_id": FieldVote(F.when(filled("transfer_title"), me), F.lit(1)),
-        "summary_card_id": FieldVote(
-            F.when(filled("transfer_summary"), me), F.length(strip(F.col("transfer_summary")))
-        ),
+        "card_id": [FieldVote(me, filled(c).cast("int")) for c in TEXTS + LISTS],
+        "title_card_id": FieldVote(title, F.lit(1), decay=recency(at, newest, 30.0, 0.0)),
+        "summary_card_id": FieldVote(summary, F.length(strip(F.col("transfer_summary")))),
     }
-    out = survivors(cards, purpose_key(), me, F.col("indexed_at"), fields).where("min_id < max_id")
+    out = survivors(cards, purpose_key(), me, at, fields).where("min_id < max_id")
     return out.select(*[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).cast("bigint").alias(c) for c in fields])
 
 
@@ -151,13 +162,10 @@ def p6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_merged": p6_merged}
 
-_ALIASES = ", ".join(f"'{a}': '{b}'" for a, b in sorted(VERB_ALIASES.items()))
-
-
 def _words_sql(c: str) -> str:
     return (
         rf"list_transform(regexp_extract_all(regexp_replace({c}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[A-Za-z0-9]+'), "
-        f"lambda w: coalesce(map {{{_ALIASES}}}[lower(w)], lower(w)))"
+        f"lambda w: coalesce(map {{{ALIASES}}}[lower(w)], lower(w)))"
     )
 
 
@@ -169,6 +177,14 @@ def _trim_sql(c: str) -> str:
     return f"trim({c}, {' || '.join(f'chr({x})' for x in _SPACES)})"
 
 
+_PURPOSES = f"""
+k as (select *, {_words_sql("task_family")} as f, {_words_sql("intent_action")} as a, {_words_sql("intent_target")} as t from purpose_index),
+g as (select *, array_to_string(f, ' ') || '|' || array_to_string(a, ' ') || '|' || array_to_string(t, ' ') as purpose
+      from k where len(f) > 0 and len(a) > 0 and len(t) > 0)"""
+_VALUES = {c: (_trim_sql(c), f"lower({_trim_sql(c)})") for c in TEXTS} | {c: (f"array_to_string({c}, chr(10))",) * 2 for c in LISTS}
+_LONG = " union all ".join(f"select purpose, card_id, indexed_at, vote, '{c}' as field, {v} as value, {k} as key from v" for c, (v, k) in _VALUES.items())
+_WON = ", ".join(f"max_by(value, (vote, seen, -early)) filter (where field = '{c}' and vote is not null) as {c}" for c in _VALUES)
+
 SQL = {
     "p6_found": f"""
 with k as (
@@ -193,5 +209,14 @@ select max(case when c = 1 then card_id end) as card_id,
        max(case when t = 1 then case when title > 0 then card_id else 0 end end) as title_card_id,
        max(case when s = 1 then case when summary > 0 then card_id else 0 end end) as summary_card_id
 from r group by purpose having count(distinct card_id) > 1
-"""
+""",
+    "p6_merged": f"""
+with {_PURPOSES},
+v as (select *, cast(round((support_count + 1) * case when indexed_at is null then pow(0.5, 10) else pow(0.5, (floor(epoch((select max(indexed_at) from purpose_index))) - floor(epoch(indexed_at))) / 86400.0 / 30.0) end * 1000000) as bigint) as vote from g),
+l as ({_LONG}),
+o as (select purpose, field, key, card_id, max(case when {_trim_sql("value")} != '' then vote end) as vote, coalesce(max(indexed_at), '-infinity'::timestamp) as seen, max(value) as value
+      from l group by all),
+y as (select purpose, field, key, sum(vote) as vote, max(seen) as seen, min(card_id) as early, max_by(value, (coalesce(vote, -1), seen, -card_id)) as value from o group by purpose, field, key)
+select purpose, {_WON} from y group by purpose
+""",
 }
