@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillweave.llm.parsing import DIALECTS, extension
-from skillweave.plans.materialize import materialize
+from skillweave.plans.materialize import materialize, release
 
 LIMIT = 12_000
 OVERLAP = 400
@@ -73,7 +73,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.Record
 
 def boundary_table(df: DataFrame, record_id: str, path: str, text: str, limit: int) -> DataFrame:
     """id, offset, point, line, kind of every boundary of the items over limit bytes."""
-    known = df.select(F.col(record_id).alias("id"), extension(F.col(path)).alias("ext"), F.col(text).alias("text"))
+    known = df.select(F.col(record_id).cast("string").alias("id"), extension(F.col(path)).alias("ext"), F.col(text).alias("text"))
     large = known.where(F.octet_length("text") > limit).groupBy("id").agg(F.max_by("ext", "text").alias("ext"), F.max("text").alias("text"))
     table = large.mapInArrow(
         lambda it: _bounded(it, max(8, limit // 8)), "id string, offset bigint, point bigint, line int, kind int"
@@ -121,52 +121,61 @@ def successors(bounds: DataFrame, limit: int, overlap: int) -> DataFrame:
     return ends.join(nexts, ["id", "offset"], "left")
 
 
-def reached(table: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reached(table: DataFrame) -> DataFrame:
     """id, offset of all begins reached from offset 0 by next, by pointer doubling."""
     jump = materialize(table.where(F.col("next").isNotNull()).select("id", "offset", "next"))
     begins = materialize(table.where("offset = 0").select("id", "offset"))
-    for _ in range(max_rounds):
+    while True:
         more = begins.join(jump, ["id", "offset"]).select("id", F.col("next").alias("offset"))
         grown = materialize(begins.unionByName(more).distinct())
         squared = jump.join(jump.select("id", F.col("offset").alias("next"), F.col("next").alias("then")), ["id", "next"])
-        jump = materialize(squared.select("id", "offset", F.col("then").alias("next")))
-        begins = grown
+        longer = materialize(squared.select("id", "offset", F.col("then").alias("next")))
+        release(jump, begins)
+        jump, begins = longer, grown
         if not jump.head(1):
-            # no begin has a successor that many pieces ahead: one more step covers what is left
+            # no begin has a successor that many pieces ahead: all are reached
             return begins
-    raise RuntimeError("the cuts did not settle")
 
 
-def split_items(
-    df: DataFrame, record_id: str, path: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP
-) -> DataFrame:
-    """id, piece (from 1), pieces, line (of its first character), first and last (code points), text."""
-    bounds = materialize(boundary_table(df, record_id, path, text, limit))
-    table = successors(bounds, limit, overlap)
-    table = materialize(table)
+def piece_table(bounds: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """id, piece (from 1), pieces, line (of its first character), offset and end (bytes), first and last (code points)."""
+    table = materialize(successors(bounds, limit, overlap))
     cuts = reached(table).join(table, ["id", "offset"])
     point = bounds.select("id", F.col("offset").alias("end"), F.col("point").alias("last"))
     order = Window.partitionBy("id").orderBy("offset")
-    cuts = cuts.join(point, ["id", "end"]).select(
+    return cuts.join(point, ["id", "end"]).select(
         "id", F.row_number().over(order).alias("piece"), F.count("*").over(Window.partitionBy("id")).alias("pieces"),
-        "line", F.col("point").alias("first"), "last",
+        "line", "offset", "end", F.col("point").alias("first"), "last",
     )
-    whole = df.where(F.octet_length(text) > limit).groupBy(F.col(record_id).alias("id")).agg(F.max(text).alias("_text"))
+
+
+def split_items(
+    df: DataFrame, record_id: str, path: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP
+) -> DataFrame:
+    """id, piece (from 1), pieces, line (of its first character), first and last (code points), text."""
+    bounds = materialize(boundary_table(df, record_id, path, text, limit))
+    cuts = piece_table(bounds, limit, overlap).drop("offset", "end")
+    whole = df.where(F.octet_length(text) > limit).groupBy(F.col(record_id).cast("string").alias("id")).agg(F.max(text).alias("_text"))
     return cuts.join(whole, "id").select(
         "id", "piece", "pieces", "line", "first", "last",
         F.substring(F.col("_text"), F.col("first").cast("int") + 1, (F.col("last") - F.col("first")).cast("int")).alias("text"),
     )
 
 
+def declarations_in_pieces(bounds: DataFrame, pieces: DataFrame) -> DataFrame:
+    """id, piece, line of the declarations that begin in each piece; one in an overlap begins in both its pieces."""
+    declared = bounds.where(F.col("kind") == DECLARATION).select("id", F.col("offset").alias("at"), F.col("line").alias("declared"))
+    within = pieces.select("id", "piece", "offset", "end").join(declared, "id").where("at >= offset and at < end")
+    return within.select("id", "piece", F.col("declared").alias("line"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """data_id, line: where the outermost declarations of units over 12,000 bytes begin, from the boundary
-    table that the pieces are cut by."""
+    """data_id, line: where the outermost declarations of units over 12,000 bytes begin, told by the pieces: the
+    declarations that begin in any of a unit's pieces, which cover it."""
     units = spark.read.parquet(f"{sf_dir}/source_unit.parquet")
-    bounds = boundary_table(units, "data_id", "relative_path", "code", LIMIT)
-    size = Window.partitionBy("id")
-    # the end of the text is a boundary too, but no declaration
-    own = bounds.withColumn("total", F.max("offset").over(size)).where(f"kind = {DECLARATION} and offset < total")
-    return own.select(F.col("id").alias("data_id"), "line")
+    bounds = materialize(boundary_table(units, "data_id", "relative_path", "code", LIMIT))
+    found = declarations_in_pieces(bounds, piece_table(bounds, LIMIT, OVERLAP))
+    return found.select(F.col("id").alias("data_id"), "line").distinct()
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,5 +184,44 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(units, "data_id", "relative_path", "code").withColumnRenamed("id", "data_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
-SQL: dict[str, str] = {}
+def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces under 1,000 bytes of every larger document, which overlap by 100 and are cut at lines or, in
+    over-long ones, at code points."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("path", F.lit("document"))
+    own = split_items(docs, "doc_id", "path", "text", 1000, 100)
+    return own.select("id", "piece", "pieces", "line", "first", "last", F.md5("text").alias("text"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_documents": p3_documents}
+# every boundary's end and next begin, then the cuts one after the other
+SQL = {
+    "p3_documents": """
+with recursive d as (select doc_id, text, string_split(text, chr(10)) as lines, strlen(text) as total from documents where strlen(text) > 1000),
+l as (select doc_id, unnest(range(1, len(lines) + 1)) as line, unnest(lines) as body from d),
+m as (select *, coalesce(sum(strlen(body) + 1) over w, 0) as pos, coalesce(sum(length(body) + 1) over w, 0) as char from l
+      window w as (partition by doc_id order by line rows between unbounded preceding and 1 preceding)),
+b as (
+  select doc_id, pos, min(point) as point, min(line) as line, max(kind) as kind from (
+    select doc_id, pos, char as point, line, 1 as kind from m
+    union all select doc_id, pos + strlen(substr(body, 1, i)), char + i, line, 0 from (select *, unnest(range(31, length(body), 31)) as i from m where strlen(body) + 1 > 125)
+    union all select doc_id, total, length(text), len(lines), 2 from d
+  ) group by all
+),
+e as (
+  select b.doc_id, b.pos, b.point, b.line, case when t.total - b.pos < 1000 then t.total else coalesce(max(x.pos) filter (where x.kind >= 1), max(x.pos)) end as stop, t.total
+  from b join d t using (doc_id) left join b x on x.doc_id = b.doc_id and x.pos between b.pos + 1 and b.pos + 999 group by b.doc_id, b.pos, b.point, b.line, t.total
+),
+n as (
+  select e.doc_id, e.pos, e.point, e.line, e.stop, e.total, case when e.stop < e.total then
+    coalesce(case when max(x.pos) filter (where x.kind >= 1) > e.pos then max(x.pos) filter (where x.kind >= 1) end, case when max(x.pos) > e.pos then max(x.pos) end, e.stop) end as next
+  from e left join b x on x.doc_id = e.doc_id and x.pos between e.stop - 500 and e.stop - 100 group by e.doc_id, e.pos, e.point, e.line, e.stop, e.total
+),
+c as (
+  select doc_id, pos, 1 as piece from n where pos = 0
+  union all select c.doc_id, n.next, c.piece + 1 from c join n on n.doc_id = c.doc_id and n.pos = c.pos where n.next is not null
+)
+select cast(c.doc_id as varchar) as id, c.piece, count(*) over (partition by c.doc_id) as pieces, cast(n.line as int) as line, cast(n.point as bigint) as first, cast(s.point as bigint) as last,
+       md5(substr(d.text, cast(n.point as bigint) + 1, cast(s.point - n.point as bigint))) as text
+from c join n using (doc_id, pos) join b s on s.doc_id = c.doc_id and s.pos = n.stop join d on d.doc_id = c.doc_id
+"""
+}
