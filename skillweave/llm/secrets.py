@@ -461,7 +461,9 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """data_id, code, secrets of the units that held secrets, redacted; one row per data_id."""
     units = spark.read.parquet(f"{sf_dir}/source_unit.parquet")
     out = redacted(units, "data_id", "code").where("secrets > 0")
-    return out.groupBy(F.col("id").alias("data_id")).agg(F.min("text").alias("code"), F.min("secrets").alias("secrets"))
+    # rows of one data_id hold the same code; where they don't, one of them stands as it is
+    one = out.groupBy(F.col("id").alias("data_id")).agg(F.min(F.struct("text", "secrets")).alias("one"))
+    return one.select("data_id", F.col("one.text").alias("code"), "one.secrets")
 
 
 QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}
