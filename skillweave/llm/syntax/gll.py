@@ -12,14 +12,14 @@ over a collection. Lists of statements are cut after semicolons and blocks; a cu
 tried as a whole, so cutting never rejects.
 
 Notation: 'lit' is a token, UPPER a token class, Name a rule, NAME any word, with | * + ? and parentheses;
-what stands between '(' and ')' (or [ ] { } INDENT DEDENT) is the bracket's content.
+what stands between '(' and ')' (or [ ] { } INDENT DEDENT, '${' }, TEMPLATE END, JSX END) is the bracket's content.
 """
 
 from __future__ import annotations
 
 import re
 
-PAIRS = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
+PAIRS = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT", "${": "}", "TEMPLATE": "END", "JSX": "END"}
 EOF = 0
 BASE = 10_000
 MOST = 400_000
@@ -27,6 +27,14 @@ MOST = 400_000
 _SCAN = re.compile(r"'([^']+)'|([A-Za-z_]\w*)|([()|*+?;=])|\s+|#.*")
 
 
+#: bracketed stretches within one another that are decided by recursion; deeper ones are put off, see accepts
+LEVELS = 60
+
+
+class _TooDeep(Exception):
+    """The (rule, group) that must be decided before what holds it."""
+
+
 class _Node:
     __slots__ = ("edges", "ends")
 
@@ -53,6 +61,7 @@ class Grammar:
         self._group_ids: dict[tuple[int, tuple], int] = {}
         self._known: dict[tuple[int, int], bool] = {}
         self._segments: dict[tuple[int, tuple], bool] = {}
+        self._level = 0
 
     def term(self, name: str) -> int:
         return self.terms.setdefault(name, len(self.terms))
@@ -290,13 +299,28 @@ class Grammar:
             self._segments.clear()
 
     def accepts(self, rule: str, content: tuple) -> bool:
-        return self._derives(self.rule_ids[rule], content)
+        """Nesting may have any depth: what lies too deep is decided first and remembered, then what holds it is
+        decided again, from the innermost to the outermost."""
+        put_off: list[tuple[int, int]] = []
+        while True:
+            self._level = 0
+            try:
+                if not put_off:
+                    return self._derives(self.rule_ids[rule], content)
+                self.inside(*put_off[-1])
+                put_off.pop()
+            except _TooDeep as e:
+                put_off.append(e.args[0])
 
     def inside(self, rule: int, group: int) -> bool:
         key = (rule, group)
         known = self._known.get(key)
         if known is None:
+            if self._level >= LEVELS:
+                raise _TooDeep(key)
+            self._level += 1
             known = self._known[key] = self._derives(rule, self.groups[group - BASE][1])
+            self._level -= 1
         return known
 
     cut_after: frozenset[int] = frozenset()

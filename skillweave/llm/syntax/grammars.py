@@ -41,13 +41,15 @@ Operand = ('!' | '-' | '+' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' |
         | Arrow | ('!' | 'await')+ Arrow ;
 Arrow = 'async'? (ID | TypeParams? Params TypeNote?) '=>' (Block | Assign) ;
 Suffixed = Primary (Access | Args)* | 'new' 'new'? (Primary Access* | 'new' Primary Access*) TypeArgs? Args? (Access | Args)* ;
-Access = '.' (NAME | PRIVATE) | '?.' (NAME | PRIVATE | Args | '[' Expr ']') | '[' Expr ']' | TEMPLATE | Assured
+Access = '.' (NAME | PRIVATE) | '?.' (NAME | PRIVATE | Args | '[' Expr ']') | '[' Expr ']' | TEMPLATE Holes END | Assured
        | TypeArgs Args ;
 Args = '(' (Arg (',' Arg)* ','?)? ')' ;
 Arg = '...'? Assign ;
-Primary = ID | NUM | STR | TEMPLATE | REGEX | JSX | PRIVATE | 'this' | 'super' | 'null' | 'true' | 'false'
+Primary = ID | NUM | STR | TEMPLATE Holes END | REGEX | JSX Markup END | PRIVATE | 'this' | 'super' | 'null' | 'true' | 'false'
         | '(' Expr ')' | Array | Object | Func | Class | 'import' ('(' Arg (',' Arg)* ','? ')' | '.' NAME)
         | 'new' '.' NAME ;
+Holes = ('${' Expr '}')* ;
+Markup = ('${' ('...'? Expr)? '}')* ;
 Array = '[' (','* Arg (','+ Arg)* ','* | ','*) ASI? ']' ;
 Object = '{' (Prop (',' Prop)* ','?)? ASI? '}' ;
 Prop = '...' Assign | Key ':' Assign | ID ('=' Assign)? | Method ;
@@ -89,7 +91,8 @@ Type = ('|' | '&')? OneType (('|' | '&') OneType)* ('extends' Type '?' Type ':'
      | Abstract? 'new'? TypeParams? Params '=>' ('asserts'? ID 'is' Type | Type) ;
 OneType = ('keyof' | 'typeof' | 'readonly' | 'unique' | 'infer')* TypeUnit ('[' Type? ']')* ;
 TypeUnit = (ID | 'void' | 'null' | 'this' | 'true' | 'false' | 'import' '(' STR ')' | 'undefined') ('.' NAME)* TypeArgs? | STR
-         | '-'? NUM | TEMPLATE | TypeBody | '(' Type ')' | '[' (TupleItem (',' TupleItem)* ','?)? ']' ;
+         | '-'? NUM | TEMPLATE TypeHoles END | TypeBody | '(' Type ')' | '[' (TupleItem (',' TupleItem)* ','?)? ']' ;
+TypeHoles = ('${' Type '}')* ;
 TupleItem = '...'? (NAME '?'? ':')? Type '?'? ;
 TypeBody = '{' ((TypeMember (';' | ',' | ASI))* TypeMember?) '}' ;
 TypeMember = Modifiers (Key '?'? (Signature | TypeNote)? | 'new'? Signature | ('get' | 'set') Key Signature | IndexType

@@ -181,7 +181,11 @@ class ScriptLexer(Lexer):
     """JavaScript and TypeScript: regular expressions, templates and JSX by context, ASI at line ends."""
 
     _REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
-    _TEMPLATE = re.compile(r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|(\$\{))")
+    _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|(\$\{))")
+    _IN_TAG = re.compile(r"(?:[^/>{\"'<]|/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*)*")
+    _IN_TEXT = re.compile(r"[^<{]*")
+    _OPEN, _CLOSE = re.compile(r"<\s*([\w.:$-]*)"), re.compile(r"</\s*([\w.:$-]*)\s*>")
+    _ARGS = re.compile(r"<[^<>]*>")
     _GOES_ON = set(". , ; ) ] } ? : = == === != !== + - * / % & | ^ && || ?? => ?. < > <= >= ( [ ` += -= *= instanceof in of as satisfies is else catch finally extends implements".split())
 
     def __init__(self, *a: object, jsx: bool = False) -> None:
@@ -198,98 +202,92 @@ class ScriptLexer(Lexer):
         if self.starters:
             self.enders.add(o["!"])
         self.angle = o[">"]
-        self.template, self.regex, self.jsx_id = (self.grammar.term(x) for x in ("TEMPLATE", "REGEX", "JSX"))
-
-    def _template_end(self, text: str, at: int) -> int:
-        """Index after the template that begins at ``at``, or -1."""
-        m = self._TEMPLATE.match(text, at)
-        while m:
-            if not m[1]:
-                return m.end()
-            depth, i = 1, m.end()
-            while i < len(text) and depth:
-                c = text[i]
-                if c == "`":
-                    i = self._template_end(text, i)
-                    if i < 0:
-                        return -1
-                    continue
-                if c in "\"'":
-                    s = re.compile(_STR if c == '"' else _CHR).match(text, i)
-                    i = s.end() if s else i + 1
-                    continue
-                depth += (c == "{") - (c == "}")
-                i += 1
-            if depth:
-                return -1
-            m = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|(\$\{))").match(text, i)
-        return -1
-
-    def _jsx_end(self, text: str, at: int) -> int:
-        """Index after the JSX element that begins at ``at``, or -1; expressions are skipped by braces."""
-        depth, i = 0, at
-        while i < len(text):
-            if text[i] == "{":
-                i = self._braces_end(text, i)
-                if i < 0:
-                    return -1
-            elif text[i] == "<":
-                m = re.compile(r"<(/?)\s*([\w.:$-]*)").match(text, i)
-                i = m.end()
-                while i < len(text) and text[i] not in "/>":
-                    if text[i] == "{":
-                        i = self._braces_end(text, i)
-                        if i < 0:
-                            return -1
-                    elif text[i] in "\"'":
-                        i = text.find(text[i], i + 1) + 1
-                        if not i:
-                            return -1
-                    elif text[i] == "<":
-                        return -1
-                    else:
-                        i += 1
-                if text.startswith("/>", i):
-                    i += 2
-                elif text.startswith(">", i):
-                    i += 1
-                    depth += -1 if m[1] else 1
-                else:
-                    return -1
-                if depth <= 0:
-                    return i if depth == 0 else -1
-            else:
-                i += 1
-        return -1
+        self.template, self.regex, self.jsx_id, self.hole = (self.grammar.term(x) for x in ("TEMPLATE", "REGEX", "JSX", "${"))
 
-    def _braces_end(self, text: str, at: int) -> int:
-        depth, i = 0, at
-        while i < len(text):
+    @classmethod
+    def _markup(cls, text: str, i: int, open_: list[list]) -> tuple[int, str]:
+        """Reads JSX on from i: the index of the next expression's brace and "hole", the index behind the element and
+        "done", or "bad". open_ holds [name, whether inside its tag] of the elements that are open."""
+        while True:
+            name, tag = open_[-1]
+            i = (cls._IN_TAG if tag else cls._IN_TEXT).match(text, i).end()
+            if i >= len(text):
+                return i, "bad"
             c = text[i]
-            if c == "`":
-                i = self._template_end(text, i)
-                if i < 0:
-                    return -1
-                continue
-            if c in "\"'":
-                s = re.compile(_STR if c == '"' else _CHR).match(text, i)
-                i = s.end() if s else i + 1
-                continue
-            depth += (c == "{") - (c == "}")
-            i += 1
-            if not depth:
-                return i
-        return -1
+            if c == "{":
+                return i, "hole"
+            if not tag:
+                if text.startswith("</", i):
+                    m = cls._CLOSE.match(text, i)
+                    if not m or m[1] != name:
+                        return i, "bad"
+                    open_.pop()
+                    i = m.end()
+                else:
+                    m = cls._OPEN.match(text, i)
+                    open_.append([m[1], True])
+                    i = m.end()
+            elif c in "\"'":
+                i = text.find(c, i + 1) + 1
+                if not i:
+                    return i, "bad"
+            elif c == "<":
+                # an element as an attribute's value, or the type arguments of the tag
+                before = i - 1
+                while text[before].isspace():
+                    before -= 1
+                m = cls._OPEN.match(text, i) if text[before] == "=" else None
+                if m:
+                    open_.append([m[1], True])
+                else:
+                    m = cls._ARGS.match(text, i)
+                    if not m:
+                        return i, "bad"
+                i = m.end()
+            elif text.startswith("/>", i):
+                open_.pop()
+                i += 2
+            elif c == ">":
+                open_[-1][1] = False
+                i += 1
+            else:
+                return i, "bad"
+            if not open_:
+                return i, "done"
 
     def lex(self, text: str) -> tuple | None:
         if text.startswith("#!"):
             text = "//" + text[2:]
-        stack: list[tuple[str, list[int]]] = []
+        stack: list[tuple] = []
         out: list[int] = []
         words, ops, group, enders = self.words, self.op_ids, self.grammar.group, self.enders
         asi, semi, goes_on, op_index = self.asi, ops[";"], self._GOES_ON, self.op_index
         at, n, line_end = 0, len(text), False
         angle, starters = self.angle, self.starters
+
+        def read_on(at: int) -> int:
+            """Reads the template or the markup on the stack's top on; the index at which code goes on, or -1."""
+            nonlocal out
+            kind, outer, open_ = stack[-1]
+            if kind == "`":
+                m = self._TEMPLATE.match(text, at)
+                if not m:
+                    return -1
+                at, what = m.end(), "hole" if m[1] else "done"
+            else:
+                at, what = self._markup(text, at, open_)
+                at += what == "hole"
+            if what == "bad":
+                return -1
+            if what == "hole":
+                stack.append(("${", out, None))
+                out = []
+            else:
+                stack.pop()
+                outer.append(group(self.template if kind == "`" else self.jsx_id, tuple(out)))
+                out = outer
+            return at
+
         while at < n:
             again = False
             for m in self.pattern.finditer(text, at):
@@ -311,12 +309,17 @@ class ScriptLexer(Lexer):
                 elif k == op_index:
                     op = m[k]
                     if op in "([{":
-                        stack.append((op, out))
+                        stack.append((op, out, None))
                         out = []
                     elif op in ")]}":
                         if not stack:
                             return None
-                        kind, outer = stack.pop()
+                        kind, outer, _ = stack.pop()
+                        if kind == "${" and op == "}":
+                            outer.append(group(self.hole, tuple(out)))
+                            out = outer
+                            at, again = read_on(m.end()), True
+                            break
                         if kind != {")": "(", "]": "[", "}": "{"}[op]:
                             return None
                         if op == "}" and out and out[-1] != semi and out[-1] != asi and (
@@ -326,11 +329,9 @@ class ScriptLexer(Lexer):
                         outer.append(group(self.open[kind], tuple(out)))
                         out = outer
                     elif op == "`":
-                        end = self._template_end(text, at)
-                        if end < 0:
-                            return None
-                        out.append(self.template)
-                        at, again = end, True
+                        stack.append(("`", out, None))
+                        out = []
+                        at, again = read_on(m.end()), True
                         break
                     elif op in ("/", "/=") and not (out and (out[-1] >= BASE or out[-1] in self.operand)):
                         found = self._REGEX.match(text, at)
@@ -339,12 +340,11 @@ class ScriptLexer(Lexer):
                         out.append(self.regex)
                         at, again = found.end(), True
                         break
-                    elif op == "<" and self.jsx and not (out and (out[-1] >= BASE or out[-1] in self.operand)) and re.match(r"<(?:[A-Za-z][\w.:-]*[\s/>]|>)", text[at : at + 80]):
-                        end = self._jsx_end(text, at)
-                        if end < 0:
-                            return None
-                        out.append(self.jsx_id)
-                        at, again = end, True
+                    elif op == "<" and self.jsx and not (out and (out[-1] >= BASE or out[-1] in self.operand)) and re.match(r"<(?:[A-Za-z][\w.:-]*[\s/><]|>)", text[at : at + 80]):
+                        tag = self._OPEN.match(text, at)
+                        stack.append(("jsx", out, [[tag[1], True]]))
+                        out = []
+                        at, again = read_on(tag.end()), True
                         break
                     else:
                         out.append(ops[op])
@@ -357,6 +357,8 @@ class ScriptLexer(Lexer):
                 else:
                     out.append(self.own_ids[self.names[k]])
                 at = m.end()
+            if at < 0:
+                return None
             if not again:
                 break
         if at != n or stack:
