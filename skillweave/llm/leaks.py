@@ -1,26 +1,26 @@
 """Evaluation texts leaking into training text (problem 9).
 
 Every item is cut into windows of ``window`` words, every document likewise. Windows have a 64-bit SimHash of
-their words. The fingerprint's bits are cut into radius + 1 blocks: two fingerprints that differ in at most
-radius bits agree in one block, so looking up each block finds all item windows within the radius. Candidates
-are verified exactly by the weighted Jaccard similarity of their word pairs (weights: characters); at a
-similarity of 1 the words must be the same in the same order.
+their words. The fingerprint's bits are cut into radius + 2 blocks: two fingerprints that differ in at most
+radius bits agree in two blocks, so the windows that share one of the keys made of two blocks are all those within
+the radius and few others. Candidates are verified exactly by the weighted Jaccard similarity of their word pairs
+(weights: characters).
 
-The items are the query set. They are sent to the tasks in blocks of at most ITEM_CHARS characters, one pass
-over the documents per block, so that the broadcast is bounded whatever their number.
+Both sides meet in an exchange on the keys. One scan of the documents, whatever the number of items, leaves only
+windows that pass a Bloom filter of the items' keys; the filter has a fixed largest size and is all that is
+broadcast. With more items than it is made for it lets more windows pass, and nothing else changes.
 
 Defined cases: a null, empty or short text (fewer than ``window`` words) holds nothing and is found nowhere.
 A pair is reported once however often the passage occurs. Items with the same text are all reported. A
-repeated doc_id counts as one document.
+repeated doc_id counts as one document. Empty tables give an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITEM_CHARS = 8_000_000
+from skillweave.plans.materialize import materialize
+
+#: the filter's largest size is 2^28 bits, 32 MB
+FILTER_BITS = 28
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 MAX_WORDS = 1_000_000
 BATCH_WORDS = 100_000
 #: runs of letters and digits of any script
@@ -88,12 +92,6 @@ def fingerprints(signs: np.ndarray, window: int) -> np.ndarray:
     return np.packbits(total > 0, axis=1).view(np.uint64).ravel()
 
 
-def block_masks(radius: int) -> list[np.ndarray]:
-    """Shifts and masks of radius + 1 blocks that make up the 64 bits."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-
-
 def shingle_similarity(a: list[str], b: list[str]) -> float:
     """Weighted Jaccard of the pairs of neighbouring words; a pair weighs its characters."""
     x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
@@ -103,77 +101,86 @@ def shingle_similarity(a: list[str], b: list[str]) -> float:
     return both / either if either else 1.0
 
 
-class ItemIndex:
-    """Item windows by the blocks of their fingerprints."""
+def block_keys(prints: np.ndarray, radius: int) -> np.ndarray:
+    """One row of 64-bit keys per choice of two of the fingerprints' radius + 2 blocks. Fingerprints that differ in at
+    most radius bits agree in two blocks at least, so they share a key; others seldom do."""
+    edges = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+    blocks = [(prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+    out = np.empty((len(blocks) * (len(blocks) - 1) // 2, len(prints)), np.uint64)
+    for number, (i, j) in enumerate(combinations(range(len(blocks)), 2)):
+        key = (blocks[i] << np.uint64(32)) ^ blocks[j] ^ np.uint64(number + 1 << 58)
+        key = (key ^ (key >> np.uint64(31))) * _ONE
+        out[number] = (key ^ (key >> np.uint64(29))) * _TWO
+    return out
+
+
+def filter_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of keys in a Bloom filter of 2^bits bits."""
+    return [(keys >> np.uint64(64 - bits)), (keys * _ONE) >> np.uint64(64 - bits), (keys * _TWO) >> np.uint64(64 - bits)]
+
 
-    def __init__(self, items: list[tuple[int, str]], window: int, radius: int) -> None:
-        self.window, self.radius = window, radius
-        known, seen = _Words(), {}
-        for item_id, text in items:
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) to item_id, passage (a window's words), print."""
+    known = _Words()
+    for batch in batches:
+        ids, passages, prints = [], [], []
+        for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = words_of(text or "")
             if len(words) < window:
                 continue
-            prints = fingerprints(known.bits(words), window)
-            for i, fp in enumerate(prints):
-                at = tuple(words[i : i + window])
-                seen.setdefault(at, (fp, set()))[1].add(item_id)
-        self.windows = list(seen)
-        self.items = [sorted(v[1]) for v in seen.values()]
-        self.prints = np.array([v[0] for v in seen.values()], np.uint64)
-        self.blocks = []
-        for shift, mask in block_masks(radius):
-            keys = (self.prints >> shift) & mask
-            order = np.argsort(keys, kind="stable")
-            # a bitmap of 2^22 bits' worth of key prefixes turns most windows away before the binary search
-            bits = min(22, int(mask).bit_length())
-            bitmap = np.zeros(1 << bits, bool)
-            bitmap[self._short(keys, bits)] = True
-            self.blocks.append((shift, mask, keys[order], order, bits, bitmap))
-
-    @staticmethod
-    def _short(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(position in prints, item window) of all pairs that differ in at most radius bits."""
-        if not len(self.prints):
-            return
-        for shift, mask, keys, order, bits, bitmap in self.blocks:
-            own = (prints >> shift) & mask
-            at = np.flatnonzero(bitmap[self._short(own, bits)])
-            left, right = (np.searchsorted(keys, own[at], side) for side in ("left", "right"))
-            sizes = right - left
-            who = np.repeat(at, sizes)
-            offsets = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            other = order[np.repeat(left, sizes) + offsets]
-            near = np.bitwise_count(prints[who] ^ self.prints[other]) <= self.radius
-            yield from zip(who[near].tolist(), other[near].tolist())
-
-
-def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex, similarity: float) -> Iterator[pa.RecordBatch]:
-    known, window = _Words(), index.window
+            own = [" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
+            ids += [item_id] * len(own)
+            passages += own
+            prints.append(fingerprints(known.bits(words), window))
+        flat = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+        columns = [pa.array(ids, pa.int64()), pa.array(passages, pa.string()), pa.array(flat.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "passage", "print"])
+
+
+def _places(batches: Iterator[pa.RecordBatch], radius: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = block_keys(batch.column(0).to_numpy().view(np.uint64), radius).ravel()
+        at = np.unique(np.concatenate(filter_places(keys, bits)))
+        words, which = np.unique(at >> np.uint64(6), return_inverse=True)
+        masks = np.zeros(len(words), np.uint64)
+        np.bitwise_or.at(masks, which, np.uint64(1) << (at & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
+
+
+def item_filter(windows: DataFrame, radius: int) -> np.ndarray:
+    """A Bloom filter of the item windows' block keys, put together by the tasks; 16 bits a key, but never more than
+    2^FILTER_BITS bits, whatever the number of items. windows: print."""
+    keys = windows.count() * (radius + 2) * (radius + 1) // 2
+    bits = min(FILTER_BITS, max(16, int(16 * keys).bit_length()))
+    made = windows.select("print").mapInArrow(lambda it: _places(it, radius, bits), "word bigint, mask bigint")
+    found = made.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return out.view(np.uint64)
+
+
+def _probe(batches: Iterator[pa.RecordBatch], known_keys: np.ndarray, window: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to the different doc_id, passage, print of the windows that share a key with an item's, as far as
+    the filter tells."""
+    known, bits = _Words(), len(known_keys).bit_length() + 5
 
     def search(ids: list[int], texts: list[list[str]]) -> pa.RecordBatch:
         words = [w for t in texts for w in t]
-        sizes = np.array([len(t) for t in texts])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        found = set()
-        if len(words) >= window:
-            prints = fingerprints(known.bits(words), window)
-            inside = np.flatnonzero(owner[: len(prints)] == owner[window - 1 :])
-            for i, j in index.candidates(prints[inside]):
-                start = int(inside[i])
-                pair = {(ids[owner[start]], item) for item in index.items[j]}
-                if pair <= found:
-                    continue
-                here, there = words[start : start + window], index.windows[j]
-                same = tuple(here) == there
-                if same or (similarity < 1 and shingle_similarity(here, list(there)) >= similarity):
-                    found |= pair
-        docs, items = zip(*sorted(found)) if found else ((), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"]
-        )
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        prints = fingerprints(known.bits(words), window)
+        inside = np.flatnonzero(owner[: len(prints)] == owner[window - 1 :])
+        keys = block_keys(prints[inside], radius)
+        hit = np.zeros(len(inside), bool)
+        for row in keys:
+            at = np.arange(len(inside))
+            for number in range(3):
+                place = filter_places(row[at], bits)[number]
+                at = at[(known_keys[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+            hit[at] = True
+        found = {(ids[owner[i]], " ".join(words[i : i + window])): p for i, p in zip(inside[hit].tolist(), prints[inside[hit]].view(np.int64).tolist())}
+        docs, passages = zip(*found) if found else ((), ())
+        columns = [pa.array(docs, pa.int64()), pa.array(passages, pa.string()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "passage", "print"])
 
     ids, texts, total = [], [], 0
     for batch in batches:
@@ -191,34 +198,64 @@ def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex, similarity: float
         yield search(ids, texts)
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(passage, print) to key, passage, print, once per key."""
+    for batch in batches:
+        for row in block_keys(batch.column(1).to_numpy().view(np.uint64), radius):
+            yield pa.RecordBatch.from_arrays([pa.array(row.view(np.int64)), *batch.columns], names=["key", "passage", "print"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        shown = [1.0 if a == b else shingle_similarity(a.split(" "), b.split(" ")) for a, b in pairs]
+        kept = pa.array([i for i, x in enumerate(shown) if x >= similarity], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(shown, pa.float64()).take(kept)], names=["here", "there", "similarity"]
+        )
+
+
 def leaked_passages(
-    docs: DataFrame, items: DataFrame, window: int = 12, radius: int = 2, similarity: float = 1.0
+    docs: DataFrame, items: DataFrame, window: int = 12, radius: int = 2, similarity: float = 0.8
 ) -> DataFrame:
-    """doc_id, item_id of every document that holds a window of an item. docs: doc_id, text. items: item_id, text."""
+    """doc_id, item_id, similarity (of their most similar windows), verbatim (whether the document holds a window of the
+    item word for word) of all pairs with windows whose fingerprints differ in at most radius bits and whose weighted
+    word pairs are at least so similar. docs: doc_id, text. items: item_id, text."""
     spark = docs.sparkSession
-    usable = items.where(F.col("text").isNotNull())
-    chars = usable.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    parts = max(1, -(-chars // ITEM_CHARS))
-    found = []
-    for part in range(parts):
-        own = usable if parts == 1 else usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        block = [(r.item_id, r.text) for r in own.select(F.col("item_id").cast("bigint"), "text").toLocalIterator()]
-        sent = spark.sparkContext.broadcast(ItemIndex(block, window, radius))
-        found.append(
-            docs.select(F.col("doc_id").cast("bigint"), "text")
-            .where(F.length("text") >= 2 * window - 1)
-            .mapInArrow(lambda it, sent=sent: _scan(it, sent.value, similarity), "doc_id bigint, item_id bigint")
-        )
-    return reduce(DataFrame.unionByName, found).distinct()
+    own = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
+    owners = materialize(own.mapInArrow(lambda it: _windows(it, window), "item_id bigint, passage string, print bigint"))
+    wanted = materialize(owners.select("passage", "print").distinct())
+    sent = spark.sparkContext.broadcast(item_filter(wanted, radius))
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.length("text") >= 2 * window - 1)
+    found = texts.mapInArrow(lambda it: _probe(it, sent.value, window, radius), "doc_id bigint, passage string, print bigint")
+    found = materialize(found)
+    # each different passage is looked up and verified once, however many documents hold it
+    schema = "key bigint, passage string, print bigint"
+    asked = found.select("passage", "print").distinct().mapInArrow(lambda it: _keyed(it, radius), schema).toDF("key", "here", "p")
+    held = wanted.mapInArrow(lambda it: _keyed(it, radius), schema).toDF("key", "there", "q")
+    near = asked.join(held, "key").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius).select("here", "there").distinct()
+    alike = materialize(near.mapInArrow(lambda it: _verified(it, similarity), "here string, there string, similarity double"))
+    pairs = found.select("doc_id", F.col("passage").alias("here")).distinct().join(alike, "here")
+    pairs = pairs.groupBy("doc_id", "there").agg(F.max("similarity").alias("similarity"), F.bool_or(F.col("here") == F.col("there")).alias("verbatim"))
+    named = pairs.join(owners.select("item_id", F.col("passage").alias("there")).distinct(), "there")
+    return named.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.bool_or("verbatim").alias("verbatim"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id: documents with at least 12 consecutive words of an item."""
+    """doc_id, item_id: documents with at least 12 consecutive words of an item; of the similar passages those that are
+    the same word for word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = leaked_passages(docs, spark.read.parquet(f"{sf_dir}/eval_item.parquet"))
+    return found.where("verbatim").select("doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity of documents with passages like an item's, verbatim or not."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return leaked_passages(docs, spark.read.parquet(f"{sf_dir}/eval_item.parquet"))
+    return leaked_passages(docs, spark.read.parquet(f"{sf_dir}/eval_item.parquet")).drop("verbatim")
 
 
-QUERIES = {"p9_found": p9_found}
+QUERIES = {"p9_found": p9_found, "p9_near": p9_near}
 SQL = {
     "p9_found": r"""
 with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),

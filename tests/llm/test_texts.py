@@ -161,6 +161,29 @@ def test_broken_texts_are_rejected(ext):
         assert not parsing.is_valid(text, ext, False), text
 
 
+@pytest.mark.parametrize("ext, open_, close", [("json", "[", "]"), ("py", "(", ")"), ("js", "[", "]"), ("ts", "(", ")"), ("jsx", "<a>", "</a>"), ("js", "`${", "}`"), ("yaml", "[", "]")])
+def test_nesting_of_any_depth(ext, open_, close):
+    name = {"json": "", "yaml": "a: "}.get(ext, "x = ")
+    inner = "" if open_ == "<a>" else "1"
+    text = name + open_ * 20_000 + "%s" + close * 20_000 + "\n"
+    assert parsing.is_valid(text % inner, ext, False)
+    broken = {"<a>": "</b>", "yaml": "a: b: c"}.get(open_ if open_ == "<a>" else ext, "1 2")
+    assert not parsing.is_valid(text % broken, ext, False)
+
+
+@pytest.mark.parametrize(
+    "ext, text, fine",
+    [
+        ("js", "x = `a ${b + 1} c ${`in ${d}`} `;", True), ("js", "x = `a ${b + } c`;", False), ("js", "x = `${}`;", False), ("js", "x = `${a`;", False),
+        ("jsx", "const a = <a>text {b.map(x => <i key={x}>{x}</i>)} it's</a>;", True), ("jsx", "const a = <a></b>;", False), ("jsx", "const a = <a>{b c}</a>;", False),
+        ("jsx", "const a = <><B {...p} q=\"1\" s={`t${u}`} v/></>;", True), ("tsx", "const f = <T,>(x: T) => <B<string> x={x} />;", True),
+        ("ts", "type A = `x${string}`;", True), ("ts", "type A = `x${string string}`;", False),
+    ],
+)
+def test_expressions_in_templates_and_markup(ext, text, fine):
+    assert parsing.is_valid(text, ext, False) == fine
+
+
 def test_where_it_stands():
     assert parsing.is_valid("    def m(self):\n        return 1\n", "py", True)
     assert parsing.is_valid("public int f() { return 1; }", "java", True) and not parsing.is_valid("public int f() { return 1; }", "java", False)
@@ -297,6 +320,9 @@ def test_encoding_round_trip(spark):
     back = {r.doc_id: r.text for r in encoding.decode_corpus(encoding.encode_corpus(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert encoding.encode_corpus(df.where("false")).count() == 0
+    again = spark.createDataFrame([(1, "hello"), (1, "text world"), (2, None), (2, "")], "doc_id bigint, text string")
+    coded = encoding.encode_corpus(again).unionByName(spark.createDataFrame([(3, None), (4, [70_000, -1, None])], "doc_id bigint, ids array<int>"))
+    assert sorted((r.doc_id, r.text) for r in encoding.decode_corpus(coded).collect()) == [(1, "hello"), (1, "text world"), (2, ""), (2, ""), (3, ""), (4, "")]
 
 
 def test_leaks_like_brute_force(spark):
@@ -316,22 +342,50 @@ def test_leaks_like_brute_force(spark):
     want = {(d, k) for d, t in docs.items() for w in [leaks.words_of(t or "")] for k, r in runs.items() if any(tuple(w[i : i + 12]) in r for i in range(len(w) - 11))}
     df = spark.createDataFrame([(k, t, 1) for k, t in docs.items()] + [(0, docs[0], 2)], "doc_id bigint, text string, item_id bigint")
     other = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
-    assert {tuple(r) for r in leaks.leaked_passages(df, other).collect()} == want and want
+    found = leaks.leaked_passages(df, other).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.verbatim} == want and want
+    assert all(r.similarity == 1.0 for r in found if r.verbatim)
     assert leaks.leaked_passages(df.where("false"), other).count() == leaks.leaked_passages(df, other.where("false")).count() == 0
 
 
-def test_fingerprint_radius():
+@pytest.mark.parametrize("radius", [0, 2, 5])
+def test_near_passages_like_brute_force(spark, radius):
     draw = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    items = {i: draw.choices(words, k=draw.randint(12, 25)) for i in range(12)}
+    docs = {}
+    for i in range(60):
+        part = list(items[i % 12])
+        # words that change places keep the fingerprint, other words change it a little
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randrange(len(part) - 1)
+            part[at], part[at + 1] = part[at + 1], part[at]
+        if draw.random() < 0.4:
+            part[draw.randrange(len(part))] = draw.choice(words)
+        docs[i] = draw.choices(words, k=10) + part + draw.choices(words, k=10)
     known = leaks._Words()
-    words = [f"w{draw.randrange(500)}" for _ in range(300)]
-    prints = leaks.fingerprints(known.bits(words), 12)
-    assert len(prints) == 289
-    index = leaks.ItemIndex([(1, " ".join(words))], 12, 2)
-    near = {int(p) ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for p in index.prints}
+    cut = lambda w: list(zip([w[i : i + 12] for i in range(len(w) - 11)], leaks.fingerprints(known.bits(w), 12).tolist()))
+    want = {}
+    for d, w in docs.items():
+        for k, v in items.items():
+            near = [leaks.shingle_similarity(a, b) for a, p in cut(w) for b, q in cut(v) if (p ^ q).bit_count() <= radius]
+            if near and max(near) >= 0.5:
+                want[d, k] = max(near)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id bigint, text string")
+    other = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leaked_passages(df, other, radius=radius, similarity=0.5).collect()}
+    assert got == want and any(x < 1 for x in want.values())
+
+
+def test_block_keys_meet_within_the_radius():
     import numpy as np
 
-    asked = np.array(sorted(near), np.uint64)
-    assert {i for i, _ in index.candidates(asked)} == set(range(len(asked)))
+    draw = random.Random(7)
+    for radius in (0, 1, 2, 4):
+        one = np.array([draw.getrandbits(64) for _ in range(200)], np.uint64)
+        other = np.array([int(x) ^ sum(1 << i for i in draw.sample(range(64), radius)) for x in one], np.uint64)
+        a, b = leaks.block_keys(one, radius), leaks.block_keys(other, radius)
+        assert (a == b).any(axis=0).all() and a.shape[0] == (radius + 2) * (radius + 1) // 2
 
 
 def brute_spans(docs: dict[int, str], length: int) -> set[tuple[int, int, int]]:
