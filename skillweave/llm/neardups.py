@@ -6,8 +6,12 @@ MinHash values step by step: after n values with m matches the similarity has th
 n - m + 1), and a pair is dropped as soon as the probability of reaching the threshold is below the
 tolerance. What is left is verified exactly on the sets.
 
-With the default 3 rows in 48 bands a pair at a similarity of 0.6 is proposed with probability 1 - 8e-6 and at
-0.8 with 1 - 1e-15; the tolerance of 1e-5 bounds the loss of the pruning.
+Rows and bands follow from the threshold and a recall target (``banding``): a pair at the threshold is proposed
+with at least that probability, more similar ones almost surely. The tolerance bounds the loss of the pruning.
+
+What moves: sets once, to their classes, which are kept in buckets; a key per band; pairs of class numbers.
+Pruning reads sketches of one byte a value, sets are read for the survivors only, and neither table is moved for
+that. A bucket of more than CROWD classes is not paired in one task: its classes meet block by block.
 
 Defined cases: null texts and texts of fewer than ``min_words`` words are no case. A repeated id counts once
 (its texts are taken to be equal; where they are not, each of them may link it). An empty table gives an
@@ -18,12 +22,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +34,12 @@ from skillweave.llm.spread import spread
 from skillweave.plans.materialize import materialize
 
 _WORDS = re.compile(r"[A-Za-z0-9_]+").findall
-ROWS, BANDS = 3, 48
-STEP = 16
+RECALL = 0.99999
+#: MinHash values of a sketch, one byte each, read in steps of STEP
+SKETCH, STEP = 64, 16
 TOLERANCE = 1e-5
+#: classes of a bucket that one task pairs at most
+CROWD = 1000
 BATCH_WORDS = 200_000
 #: bytes kept of a shingle's hash; two sets of a thousand shingles meet by chance once in 3e8 pairs
 WIDTH = 6
@@ -93,8 +99,9 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[
         raw = packed(flat)
         ends = np.concatenate([[0], np.cumsum(counts)]) * WIDTH
         sets = [raw[a:b] for a, b in zip(ends, ends[1:])]
-        keys = [xxhash.xxh3_128_digest(s) for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["id", "key", "shingles"])
+        # a class's number is its set's hash; of 1e9 classes two share one with a probability of 3 %
+        classes = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(classes), pa.array(sets, pa.binary())], names=["id", "class", "shingles"])
 
     ids, texts, total = [], [], 0
     for batch in batches:
@@ -122,13 +129,23 @@ def minhashes(flat: np.ndarray, sizes: np.ndarray, first: int, last: int) -> np.
     return out
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the classes: the number is (task, count), fixed once the table is written."""
-    count = TaskContext.get().partitionId() << 40
+def banding(threshold: float, recall: float = RECALL, most: int = 64) -> tuple[int, int]:
+    """(rows, bands) with which a pair at the threshold shares a band with probability recall: as many rows as most
+    bands allow, for few false candidates, but at least two."""
+    bands = lambda rows: ceil(log(1 - recall) / log(1 - threshold**rows))
+    rows = max([r for r in range(2, 13) if threshold == 1 or bands(r) <= most], default=2)
+    return (rows, 1) if threshold == 1 else (rows, bands(rows))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the low bytes of the first MinHash values."""
     for batch in batches:
-        numbers = pa.array(np.arange(count, count + batch.num_rows), pa.int64())
-        count += batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, numbers], names=["key", "shingles", "class"])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = part.column(1).to_pylist()
+            sizes = np.array([len(s) // WIDTH for s in sets])
+            raw = minhashes(unpacked(b"".join(sets)), sizes, 0, SKETCH).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in raw], pa.binary())], names=["class", "shingles", "sketch"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -147,6 +164,79 @@ def _banded(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterato
                 )
 
 
+def _paired(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, class), sorted by bucket, to the pairs a < b of each bucket's classes; the classes of a crowded bucket
+    come out as they are (a: bucket, b: class, crowded)."""
+    held_bucket, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = None  # the crowded bucket that is being read
+
+    def batch_of(a: np.ndarray, b: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowded))], names=["a", "b", "crowded"])
+
+    def pairs(buckets: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, none of them crowded."""
+        starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+        sizes = np.diff(np.r_[starts, len(buckets)])
+        # the members at distance k, for the buckets that have them
+        outs = []
+        for k in range(1, int(sizes.max(initial=1))):
+            starts, sizes = starts[sizes > k], sizes[sizes > k]
+            count = sizes - k
+            at = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
+            outs.append((classes[at], classes[at + k]))
+            if sum(len(x) for x, _ in outs) > 100_000:
+                x, y = (np.concatenate(z) for z in zip(*outs))
+                outs = []
+                yield batch_of(np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], False)
+        if outs:
+            x, y = (np.concatenate(z) for z in zip(*outs))
+            yield batch_of(np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], False)
+
+    def settle(buckets: np.ndarray, classes: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held_bucket, held, inside
+        if inside is not None:
+            own = int((buckets == inside).sum())
+            if own:
+                yield batch_of(buckets[:own], classes[:own], True)
+            buckets, classes = buckets[own:], classes[own:]
+            if len(buckets):
+                inside = None
+        if not len(buckets):
+            held_bucket, held = buckets, classes
+            return
+        starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+        sizes = np.diff(np.r_[starts, len(buckets)])
+        open_ = 0 if last else sizes[-1]
+        if open_ > crowd:
+            inside, open_ = buckets[-1], 0
+        cut = len(buckets) - open_
+        held_bucket, held = buckets[cut:], classes[cut:]
+        done = starts < cut
+        big = np.repeat(sizes[done] > crowd, sizes[done])
+        if big.any():
+            yield batch_of(buckets[:cut][big], classes[:cut][big], True)
+        yield from pairs(buckets[:cut][~big], classes[:cut][~big])
+
+    for batch in batches:
+        buckets = np.concatenate([held_bucket, batch.column(0).to_numpy()])
+        yield from settle(buckets, np.concatenate([held, batch.column(1).to_numpy()]), False)
+    yield from settle(held_bucket, held, True)
+
+
+def proposed(buckets: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Different pairs a, b (a < b) of classes that share a bucket. buckets: bucket, class."""
+    sorted_ = buckets.repartition("bucket").sortWithinPartitions("bucket")
+    found = materialize(sorted_.mapInArrow(lambda it: _paired(it, crowd), "a bigint, b bigint, crowded boolean"))
+    hot = found.where("crowded").select(F.col("a").alias("bucket"), F.col("b").alias("class"))
+    # every class of a crowded bucket is in one block and meets all blocks
+    blocks = hot.groupBy("bucket").agg(F.ceil(F.count("*") / crowd).cast("int").alias("blocks"))
+    both = hot.join(blocks, "bucket")
+    one = both.select("bucket", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.col("class").alias("a"))
+    other = both.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("class").alias("b"))
+    met = one.join(other, ["bucket", "block"]).where("a < b").select("a", "b")
+    return found.where("not crowded").select("a", "b").unionByName(met).distinct()
+
+
 def least_matches(threshold: float, tolerance: float, n: int) -> int:
     """The fewest matches in n values with which the posterior probability of reaching the threshold is at
     least the tolerance, under a uniform prior: P(Beta(m+1, n-m+1) >= t) = P(Bin(n+1, t) <= m)."""
@@ -158,34 +248,32 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
     return n + 1
 
 
-def _linked(
-    batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float, most: int
-) -> Iterator[pa.RecordBatch]:
-    """Bayesian pruning in steps of STEP values, each step computed only for the pairs that are left."""
-    limits = {n: least_matches(threshold, tolerance, n) for n in range(STEP, most + 1, STEP)}
+def _pruned(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Bayesian pruning in steps of STEP values, each step for the pairs that are left. a, b, and their sketches."""
+    # bytes of different values are equal once in 256
+    level = threshold + (1 - threshold) / 256
+    limits = {n: least_matches(level, tolerance, n) for n in range(STEP, SKETCH + 1, STEP)}
+    for batch in batches:
+        one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+        left, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        for n, least in limits.items():
+            matches[left] += (one[left, n - STEP : n] == other[left, n - STEP : n]).sum(axis=1)
+            left = left[matches[left] >= least]
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(left)) for i in (0, 1)], names=["a", "b"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar enough. a, b, and their sets."""
     for batch in batches:
         kept, scores = [], []
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            sets = [[unpacked(x) for x in part.column(i).to_pylist()] for i in (2, 3)]
-            left, matches = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
-            for n, least in limits.items():
-                if not len(left):
-                    break
-                a, b = (
-                    minhashes(np.concatenate([s[i] for i in left]), np.array([len(s[i]) for i in left]), n - STEP, n)
-                    for s in sets
-                )
-                matches[left] += (a == b).sum(axis=1)
-                left = left[matches[left] >= least]
-            for i in left.tolist():
-                x, y = sets[0][i], sets[1][i]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                # in whole numbers, the threshold is a short decimal
-                either = len(x) + len(y) - both
-                if both * 1_000_000 >= round(threshold * 1_000_000) * either:
-                    kept.append(at + i)
-                    scores.append(both / either)
+        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            x, y = unpacked(x), unpacked(y)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            either = len(x) + len(y) - both
+            # in whole numbers, the threshold is a short decimal
+            if both * 1_000_000 >= round(threshold * 1_000_000) * either:
+                kept.append(i)
+                scores.append(both / either)
         rows = pa.array(kept, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(scores, pa.float64())],
@@ -200,32 +288,35 @@ def near_duplicates(
     shingle: int = 5,
     threshold: float = 0.8,
     min_words: int = 5,
-    rows: int = ROWS,
-    bands: int = BANDS,
+    recall: float = RECALL,
     tolerance: float = TOLERANCE,
+    crowd: int = CROWD,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has id, class; links has a, b (classes, a < b), similarity.
 
     Records of one class have the same shingles. The pairs of records follow by joining both tables.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be in (0, 1]")
+    rows, bands = banding(threshold, recall)
     texts = df.where(F.col(text).isNotNull()).select(F.col(record_id).alias("id"), text)
-    sets = materialize(spread(texts).mapInArrow(lambda it: _sets(it, shingle, min_words), "id string, key binary, shingles binary"))
-    distinct = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    classes = materialize(distinct.mapInArrow(_numbered, "key binary, shingles binary, class bigint"))
-    members = sets.select("id", "key").join(classes.select("key", "class"), "key").select("id", "class").distinct()
+    sets = materialize(spread(texts).mapInArrow(lambda it: _sets(it, shingle, min_words), "id string, class bigint, shingles binary"))
+    members = sets.select("id", "class").distinct()
+    classes = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    classes = materialize(classes.mapInArrow(_sketched, "class bigint, shingles binary, sketch binary"), bucket_by="class")
     own = classes.select("class", "shingles")
-    buckets = own.mapInArrow(lambda it: _banded(it, rows, bands), "bucket bigint, class bigint")
-    one, other = buckets.toDF("bucket", "a"), buckets.toDF("bucket", "b")
-    pairs = materialize(one.join(other, "bucket").where("a < b").select("a", "b").distinct())
-    whole = pairs.join(own.toDF("a", "xa"), "a").join(own.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    links = whole.mapInArrow(
-        lambda it: _linked(it, threshold, tolerance, rows * bands), "a bigint, b bigint, similarity double"
-    )
+    pairs = proposed(own.mapInArrow(lambda it: _banded(it, rows, bands), "bucket bigint, class bigint"), crowd)
+    sketches = classes.select("class", "sketch")
+    seen = pairs.join(sketches.toDF("a", "xa"), "a").join(sketches.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    likely = materialize(seen.mapInArrow(lambda it: _pruned(it, threshold, tolerance), "a bigint, b bigint"))
+    whole = likely.join(own.toDF("a", "xa"), "a").join(own.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    links = whole.mapInArrow(lambda it: _verified(it, threshold), "a bigint, b bigint, similarity double")
     return materialize(members), materialize(links)
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """id_a, id_b of all pairs of different ids in one class or in linked classes, the smaller first."""
+    """id_a, id_b of all pairs of different ids in one class or in linked classes, the smaller first. A class of n
+    records has n^2 / 2 pairs: for results that ask for pairs; members and links tell the same in their own size."""
     one, other = members.toDF("id_a", "a"), members.toDF("id_b", "b")
     within = one.join(other, F.col("a") == F.col("b")).where("id_a < id_b").select("id_a", "id_b")
     across = links.select("a", "b").join(one, "a").join(other, "b").where("id_a != id_b")

@@ -186,6 +186,7 @@ class ScriptLexer(Lexer):
     _IN_TEXT = re.compile(r"[^<{]*")
     _OPEN, _CLOSE = re.compile(r"<\s*([\w.:$-]*)"), re.compile(r"</\s*([\w.:$-]*)\s*>")
     _ARGS = re.compile(r"<[^<>]*>")
+    _PLAIN, _QUOTED = re.compile(r"[^`{}\"']*"), re.compile(rf"{_STR}|{_CHR}")
     _GOES_ON = set(". , ; ) ] } ? : = == === != !== + - * / % & | ^ && || ?? => ?. < > <= >= ( [ ` += -= *= instanceof in of as satisfies is else catch finally extends implements".split())
 
     def __init__(self, *a: object, jsx: bool = False) -> None:
@@ -255,6 +256,32 @@ class ScriptLexer(Lexer):
             if not open_:
                 return i, "done"
 
+    def template_end(self, text: str, at: int) -> int:
+        """Index behind the template that begins at ``at``, by its quotes and braces alone, or -1."""
+        open_, i, n = ["`"], at + 1, len(text)
+        while open_ and i < n:
+            if open_[-1] == "`":
+                m = self._TEMPLATE.match(text, i)
+                if not m:
+                    return -1
+                i = m.end()
+                if m[1]:
+                    open_.append("{")
+                else:
+                    open_.pop()
+                continue
+            i = self._PLAIN.match(text, i).end()
+            c = text[i : i + 1]
+            if c in ("{", "`"):
+                open_.append(c)
+            elif c == "}":
+                open_.pop()
+            elif c:
+                quoted = self._QUOTED.match(text, i)
+                i = quoted.end() - 1 if quoted else i
+            i += 1
+        return -1 if open_ else i
+
     def lex(self, text: str) -> tuple | None:
         if text.startswith("#!"):
             text = "//" + text[2:]

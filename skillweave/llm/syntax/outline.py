@@ -46,7 +46,7 @@ class _Outer:
             if script and k == lx.op_index:
                 operand = previous and (previous in ")]}" or previous[-1].isalnum() or previous[-1] in "_$\"'`/")
                 if token == "`":
-                    end = lx._template_end(text, at)
+                    end = lx.template_end(text, at)
                     if end < 0:
                         break
                 elif token in ("/", "/=") and not operand:

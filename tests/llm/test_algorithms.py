@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from skillweave.llm import caps, neardups, splitting, survivors
@@ -42,6 +44,20 @@ def test_matching_of_several_contributors(spark):
     assert {r.id for r in out if r.displaced_by is not None} == greedy(rows, limits)
 
 
+def test_chains_take_few_rounds(spark, monkeypatch):
+    """Each record shares a contributor of capacity 1 with the next: who stays is decided along the chain."""
+    rows = [(f"{i:04}", [f"c{i}", f"c{i + 1}"], 1 - i / 1000) for i in range(300)] + [("x", ["c7", "c9", "c200"], 0.9965), ("y", None, 1.0), ("z", ["c1", "c1"], 5.0)]
+    capacity = {f"c{i}": 2 if i == 150 else 1 for i in range(301)}
+    rounds = []
+    ranked = caps.rank_in_groups
+    monkeypatch.setattr(caps, "rank_in_groups", lambda *a: rounds.append(1) or ranked(*a))
+    df = spark.createDataFrame(rows, "id string, contributors array<string>, score double")
+    limits = spark.createDataFrame(list(capacity.items()), "contributor string, capacity bigint")
+    out = caps.cap_contributors(df, limits).collect()
+    assert {r.id for r in out if r.displaced_by} == greedy(rows, capacity)
+    assert len(rounds) <= 6
+
+
 def test_hot_contributor_and_ties(spark):
     rows = [(f"r{i:04}", ["hot"], 0.5) for i in range(900)] + [(f"s{i}", ["cold"], 0.1) for i in range(3)]
     capacities = spark.createDataFrame([("hot", 17), ("cold", 3)], "contributor string, capacity bigint")
@@ -158,6 +174,51 @@ def test_near_duplicates(spark):
     assert none[0].count() == none[1].count() == 0
 
 
+@pytest.mark.parametrize("crowd, size", [(3, 4), (10, 7), (1000, 1000)])
+def test_pairs_of_buckets(crowd, size):
+    draw = random.Random(crowd)
+    rows = sorted((draw.randrange(12) ** 2, draw.randrange(10**9)) for _ in range(150))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size])], names=["bucket", "class"]) for i in range(0, 150, size)]
+    out = [r for b in neardups._paired(iter(batches), crowd) for r in b.to_pylist()]
+    groups: dict[int, list[int]] = {}
+    for k, c in rows:
+        groups.setdefault(k, []).append(c)
+    small = {k: v for k, v in groups.items() if len(v) <= crowd}
+    want = sorted((min(x, y), max(x, y)) for v in small.values() for i, x in enumerate(v) for y in v[i + 1 :])
+    assert sorted((r["a"], r["b"]) for r in out if not r["crowded"]) == want
+    assert sorted((r["a"], r["b"]) for r in out if r["crowded"]) == sorted((k, c) for k, v in groups.items() if k not in small for c in v)
+
+
+def test_crowded_buckets_are_paired_in_blocks(spark):
+    rows = [(b, 10 * b + i) for b in (1, 2) for i in range(9)] + [(3, 11), (3, 12)]
+    df = spark.createDataFrame(rows, "bucket bigint, class bigint")
+    want = {(10 * b + i, 10 * b + j) for b in (1, 2) for i in range(9) for j in range(i + 1, 9)}
+    assert sorted(tuple(r) for r in neardups.proposed(df, 4).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8])
+def test_recall(spark, threshold):
+    """Pairs just above the threshold are found, whatever it is."""
+    draw = random.Random(11)
+    rows = []
+    n = 120
+    for i in range(150):
+        # n shared words in a row of others on both sides: sets of words, so that the similarity is set exactly
+        shared = [f"s{i}x{j}" for j in range(n)]
+        own = round(n * (1 / (threshold + 0.005) - 1) / 2)
+        for side in "ab":
+            rest = [f"{side}{i}x{j}" for j in range(own)]
+            words = shared + rest
+            draw.shuffle(words)
+            rows.append((f"{i}{side}", " ".join(words)))
+    df = spark.createDataFrame(rows, "data_id string, code string")
+    members, links = neardups.near_duplicates(df, "data_id", "code", shingle=1, threshold=threshold)
+    pairs = {tuple(r) for r in neardups.record_pairs(members, links).collect()}
+    assert len(pairs & {(f"{i}a", f"{i}b") for i in range(150)}) >= 0.99 * 150
+    rows, bands = neardups.banding(threshold)
+    assert 1 - (1 - threshold**rows) ** bands >= neardups.RECALL
+
+
 def test_pruning_bound():
     for n in (16, 64, 128):
         m = neardups.least_matches(0.6, 1e-5, n)
