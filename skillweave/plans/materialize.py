@@ -45,27 +45,19 @@ def upload(spark: SparkSession, local: str, path: str) -> None:
     system.copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
 
 
-def materialize(df: DataFrame, bucket_by: str = "") -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 
     The files survive the loss of an executor, are compressed and column-pruned on reading. They are removed by
-    ``release``, at the end of the ``scratch`` they were written in, or when the driver's JVM ends. With bucket_by the
-    table has as many buckets as there are shuffle partitions, and joins on that column do not move it.
+    ``release``, at the end of the ``scratch`` they were written in, or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    name = f"skillweave_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    writer = df.write.option("compression", "zstd")
-    if bucket_by:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        writer.bucketBy(buckets, bucket_by).option("path", path).format("parquet").saveAsTable(name)
-        out = spark.table(name)
-    else:
-        writer.parquet(path)
-        out = spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/skillweave-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     hadoop, system = _file_system(spark, path)
     system.deleteOnExit(hadoop)
     _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
     out._skillweave_path = path
     return out
 
@@ -78,7 +70,6 @@ def release(*tables: DataFrame) -> None:
 def _drop(paths: set[str]) -> None:
     for spark, path in [x for x in _written if x[1] in paths]:
         _written.remove((spark, path))
-        spark.sql(f"drop table if exists {path.rpartition('/')[2]}")
         hadoop, system = _file_system(spark, path)
         system.delete(hadoop, True)
         system.cancelDeleteOnExit(hadoop)
