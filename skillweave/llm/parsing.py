@@ -1,7 +1,7 @@
 """Source files that do not parse (problem 5).
 
-Every text is read by the grammars of all dialects its extension may mean (a header is C or C++); a text that
-every dialect rejects is flagged. The parser is a generalised LL recogniser, see ``syntax.gll``. A whole file
+Every text is read by the grammars of all dialects its extension may mean (a header is C or C++), which are one
+grammar and run together on one stack; a text that every dialect rejects is flagged. The parser is a generalised LL recogniser, see ``syntax.gll``. A whole file
 must derive from its dialect's file rule, a function or method from what may stand in a file or a class.
 
 Defined cases: null texts and unknown extensions are no case. An empty text is a valid file, except in JSON.
@@ -34,16 +34,11 @@ def is_valid(text: str, extension: str, piece: bool) -> bool:
     """Whether a dialect of the extension derives the text. piece: it stands inside a file or class."""
     from skillweave.llm.syntax.lexers import lexer
 
-    for dialect in DIALECTS[extension]:
-        reader = lexer(dialect)
-        grammar = reader.grammar
-        grammar.rest()
-        found = reader.lex(text)
-        if found is None:
-            continue
-        if grammar.accepts("Piece" if piece and "Piece" in grammar.rule_ids else "File", found):
-            return True
-    return False
+    reader = lexer("+".join(DIALECTS[extension]))
+    reader.grammar.rest()
+    found = reader.lex(text)
+    start = "Piece" if piece and "Piece" in reader.grammar.rule_ids else "File"
+    return found is not None and reader.grammar.accepts(start, found)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # ------------------------------------------------------------------ JavaScript and TypeScript
 
 _SCRIPT = r"""
@@ -517,3 +519,25 @@ FlowItem = (FlowNode FLOWKEY)? FlowNode? | FlowNode ;
 FlowNode = Props (PLAIN | STR | ALIAS | '[' (FlowItem (',' FlowItem)* ','?)? ']' | '{' (FlowItem (',' FlowItem)* ','?)? '}') ;
 """
 YAML = (YAML_TEXT, ["File"], "", "")
+
+
+def together(*dialects: tuple[str, tuple]) -> tuple:
+    """One grammar whose File and Piece derive what any dialect's do: all are read at once on one graph-structured
+    stack. Each dialect has a prefix for its rules; what is a word of the others only is an identifier to it."""
+    word = re.compile(r"'[^']*'|[A-Za-z_]\w*")
+    quoted = {p: {w[1:-1] for w in re.findall(r"'[A-Za-z_]\w*'", g[0])} for p, g in dialects}
+    texts, lists = [], []
+    for prefix, (text, _, contextual, own_lists) in dialects:
+        rules = set(re.findall(r"^(\w+) =", text, re.M))
+        free = {w for p, own in quoted.items() if p != prefix for w in own} - quoted[prefix] | set(contextual.split())
+        name = "(ID | " + " | ".join(f"'{w}'" for w in sorted(free)) + ")"
+        named = lambda m: f"{prefix}{m[0]}" if m[0] in rules else name if m[0] == "ID" else m[0]  # noqa: B023, E731
+        texts.append(word.sub(named, text))
+        lists += [prefix + x for x in own_lists.split()]
+    starts = ["File", "Piece"]
+    joint = "".join(f"{x} = {' | '.join(p + x for p, _ in dialects)} ;\n" for x in starts)
+    return joint + "".join(texts), starts, "", " ".join(lists)
+
+
+#: C as the lexer of C++ cuts it, in which >> is two tokens
+HEADER = together(("C", (C_TEXT.replace("'>>'", "'>' '>'"), *C[1:])), ("Cpp", CPP))

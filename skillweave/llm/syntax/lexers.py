@@ -700,8 +700,8 @@ def lexer(dialect: str) -> Lexer | YamlLexer:
     if dialect == "c":
         made = CLexer(G.C, r"", _C_OPS, r'(?:u8|[uUL])?' + _STR, r"(?:u8|[uUL])?" + _CHR, rf"{_SLASHES}|\\\r?\n", prefix="(?:u8|[uUL])")
         made.grammar.cutting(";", "else while", "if for while switch return break continue goto static extern const struct typedef int char void unsigned size_t".replace("while ", ""))
-    elif dialect == "cpp":
-        made = CppLexer(G.CPP, r"", _CPP_OPS, _RAW + r'(?:u8|[uUL])?' + _STR, r"(?:u8|[uUL])?" + _CHR, rf"{_SLASHES}|\\\r?\n", prefix="(?:u8|[uUL])?R?")
+    elif dialect in ("cpp", "c+cpp"):
+        made = CppLexer(G.CPP if dialect == "cpp" else G.HEADER, r"", _CPP_OPS, _RAW + r'(?:u8|[uUL])?' + _STR, r"(?:u8|[uUL])?" + _CHR, rf"{_SLASHES}|\\\r?\n", prefix="(?:u8|[uUL])?R?")
         made.grammar.cutting(";", "else while catch", "if for switch return break continue goto static inline auto std template namespace class struct using public private protected")
     elif dialect in ("javascript", "typescript"):
         grammar = G.JAVASCRIPT if dialect == "javascript" else G.TYPESCRIPT
