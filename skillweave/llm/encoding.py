@@ -3,7 +3,9 @@
 A global shuffle of distinct words. Texts are cut into pre-tokens by the tokenizer's pattern. Per block of
 documents the pre-tokens become positions in the block's word list (the explosion, pre-aggregated on the map
 side). The words of all blocks meet in one shuffle, each distinct word is encoded once, its ids are joined
-back to the blocks and the documents are put together by position. Decoding joins the token-byte table, row by row.
+back to the blocks and the documents are put together by position. The ids of the FREQUENT words that most blocks
+hold are broadcast for that, so that no word of the exchange is in more than a small part of the blocks. Decoding
+joins the token-byte table, row by row.
 
 Defined cases: a null or an empty text gives an empty list. Text that looks like a special token is ordinary
 text. A repeated doc_id gives as many rows. A text of any length is one document; blocks end after the
@@ -33,6 +35,8 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 BLOCK_CHARS = 4_000_000
+#: words whose ids are broadcast, of at most FREQUENT_CHARS characters each: 10 MB at most
+FREQUENT, FREQUENT_CHARS = 20_000, 64
 
 _BLOCK = pa.schema(
     [
@@ -83,9 +87,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     coder = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks(path), special_tokens={})
     for batch in batches:
-        words = batch.column(0)
-        ids = [coder.encode_ordinary(w) for w in words.to_pylist()]
-        yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+        ids = [coder.encode_ordinary(w) for w in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +121,13 @@ def encode_corpus(
     )
     blocks = materialize(blocks)
     places = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    words = places.select("word").distinct().mapInArrow(lambda it: _encode(it, path), "word string, ids array<int>")
-    entries = places.join(words, "word").groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("entries")
-    )
+    counted = places.groupBy("word").agg(F.count("*").alias("n"))
+    words = materialize(counted.mapInArrow(lambda it: _encode(it, path), "word string, n bigint, ids array<int>"))
+    often = words.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(FREQUENT).drop("n")
+    often = F.broadcast(materialize(often))
+    seldom = places.join(often.select("word"), "word", "left_anti").join(words.drop("n"), "word")
+    found = places.join(often, "word").select("block", "pos", "ids").unionByName(seldom.select("block", "pos", "ids"))
+    entries = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("entries"))
     whole = blocks.select("block", "doc_ids", "lengths", "codes").join(entries, "block", "left")
     return whole.select("doc_ids", "lengths", "codes", "entries").mapInArrow(_assemble, "doc_id bigint, ids array<int>")
 
