@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillweave.llm.bloom import filter_of, passing
 from skillweave.llm.caps import repo_key
 from skillweave.llm.spread import spread
 from skillweave.plans.materialize import materialize
@@ -170,6 +171,17 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _known(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(unit, place, lines) to unit, place, line of the lines that pass the filter."""
+    for batch in batches:
+        lists = batch.column(2)
+        lines = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = passing(words, lines.view(np.uint64))
+        rows = pa.array(owner[at])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lines[at])], names=["unit", "place", "line"])
+
+
 def path_marks(path: Column) -> Column:
     mark = lambda pattern, bit: F.when(path.rlike(pattern), bit).otherwise(0)
     settings = F.lower(path).rlike(r"\.(json|ya?ml)$")
@@ -224,7 +236,11 @@ def not_handwritten(
         .groupBy("line")
         .agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("inside"))
     )
-    others = marked.where("marks = 0").select("unit", place, F.explode("lines").alias("line"))
+    index = materialize(index)
+    # only lines that may be in the index are exchanged
+    sent = df.sparkSession.sparkContext.broadcast(filter_of(index.select("line")))
+    others = marked.where("marks = 0").select("unit", place, "lines")
+    others = others.mapInArrow(lambda it: _known(it, sent.value), "unit bigint, place bigint, line bigint")
     hits = materialize(others.join(index, "line").where("first != place or last != place").drop("first", "last"))
     sizes = marked.where("marks = 0").select("unit", "id", F.size("lines").alias("size"))
     shared = hits.groupBy("unit").agg(F.count("*").alias("shared")).join(sizes, "unit")

@@ -28,11 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillweave.llm.bloom import filter_of, mixed, passing
 from skillweave.plans.materialize import materialize
 
-#: the filter's largest size is 2^28 bits, 32 MB
-FILTER_BITS = 28
-_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 MAX_WORDS = 1_000_000
 BATCH_WORDS = 100_000
 #: runs of letters and digits of any script
@@ -108,17 +106,10 @@ def block_keys(prints: np.ndarray, radius: int) -> np.ndarray:
     blocks = [(prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
     out = np.empty((len(blocks) * (len(blocks) - 1) // 2, len(prints)), np.uint64)
     for number, (i, j) in enumerate(combinations(range(len(blocks)), 2)):
-        key = (blocks[i] << np.uint64(32)) ^ blocks[j] ^ np.uint64(number + 1 << 58)
-        key = (key ^ (key >> np.uint64(31))) * _ONE
-        out[number] = (key ^ (key >> np.uint64(29))) * _TWO
+        out[number] = mixed((blocks[i] << np.uint64(32)) ^ blocks[j] ^ np.uint64(number + 1 << 58))
     return out
 
 
-def filter_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The places of keys in a Bloom filter of 2^bits bits."""
-    return [(keys >> np.uint64(64 - bits)), (keys * _ONE) >> np.uint64(64 - bits), (keys * _TWO) >> np.uint64(64 - bits)]
-
-
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(item_id, text) to item_id, passage (a window's words), print."""
     known = _Words()
@@ -137,32 +128,10 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(columns, names=["item_id", "passage", "print"])
 
 
-def _places(batches: Iterator[pa.RecordBatch], radius: int, bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = block_keys(batch.column(0).to_numpy().view(np.uint64), radius).ravel()
-        at = np.unique(np.concatenate(filter_places(keys, bits)))
-        words, which = np.unique(at >> np.uint64(6), return_inverse=True)
-        masks = np.zeros(len(words), np.uint64)
-        np.bitwise_or.at(masks, which, np.uint64(1) << (at & np.uint64(63)))
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
-
-
-def item_filter(windows: DataFrame, radius: int) -> np.ndarray:
-    """A Bloom filter of the item windows' block keys, put together by the tasks; 16 bits a key, but never more than
-    2^FILTER_BITS bits, whatever the number of items. windows: print."""
-    keys = windows.count() * (radius + 2) * (radius + 1) // 2
-    bits = min(FILTER_BITS, max(16, int(16 * keys).bit_length()))
-    made = windows.select("print").mapInArrow(lambda it: _places(it, radius, bits), "word bigint, mask bigint")
-    found = made.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[found.column("word").to_numpy()] = found.column("mask").to_numpy()
-    return out.view(np.uint64)
-
-
 def _probe(batches: Iterator[pa.RecordBatch], known_keys: np.ndarray, window: int, radius: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to the different doc_id, passage, print of the windows that share a key with an item's, as far as
     the filter tells."""
-    known, bits = _Words(), len(known_keys).bit_length() + 5
+    known = _Words()
 
     def search(ids: list[int], texts: list[list[str]]) -> pa.RecordBatch:
         words = [w for t in texts for w in t]
@@ -172,11 +141,7 @@ def _probe(batches: Iterator[pa.RecordBatch], known_keys: np.ndarray, window: in
         keys = block_keys(prints[inside], radius)
         hit = np.zeros(len(inside), bool)
         for row in keys:
-            at = np.arange(len(inside))
-            for number in range(3):
-                place = filter_places(row[at], bits)[number]
-                at = at[(known_keys[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
-            hit[at] = True
+            hit[passing(known_keys, row)] = True
         found = {(ids[owner[i]], " ".join(words[i : i + window])): p for i, p in zip(inside[hit].tolist(), prints[inside[hit]].view(np.int64).tolist())}
         docs, passages = zip(*found) if found else ((), ())
         columns = [pa.array(docs, pa.int64()), pa.array(passages, pa.string()), pa.array(list(found.values()), pa.int64())]
@@ -225,14 +190,14 @@ def leaked_passages(
     own = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
     owners = materialize(own.mapInArrow(lambda it: _windows(it, window), "item_id bigint, passage string, print bigint"))
     wanted = materialize(owners.select("passage", "print").distinct())
-    sent = spark.sparkContext.broadcast(item_filter(wanted, radius))
+    schema = "key bigint, passage string, print bigint"
+    held = wanted.mapInArrow(lambda it: _keyed(it, radius), schema).toDF("key", "there", "q")
+    sent = spark.sparkContext.broadcast(filter_of(held.select("key")))
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.length("text") >= 2 * window - 1)
     found = texts.mapInArrow(lambda it: _probe(it, sent.value, window, radius), "doc_id bigint, passage string, print bigint")
     found = materialize(found)
     # each different passage is looked up and verified once, however many documents hold it
-    schema = "key bigint, passage string, print bigint"
     asked = found.select("passage", "print").distinct().mapInArrow(lambda it: _keyed(it, radius), schema).toDF("key", "here", "p")
-    held = wanted.mapInArrow(lambda it: _keyed(it, radius), schema).toDF("key", "there", "q")
     near = asked.join(held, "key").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius).select("here", "there").distinct()
     alike = materialize(near.mapInArrow(lambda it: _verified(it, similarity), "here string, there string, similarity double"))
     pairs = found.select("doc_id", F.col("passage").alias("here")).distinct().join(alike, "here")
