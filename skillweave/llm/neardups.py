@@ -9,9 +9,10 @@ tolerance. What is left is verified exactly on the sets.
 Rows and bands follow from the threshold and a recall target (``banding``): a pair at the threshold is proposed
 with at least that probability, more similar ones almost surely. The tolerance bounds the loss of the pruning.
 
-What moves: sets once, to their classes, which are kept in buckets; a key per band; pairs of class numbers.
-Pruning reads sketches of one byte a value, sets are read for the survivors only, and neither table is moved for
-that. A bucket of more than CROWD classes is not paired in one task: its classes meet block by block.
+What moves: a key per band and class, once per task; pairs of class numbers; sketches of one byte a value for the
+classes in pairs, which the pruning reads; and the sets of the survivors. A Bloom filter of bounded size keeps the
+sketches and sets of all other classes where they are. A bucket of more than CROWD classes is not paired in one
+task: its classes meet block by block.
 
 Defined cases: null texts and texts of fewer than ``min_words`` words are no case. A repeated id counts once
 (its texts are taken to be equal; where they are not, each of them may link it). An empty table gives an
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillweave.llm.bloom import filter_of, passing
 from skillweave.llm.spread import spread
 from skillweave.plans.materialize import materialize
 
@@ -137,31 +139,48 @@ def banding(threshold: float, recall: float = RECALL, most: int = 64) -> tuple[i
     return (rows, 1) if threshold == 1 else (rows, bands(rows))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the low bytes of the first MinHash values."""
+def _once(batches: Iterator[pa.RecordBatch], words: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Numbers and sets of the classes that a task has not seen yet (of the last 300,000), in steps; of those that pass
+    a filter, if there is one."""
+    seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            sets = part.column(1).to_pylist()
-            sizes = np.array([len(s) // WIDTH for s in sets])
-            raw = minhashes(unpacked(b"".join(sets)), sizes, 0, SKETCH).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in raw], pa.binary())], names=["class", "shingles", "sketch"])
+            own = part.column(0).to_numpy()
+            rows = range(len(own)) if words is None else passing(words, own.view(np.uint64)).tolist()
+            rows = list({int(own[i]): i for i in rows if int(own[i]) not in seen}.values())
+            if len(seen) > 300_000:
+                seen.clear()
+            seen.update(own[rows].tolist())
+            if rows:
+                yield own[rows], part.column(1).take(pa.array(rows)).to_pylist()
+
+
+def _signed(sets: list[bytes], n: int) -> np.ndarray:
+    return minhashes(unpacked(b"".join(sets)), np.array([len(x) // WIDTH for x in sets]), 0, n)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """class and sketch, the low bytes of its first MinHash values."""
+    for classes, sets in _once(batches, words):
+        raw = _signed(sets, SKETCH).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array([r.tobytes() for r in raw], pa.binary())], names=["class", "sketch"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for classes, sets in _once(batches, words):
+        yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sets, pa.binary())], names=["class", "shingles"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = part.column(1).to_pylist()
-            sizes = np.array([len(s) // WIDTH for s in sets])
-            signature = minhashes(unpacked(b"".join(sets)), sizes, 0, rows * bands)
-            for band in range(bands):
-                total = np.full(len(sets), band, np.uint64)
-                for i in range(rows):
-                    total = _mixed(total * _M + signature[:, band * rows + i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(total.view(np.int64)), part.column(0)], names=["bucket", "class"]
-                )
+    """bucket (40 bits, for less to move) and class, a row per band."""
+    for classes, sets in _once(batches):
+        signature = _signed(sets, rows * bands)
+        for band in range(bands):
+            total = np.full(len(sets), band, np.uint64)
+            for i in range(rows):
+                total = _mixed(total * _M + signature[:, band * rows + i])
+            yield pa.RecordBatch.from_arrays([pa.array((total >> np.uint64(24)).view(np.int64)), pa.array(classes)], names=["bucket", "class"])
 
 
 def _paired(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
@@ -302,14 +321,22 @@ def near_duplicates(
     texts = df.where(F.col(text).isNotNull()).select(F.col(record_id).alias("id"), text)
     sets = materialize(spread(texts).mapInArrow(lambda it: _sets(it, shingle, min_words), "id string, class bigint, shingles binary"))
     members = sets.select("id", "class").distinct()
-    classes = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
-    classes = materialize(classes.mapInArrow(_sketched, "class bigint, shingles binary, sketch binary"), bucket_by="class")
-    own = classes.select("class", "shingles")
-    pairs = proposed(own.mapInArrow(lambda it: _banded(it, rows, bands), "bucket bigint, class bigint"), crowd)
-    sketches = classes.select("class", "sketch")
-    seen = pairs.join(sketches.toDF("a", "xa"), "a").join(sketches.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    own = sets.select("class", "shingles")
+    pairs = materialize(proposed(own.mapInArrow(lambda it: _banded(it, rows, bands), "bucket bigint, class bigint"), crowd))
+
+    def of_classes(some: DataFrame, read, schema: str) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+        """What read gives for the classes in some pairs, for either side of them."""
+        ends = some.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        sent = df.sparkSession.sparkContext.broadcast(filter_of(ends))
+        name = schema.split()[0]
+        found = own.mapInArrow(lambda it: read(it, sent.value), f"class bigint, {schema}").groupBy("class").agg(F.first(name).alias(name))
+        return found.toDF("a", "xa"), found.toDF("b", "xb")
+
+    one, other = of_classes(pairs, _sketched, "sketch binary")
+    seen = pairs.join(one, "a").join(other, "b").select("a", "b", "xa", "xb")
     likely = materialize(seen.mapInArrow(lambda it: _pruned(it, threshold, tolerance), "a bigint, b bigint"))
-    whole = likely.join(own.toDF("a", "xa"), "a").join(own.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    one, other = of_classes(likely, _chosen, "shingles binary")
+    whole = likely.join(one, "a").join(other, "b").select("a", "b", "xa", "xb")
     links = whole.mapInArrow(lambda it: _verified(it, threshold), "a bigint, b bigint, similarity double")
     return materialize(members), materialize(links)
 
