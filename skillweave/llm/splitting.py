@@ -4,9 +4,10 @@ Every item over the limit gets a table of boundaries: where an outermost declara
 begins, and inside over-long lines a code point every few hundred bytes. From a boundary the farthest legal
 end is the last declaration within the limit, else the last line, else the last code point; the next piece
 begins at the last boundary, a declaration if there is one, that leaves at least the overlap. That is the
-successor of every boundary, computed for all at once by range windows. Pointer doubling then squares the
-successor table: after k rounds it leads 2^k pieces ahead, and the set of cuts reached from the item's start
-doubles with it, so the greedy cuts of an item of n pieces take log2 n joins.
+successor of every boundary; a text's boundaries are sorted, so that it is found by binary search, for all at
+once, where the text is read. Pointer doubling then squares the successor table: after k rounds it leads 2^k
+pieces ahead, and the set of cuts reached from the item's start doubles with it, so the greedy cuts of an item
+of n pieces take log2 n joins.
 
 Defined cases: null texts are no case, items up to the limit stay whole and are not returned. A repeated id
 counts once. Pieces are under the limit whatever the text holds. The overlap is at least the one asked for
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,65 +62,56 @@ def boundaries_of(text: str, language: str | None, step: int) -> tuple[list[int]
     return offsets, points, lines, kinds
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
-    names = ["id", "offset", "point", "line", "kind"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    for batch in batches:
-        for key, ext, text in zip(*(c.to_pylist() for c in batch.columns)):
-            dialects = DIALECTS.get(ext)
-            columns = boundaries_of(text, dialects[-1] if dialects else None, step)
-            data = [pa.array([key] * len(columns[0]), types[0])] + [pa.array(c, t) for c, t in zip(columns, types[1:])]
-            yield pa.RecordBatch.from_arrays(data, names=names)
+def successors(offsets: np.ndarray, kinds: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The end of the piece that begins at each boundary and the begin of the next one (-1 after the last piece).
+    offsets ascend, the last one is the item's end."""
+    total = offsets[-1]
+    by_kind = [offsets[kinds >= k] for k in (POINT, LINE, DECLARATION)]
 
+    def last(kind: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The last boundary of a kind from low to high, -1 where there is none."""
+        own = np.r_[-1, by_kind[kind]]
+        found = own[np.searchsorted(own, high, "right") - 1]
+        return np.where(found >= low, found, -1)
 
-def boundary_table(df: DataFrame, record_id: str, path: str, text: str, limit: int) -> DataFrame:
-    """id, offset, point, line, kind of every boundary of the items over limit bytes."""
-    known = df.select(F.col(record_id).cast("string").alias("id"), extension(F.col(path)).alias("ext"), F.col(text).alias("text"))
-    large = known.where(F.octet_length("text") > limit).groupBy("id").agg(F.max_by("ext", "text").alias("ext"), F.max("text").alias("text"))
-    table = large.mapInArrow(
-        lambda it: _bounded(it, max(8, limit // 8)), "id string, offset bigint, point bigint, line int, kind int"
-    )
-    # an end that is also a line's begin (a text that ends with a line end) is one boundary
-    return table.groupBy("id", "offset").agg(
-        F.min("point").alias("point"), F.min("line").alias("line"), F.max("kind").alias("kind")
-    )
+    high = offsets + limit - 1
+    far, line, point = (last(k, offsets + 1, high) for k in (DECLARATION, LINE, POINT))
+    # a cut at a declaration must still leave a piece of more than half the limit, or lines are used
+    end = np.where((far >= 0) & (far - offsets > limit // 2), far, np.where(line >= 0, line, point))
+    end = np.where(total - offsets < limit, total, end)
+    # the next begin: the last declaration in the half of the limit before end - overlap, else the last boundary
+    upto = end - overlap
+    low = np.maximum(upto - (limit // 2 - overlap), offsets + 1)
+    declared, line, point = (last(k, low, upto) for k in (DECLARATION, LINE, POINT))
+    then = np.where(declared >= 0, declared, np.where(line >= 0, line, np.where(point >= 0, point, end)))
+    return end, np.where(end < total, then, -1)
 
 
-def successors(bounds: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """bounds with end (offset) and next (offset, null for the last piece) of the piece that begins there."""
-    if not 0 <= overlap <= limit // 4:
-        raise ValueError("the overlap must be at most a quarter of the limit")
-    ordered = Window.partitionBy("id").orderBy("offset")
-    ahead = ordered.rangeBetween(1, limit - 1)
-    total = F.max("offset").over(Window.partitionBy("id"))
+_BOUNDS = "id string, offset bigint, point bigint, line int, kind int, end bigint, next bigint"
 
-    def last(kind: int) -> F.Column:
-        return F.max(F.when(F.col("kind") >= kind, F.col("offset"))).over(ahead)
 
-    # a cut at a declaration must still leave a piece of more than half the limit, or lines are used
-    far = F.when(last(DECLARATION) - F.col("offset") > limit // 2, last(DECLARATION))
-    ends = bounds.withColumn("total", total).withColumn(
-        "end", F.when(F.col("total") - F.col("offset") < limit, F.col("total")).otherwise(F.coalesce(far, last(LINE), last(POINT)))
-    )
-    ends = materialize(ends)
-    # the next begin: the last declaration in the half of the limit before end - overlap, else the last boundary
-    wanted = ends.where("end < total").select("id", "offset", "end", (F.col("end") - overlap).alias("upto"))
-    probes = bounds.select("id", F.col("offset").alias("at"), "kind").unionByName(
-        wanted.select("id", F.col("upto").alias("at"), F.lit(-1).alias("kind")).distinct()
-    )
-    back = Window.partitionBy("id").orderBy("at").rangeBetween(-(limit // 2 - overlap), 0)
-    found = probes.select(
-        "id", "at", "kind",
-        F.max(F.when(F.col("kind") == DECLARATION, F.col("at"))).over(back).alias("declared"),
-        F.max(F.when(F.col("kind") >= LINE, F.col("at"))).over(back).alias("lined"),
-        F.max(F.when(F.col("kind") >= POINT, F.col("at"))).over(back).alias("pointed"),
-    ).where("kind = -1")
-    found = found.groupBy("id", F.col("at").alias("upto")).agg(
-        F.max("declared").alias("declared"), F.max("lined").alias("lined"), F.max("pointed").alias("pointed")
-    )
-    ahead_of = [F.when(F.col(c) > F.col("offset"), F.col(c)) for c in ("declared", "lined", "pointed")]
-    nexts = wanted.join(found, ["id", "upto"]).select("id", "offset", F.coalesce(*ahead_of, F.col("end")).alias("next"))
-    return ends.join(nexts, ["id", "offset"], "left")
+def _bounded(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, ext, text in zip(*(c.to_pylist() for c in batch.columns)):
+            dialects = DIALECTS.get(ext)
+            offset, point, line, kind = (np.array(x, np.int64) for x in boundaries_of(text, dialects[-1] if dialects else None, max(8, limit // 8)))
+            # an end that is also a line's begin (a text that ends with a line end) is one boundary
+            if len(offset) > 1 and offset[-1] == offset[-2]:
+                offset, point, line, kind = offset[:-1], point[:-1], line[:-1], np.r_[kind[:-2], max(kind[-2:])]
+            end, then = successors(offset, kind, limit, overlap)
+            columns = [offset, point, line.astype(np.int32), kind.astype(np.int32), end]
+            data = [pa.array([key] * len(offset), pa.string()), *map(pa.array, columns), pa.array(then, mask=then < 0)]
+            yield pa.RecordBatch.from_arrays(data, names=["id", "offset", "point", "line", "kind", "end", "next"])
+
+
+def boundary_table(df: DataFrame, record_id: str, path: str, text: str, limit: int, overlap: int) -> DataFrame:
+    """id, offset, point, line, kind of every boundary of the items over limit bytes, with end and next (null for the
+    last piece) of the piece that begins there."""
+    if not 0 <= overlap <= limit // 4:
+        raise ValueError("the overlap must be at most a quarter of the limit")
+    known = df.select(F.col(record_id).cast("string").alias("id"), extension(F.col(path)).alias("ext"), F.col(text).alias("text"))
+    large = known.where(F.octet_length("text") > limit).groupBy("id").agg(F.max_by("ext", "text").alias("ext"), F.max("text").alias("text"))
+    return large.mapInArrow(lambda it: _bounded(it, limit, overlap), _BOUNDS)
 
 
 def reached(table: DataFrame) -> DataFrame:
@@ -137,10 +130,9 @@ def reached(table: DataFrame) -> DataFrame:
             return begins
 
 
-def piece_table(bounds: DataFrame, limit: int, overlap: int) -> DataFrame:
+def piece_table(bounds: DataFrame) -> DataFrame:
     """id, piece (from 1), pieces, line (of its first character), offset and end (bytes), first and last (code points)."""
-    table = materialize(successors(bounds, limit, overlap))
-    cuts = reached(table).join(table, ["id", "offset"])
+    cuts = reached(bounds).join(bounds, ["id", "offset"])
     point = bounds.select("id", F.col("offset").alias("end"), F.col("point").alias("last"))
     order = Window.partitionBy("id").orderBy("offset")
     return cuts.join(point, ["id", "end"]).select(
@@ -153,8 +145,8 @@ def split_items(
     df: DataFrame, record_id: str, path: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP
 ) -> DataFrame:
     """id, piece (from 1), pieces, line (of its first character), first and last (code points), text."""
-    bounds = materialize(boundary_table(df, record_id, path, text, limit))
-    cuts = piece_table(bounds, limit, overlap).drop("offset", "end")
+    bounds = materialize(boundary_table(df, record_id, path, text, limit, overlap))
+    cuts = piece_table(bounds).drop("offset", "end")
     whole = df.where(F.octet_length(text) > limit).groupBy(F.col(record_id).cast("string").alias("id")).agg(F.max(text).alias("_text"))
     return cuts.join(whole, "id").select(
         "id", "piece", "pieces", "line", "first", "last",
@@ -173,8 +165,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """data_id, line: where the outermost declarations of units over 12,000 bytes begin, told by the pieces: the
     declarations that begin in any of a unit's pieces, which cover it."""
     units = spark.read.parquet(f"{sf_dir}/source_unit.parquet")
-    bounds = materialize(boundary_table(units, "data_id", "relative_path", "code", LIMIT))
-    found = declarations_in_pieces(bounds, piece_table(bounds, LIMIT, OVERLAP))
+    bounds = materialize(boundary_table(units, "data_id", "relative_path", "code", LIMIT, OVERLAP))
+    found = declarations_in_pieces(bounds, piece_table(bounds))
     return found.select(F.col("id").alias("data_id"), "line").distinct()
 
 
