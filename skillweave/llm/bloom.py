@@ -1,6 +1,6 @@
 """Bloom filters of a fixed largest size, so that most rows without a partner never reach an exchange.
 
-A filter is put together by the tasks, 16 bits a key and never more than 2^MOST_BITS bits, whatever the number of
+A filter is put together by the tasks, 64 bits a key and never more than 2^MOST_BITS bits, whatever the number of
 keys; that is what is broadcast. With more keys than it is made for it lets more rows pass, and nothing else changes:
 what passes is joined on the keys themselves.
 """
@@ -41,7 +41,7 @@ def _masks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
 def filter_of(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
     """The filter of a bigint column, as 64-bit words; its size follows the number of rows."""
-    bits = min(most_bits, max(16, int(16 * keys.count()).bit_length()))
+    bits = min(most_bits, max(16, int(64 * keys.count()).bit_length()))
     found = keys.mapInArrow(lambda it: _masks(it, bits), "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[found.column("word").to_numpy()] = found.column("mask").to_numpy()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm.bloom import filter_of, mixed, passing
+from skillweave.llm.bloom import filter_of, kept, passing
 from skillweave.plans.materialize import materialize
 
 MAX_WORDS = 1_000_000
@@ -106,7 +106,7 @@ def block_keys(prints: np.ndarray, radius: int) -> np.ndarray:
     blocks = [(prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
     out = np.empty((len(blocks) * (len(blocks) - 1) // 2, len(prints)), np.uint64)
     for number, (i, j) in enumerate(combinations(range(len(blocks)), 2)):
-        out[number] = mixed((blocks[i] << np.uint64(32)) ^ blocks[j] ^ np.uint64(number + 1 << 58))
+        out[number] = (blocks[i] << np.uint64(32)) ^ blocks[j] ^ np.uint64(number << 58)
     return out
 
 
@@ -197,7 +197,7 @@ def leaked_passages(
     found = texts.mapInArrow(lambda it: _probe(it, sent.value, window, radius), "doc_id bigint, passage string, print bigint")
     found = materialize(found)
     # each different passage is looked up and verified once, however many documents hold it
-    asked = found.select("passage", "print").distinct().mapInArrow(lambda it: _keyed(it, radius), schema).toDF("key", "here", "p")
+    asked = found.select("passage", "print").distinct().mapInArrow(lambda it: kept(_keyed(it, radius), sent.value), schema).toDF("key", "here", "p")
     near = asked.join(held, "key").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius).select("here", "there").distinct()
     alike = materialize(near.mapInArrow(lambda it: _verified(it, similarity), "here string, there string, similarity double"))
     pairs = found.select("doc_id", F.col("passage").alias("here")).distinct().join(alike, "here")
