@@ -18,6 +18,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Whether c has nothing but white space; null stays null."""
+    return ~c.rlike("[^" + WS[1:])
+
+
 def words(c: Column) -> Column:
     """White-space separated words; null stays null."""
     return F.filter(F.split(c, WS + "+"), lambda x: x != "")

@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 
 from skillweave import sql_words as W
 from skillweave.functions import normalize
-from skillweave.functions.vocab import SCORES
+from skillweave.functions.vocab import SCORES, STAGES
 from skillweave.operators import decisions, parsing, purpose_index
 from skillweave.plans import prompts
 from skillweave.plans.config import Settings
 from skillweave.plans.materialize import materialize, shared_dir
 from skillweave.plans.models import ScriptedClient, check_endpoint
-from skillweave.plans.pipeline import check_output, summary_counters
+from skillweave.plans.pipeline import Pipeline, check_output, summary_counters
 from skillweave.plans.stages import Answers
 from skillweave.queries import (
-    _CLAMP, _DECISION, _HEX, _INFERRED, _MARKER, _NL, _SPACES, _TEST, Query, _bounded, _listed, inferred, scripted, table,
+    _CLAMP, _DECISION, _HEX, _INFERRED, _MARKER, _NL, _SPACES, _TEST, Query, _bounded, _listed, inferred, purpose_records, scripted, table,
 )
 from skillweave.sources import jsonl
 from skillweave.sources.repositories import read_repositories
@@ -446,6 +446,15 @@ def decision_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, path)
 
 
+@query(f"""select cast(row_number() over (order by purpose_id) as int) as line, '{{"purpose_id": "' || purpose_id || '", "support_count": ' || count(*) || '}}' as text
+    from ({_INFERRED}) where reason = '' group by purpose_id""")
+def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards as lines in the order of purpose_id."""
+    path = f"{shared_dir(spark)}/skillweave-{uuid.uuid4().hex}/cards.jsonl"
+    jsonl.write_lines(purpose_index.cards(inferred(spark, sf_dir)).select("support_count", "purpose_id"), path, ("purpose_id",))
+    return _numbered(spark, path)
+
+
 @query(f"select data_id, purpose_id, array_to_string(workflow, '|') as workflow, level is null as open_level from ({_INFERRED})")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as JSON lines by all tasks, read back as objects."""
@@ -492,6 +501,14 @@ def _made_file(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.concat(text, F.when(d % 4 == 0, F.lit("def broken(:\n")).otherwise(F.lit("")))
 
 
+def made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for every distinct data_id, its names and shape told by the id's digits."""
+    a, b, c, d = (F.conv(F.substring("data_id", i, 2), 16, 10).cast("int") for i in (1, 3, 5, 7))
+    return table(spark, sf_dir, "source_unit").select("data_id").distinct().select(
+        F.lit("made").alias("repo_name"), F.lit("").alias("repo_path"), F.concat("data_id", F.lit(".py")).alias("relative_path"), _made_file(a, b, c, d).alias("content")
+    )
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
@@ -520,10 +537,7 @@ from v
 @query(_UNITS_SQL)
 def python_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions, methods and what is nested, of Python files made of the units' ids; files that don't parse as wholes."""
-    a, b, c, d = (F.conv(F.substring("data_id", i, 2), 16, 10).cast("int") for i in (1, 3, 5, 7))
-    files = table(spark, sf_dir, "source_unit").select("data_id").distinct().select(
-        F.lit("made").alias("repo_name"), F.lit("").alias("repo_path"), F.concat("data_id", F.lit(".py")).alias("relative_path"), _made_file(a, b, c, d).alias("content")
-    )
+    files = made_files(spark, sf_dir)
     meta = [F.col(f"parser_metadata.{m}").alias(m) for m in ("class_name", "is_async", "parameters", "branches", "raises", "calls", "fallback")]
     own = parsing.parse_files(files)
     return own.select("data_id", "symbol", "unit_type", "line_start", "line_end", "interface", F.md5("code").alias("code"), *meta)
@@ -665,3 +679,64 @@ def repository_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read_repositories(spark, root, max_file_bytes=8000)
     return own.select("repo_name", "relative_path", F.coalesce("skip_reason", F.lit("")).alias("skip_reason"), F.coalesce(F.md5("content"), F.lit("")).alias("content"))
 
+
+# ------------------------------------------------------------------ the commands
+
+_INDEXED = f"""select 'cards' as artifact, count(distinct purpose_id) as lines from ({_INFERRED}) where reason = ''
+union all select 'cards_edges', count(*) from ({_INFERRED}) where reason = '' union all select 'cards_dropped', count(*) from ({_INFERRED}) where reason != ''"""
+
+
+def _lines_of(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    counts = [(name, spark.read.text(f"{folder}/{name}.jsonl").count()) for name in names]
+    return spark.createDataFrame(counts, "artifact string, lines bigint")
+
+
+@query(_INDEXED)
+def purpose_index_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the purpose-index command writes for the records as JSON lines."""
+    from skillweave.__main__ import index_purposes
+
+    folder = f"{shared_dir(spark)}/skillweave-{uuid.uuid4().hex}"
+    jsonl.write_table(purpose_records(spark, sf_dir), f"{folder}/records")
+    index_purposes(spark, f"{folder}/records", f"{folder}/cards.jsonl")
+    return _lines_of(spark, folder, ["cards", "cards_edges", "cards_dropped"])
+
+
+def _scripted_stage(stage: str, data_id: str, messages: list) -> object:
+    a, b, c = (int(data_id[i : i + 2], 16) for i in (0, 2, 4))
+    name = ["load alpha", "parse beta", "retry gamma"][b % 3]
+    return {
+        "source_tagging": {"keep_for_extraction": a >= 32, **{f"{s}_score": 0.75 for s in SCORES}},
+        "extraction": {"name": name, "summary": "word " * 20, "worth_extracting": True, "skill_value_score": 0.5, "workflow": ["one", "two"]},
+        "regeneration": "```python\npass\n```",
+        "equivalence": {"equivalent": b < 128, "reason": "said"},
+        "adjudication": {"keep": c < 128, "reason": "ruled"},
+        "feature_tagging": {"task_family": "validation", "transfer_title": name} if a % 8 else "no JSON",
+    }[stage]
+
+
+# a method's name says run before its skill says load, parse or retry, so that its purpose is another
+_RUN = f"""
+with u as (select data_id, unit_type, {_HEX.format(1)} as a, {_HEX.format(3)} as b, {_HEX.format(5)} as c from ({_UNITS_SQL})),
+s as (select *, a >= 32 and row_number() over (partition by a >= 32 order by data_id) <= 400 as selected from u),
+r as (select *, selected and (b < 128 or c < 128) as accepted from s)
+select unnest(['source_units', 'decisions', 'accepted_records', 'rejected_records', 'retrieval_records', 'purpose_edges', 'purpose_dropped', 'purpose_index', 'scan_skipped']) as artifact,
+  unnest([count(*), count(*), count(*) filter (where accepted), count(*) filter (where not accepted), count(*) filter (where accepted and a % 8 != 0),
+          count(*) filter (where accepted), 0, count(distinct (b % 3, a % 8 != 0, unit_type = 'method')) filter (where accepted), 0]) as lines
+from r
+"""
+
+
+@query(_RUN)
+def pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the Python files of python_units as one repository on disk, with a scripted model: the lines of every
+    artifact. More units pass the gate than a repository may keep."""
+    folder = f"{shared_dir(spark)}/skillweave-{uuid.uuid4().hex}"
+    root = folder.removeprefix("file://").removeprefix("file:")
+    files = made_files(spark, sf_dir).select("repo_name", "relative_path", "content")
+    git = spark.createDataFrame([("made", ".git/HEAD", "")], files.schema)
+    files.unionByName(git).mapInArrow(lambda it: _write_tree(it, f"{root}/in"), "n bigint").agg(F.sum("n")).collect()
+    client = ScriptedClient(dict.fromkeys(STAGES, _scripted_stage))
+    Pipeline(spark, Settings(model={"base_url": "none", "model": "scripted"}, pipeline={"store_full_traces": False}), client).run(f"{root}/in", f"{folder}/out", export=True)
+    names = "source_units decisions accepted_records rejected_records retrieval_records purpose_edges purpose_dropped purpose_index scan_skipped".split()
+    return _lines_of(spark, f"{folder}/out", names)
