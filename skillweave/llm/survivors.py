@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.functions.text import strip, with_aliases
+from skillweave.functions.text import is_blank, strip, with_aliases
 from skillweave.sql_words import ALIASES
 
 MICRO = 1_000_000
@@ -77,7 +77,9 @@ def survivors(
         .where(F.col("group").isNotNull())
         .select("group", "record_id", "at", "v.*")
     )
-    valid = F.col("value").isNotNull() & (strip(F.col("value")) != "")
+    # a value without a vote is only kept once a record, which then still counts as a member of its group
+    valid = ~F.coalesce(is_blank(F.col("value")), F.lit(True))
+    long = long.where(valid | ((F.col("field") == next(iter(fields))) & (F.col("part") == 0)))
     # repeated rows collapse first, partly before the exchange: a hot group moves one row per record and value
     once = long.groupBy("group", "field", "part", "key", "record_id").agg(
         F.max(F.when(valid, F.col("vote"))).alias("vote"), F.max("at").alias("at"), F.max("value").alias("value")
@@ -118,9 +120,8 @@ LISTS = ("workflow", "inputs", "outputs", "invariants", "error_cases")
 
 def filled(name: str) -> Column:
     if name in TEXTS:
-        return F.coalesce(strip(F.col(name)) != "", F.lit(False))
-    some = F.exists(F.col(name), lambda x: F.coalesce(strip(x) != "", F.lit(False)))
-    return F.coalesce(some, F.lit(False))
+        return ~F.coalesce(is_blank(F.col(name)), F.lit(True))
+    return F.coalesce(F.exists(F.col(name), lambda x: ~F.coalesce(is_blank(x), F.lit(True))), F.lit(False))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +135,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = spark.read.parquet(f"{sf_dir}/purpose_index.parquet")
     newest = F.lit(cards.agg(F.max("indexed_at")).first()[0]).cast("timestamp")
     me, at = F.col("card_id"), F.col("indexed_at")
-    title, summary = (F.when(filled(c), me) for c in TEXTS)
+    told = [filled(c).alias(f"has_{c}") for c in TEXTS + LISTS]
+    size = F.length(strip(F.col("transfer_summary"))).alias("size")
+    # a card without any filled field still stands for itself, with a vote of nothing
+    known = cards.select("card_id", "indexed_at", purpose_key().alias("purpose"), size, *told)
+    title, summary, *others = (F.when(F.col(f"has_{c}"), me) for c in TEXTS + LISTS)
     fields = {
-        "card_id": [FieldVote(me, filled(c).cast("int")) for c in TEXTS + LISTS],
+        "card_id": [FieldVote(me, F.lit(0)), *(FieldVote(x, F.lit(1)) for x in (title, summary, *others))],
         "title_card_id": FieldVote(title, F.lit(1), decay=recency(at, newest, 30.0, 0.0)),
-        "summary_card_id": FieldVote(summary, F.length(strip(F.col("transfer_summary")))),
+        "summary_card_id": FieldVote(summary, F.col("size")),
     }
-    out = survivors(cards, purpose_key(), me, at, fields).where("min_id < max_id")
+    out = survivors(known, F.col("purpose"), me, at, fields).where("min_id < max_id")
     return out.select(*[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).cast("bigint").alias(c) for c in fields])
 
 
