@@ -109,7 +109,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["key", "doc_id", "start", "before", "context"]
+    names = ["key", "doc_id", "start", "before", "context", "crowd"]
     reach = length - gram
     for batch in batches:
         rows: list[tuple] = []
@@ -117,7 +117,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             for hit in hits:
                 at = hit["pos"]
                 first = max(0, at - reach)
-                rows.append((hit["key"], doc_id, first, at - first, text[first : at + length]))
+                rows.append((hit["key"], doc_id, first, at - first, text[first : at + length], hit["crowd"]))
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=names)
                 rows = []
@@ -244,22 +244,19 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = 40, crowd: int
         "doc_id", F.struct("key", F.floor(F.col("place") / 2).cast("int").alias("pos"), "crowd").alias("hit")
     )
     by_doc = materialize(found.groupBy("doc_id").agg(F.collect_list("hit").alias("hits")))
-    schema = "key bigint, doc_id bigint, start bigint, before bigint, context string"
-
-    def around(some: DataFrame) -> DataFrame:
-        own = texts.join(some, "doc_id").select("doc_id", "text", "hits")
-        return own.mapInArrow(lambda it: _contexts(it, length, gram), schema)
-
-    few = by_doc.withColumn("hits", F.filter("hits", lambda h: h["crowd"] <= crowd)).where(F.size("hits") > 0)
-    many = by_doc.withColumn("hits", F.filter("hits", lambda h: h["crowd"] > crowd)).where(F.size("hits") > 0)
+    schema = "key bigint, doc_id bigint, start bigint, before bigint, context string, crowd bigint"
+    # texts move once, to their hits; what is around an anchor is written for both ways of comparing
+    own = texts.join(by_doc, "doc_id").select("doc_id", "text", "hits")
+    around = materialize(own.mapInArrow(lambda it: _contexts(it, length, gram), schema))
     spans = (
-        around(few)
+        around.where(F.col("crowd") <= crowd)
+        .drop("crowd")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(lambda it: _compare(it, length), "doc_id bigint, span_start bigint, span_end bigint")
     )
     # crowded anchors: equal contexts collapse first, so that copies of a text are hashed once
-    contexts = materialize(around(many))
+    contexts = around.where(F.col("crowd") > crowd).drop("crowd")
     same = ["key", "before", "context"]
     distinct = materialize(contexts.groupBy(*same).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")))
     size = F.length("context")
