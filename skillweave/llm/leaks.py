@@ -186,6 +186,8 @@ def leaked_passages(
     """doc_id, item_id, similarity (of their most similar windows), verbatim (whether the document holds a window of the
     item word for word) of all pairs with windows whose fingerprints differ in at most radius bits and whose weighted
     word pairs are at least so similar. docs: doc_id, text. items: item_id, text."""
+    if not 0 <= radius <= 9:
+        raise ValueError("the radius must be from 0 to 9")
     spark = docs.sparkSession
     own = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
     owners = materialize(own.mapInArrow(lambda it: _windows(it, window), "item_id bigint, passage string, print bigint"))

@@ -374,16 +374,20 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes}
-SQL = {
-    "p4_found": """
-with u as (select data_id, regexp_extract_all(any_value(code), '[A-Za-z0-9_]+') as w
+_SETS = """u as (select data_id, regexp_extract_all(any_value(code), '[A-Za-z0-9_]+') as w
            from source_unit where code is not null group by data_id),
 s as (select distinct data_id, lower(array_to_string(w[k:k+2], ' ')) as g
       from (select data_id, w, unnest(range(1, len(w) - 1)) as k from u where len(w) >= 30)),
 n as (select data_id, count(*) as n from s group by data_id),
-i as (select a.data_id as a, b.data_id as b, count(*) as common from s a join s b using (g) where a.data_id < b.data_id group by all)
-select i.a as data_id_a, i.b as data_id_b
-from i join n x on x.data_id = i.a join n y on y.data_id = i.b
-where common * 10 >= 6 * (x.n + y.n - common)
-"""
+i as (select a.data_id as a, b.data_id as b, count(*) as common from s a join s b using (g) where a.data_id < b.data_id group by all),
+p as (select i.a, i.b from i join n x on x.data_id = i.a join n y on y.data_id = i.b where common * 10 >= 6 * (x.n + y.n - common))"""
+SQL = {
+    "p4_found": f"with {_SETS} select a as data_id_a, b as data_id_b from p",
+    "p4_classes": f"""
+with {_SETS},
+k as (select data_id, min(data_id) over (partition by md5(shown)) as class from (select data_id, string_agg(g, '|' order by g) as shown from s group by data_id)),
+e as (select a, b from p union all select b, a from p),
+l as (select e.a as class, count(*) as links from e join k x on x.data_id = e.a join k y on y.data_id = e.b where x.class = e.a and y.class = e.b group by e.a)
+select k.data_id, k.class, coalesce(l.links, 0) as links from k left join l using (class)
+""",
 }

@@ -143,6 +143,25 @@ def test_pieces_cover_and_overlap(spark):
     assert splitting.split_items(empty, "data_id", "path", "code").count() == 0
 
 
+def test_declarations_are_read_off_the_pieces(spark):
+    body = "".join(f"def f{i}(x):\n    return x + {i}\n\n\n" for i in range(120))
+    df = spark.createDataFrame([("a", "p.py", body), ("b", "p.py", body[:300])], "data_id string, path string, code string")
+    bounds = splitting.boundary_table(df, "data_id", "path", "code", 1000, 100).cache()
+    pieces = splitting.piece_table(bounds)
+    found = splitting.declarations_in_pieces(bounds, pieces).collect()
+    assert {(r.id, r.line) for r in found} == {("a", 4 * i + 1) for i in range(120)}
+    # what begins in an overlap begins in two pieces
+    assert len(found) > 120 and {r.piece for r in found} == {r.piece for r in pieces.collect()}
+
+
+def test_successors_of_a_long_line():
+    import numpy as np
+
+    offsets, kinds = np.array([0, 40, 80, 120, 160, 200]), np.array([2, 0, 0, 0, 0, 2])
+    end, then = splitting.successors(offsets, kinds, 100, 20)
+    assert end.tolist() == [80, 120, 160, 200, 200, 200] and then.tolist() == [40, 80, 120, -1, -1, -1]
+
+
 def brute_pairs(texts: dict[str, str], size: int, threshold: float, least: int) -> set[tuple[str, str]]:
     import re
 
@@ -244,6 +263,16 @@ def test_survivors(spark):
     assert survivors.survivors(df.where("false"), F.col("grp"), F.col("record_id"), F.col("at"), fields).count() == 0
 
 
+def test_votes_of_parts_add_up(spark):
+    rows = [(1, "a", 1, 1, 0), (1, "b", 2, 0, 1), (1, "b", 3, 0, 1), (1, "b", 3, 0, 1), (1, "a", 4, 1, 1)]
+    df = spark.createDataFrame(rows, "g int, v string, id bigint, x int, y int")
+    votes = [survivors.FieldVote(F.col("v"), F.col("x")), survivors.FieldVote(F.col("v"), F.col("y"), decay=F.lit(0.25))]
+    at = F.lit(None).cast("timestamp")
+    assert survivors.survivors(df, F.col("g"), F.col("id"), at, {"v": votes}).first()["v"] == "a"
+    votes[1] = survivors.FieldVote(F.col("v"), F.col("y"), trust=F.lit(3.0))
+    assert survivors.survivors(df, F.col("g"), F.col("id"), at, {"v": votes}).first()["v"] == "b"
+
+
 def test_recency_halves(spark):
     now = dt.datetime(2026, 3, 1)
     df = spark.createDataFrame([(now,), (dt.datetime(2026, 1, 30),), (None,)], "at timestamp")

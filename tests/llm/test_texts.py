@@ -388,6 +388,23 @@ def test_block_keys_meet_within_the_radius():
         assert (a == b).any(axis=0).all() and a.shape[0] == (radius + 2) * (radius + 1) // 2
 
 
+@pytest.mark.parametrize("count", [0, 3, 20_000])
+def test_filters_lose_nothing(spark, count):
+    import numpy as np
+
+    from skillweave.llm import bloom
+
+    draw = np.random.default_rng(count)
+    keys = draw.integers(-(1 << 63), 1 << 63, count, np.int64)
+    other = draw.integers(-(1 << 63), 1 << 63, 50_000, np.int64).view(np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys], "key bigint")
+    for most, share in ((28, 0.01), (16, 1.0)):
+        words = bloom.filter_of(df, most)
+        assert len(words) * 64 <= 1 << most
+        assert len(bloom.passing(words, keys.view(np.uint64))) == count
+        assert len(bloom.passing(words, other)) <= share * len(other)
+
+
 def brute_spans(docs: dict[int, str], length: int) -> set[tuple[int, int, int]]:
     where: dict[str, set[int]] = {}
     for k, t in docs.items():
