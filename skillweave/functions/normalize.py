@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +30,11 @@ _NUMBERS = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$"
 _FLOAT = r"^[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?$"
 
 
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c computed once however often then reads it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def field(payload: Column, name: str) -> Column:
     return F.try_variant_get(payload, f"$.{name}", "variant")
 
@@ -75,14 +80,16 @@ def score(v: Column) -> Column:
 
 def as_text(v: Column) -> Column:
     """The text of a value; null, false, 0 and empty values are "", true is True, containers are their JSON."""
-    kind = _kind(v)
-    return F.coalesce(
-        F.when(kind == "STRING", _string(v))
-        .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")))
-        .when(kind.rlike(_NUMBERS), F.when(_double(v) != 0, _string(v)))
-        .when(kind.rlike("^(ARRAY|OBJECT)") & ~F.to_json(v).isin("[]", "{}"), F.to_json(v)),
-        F.lit(""),
-    )
+
+    def said(kind: Column) -> Column:
+        return (
+            F.when(kind == "STRING", _string(v))
+            .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")))
+            .when(kind.rlike(_NUMBERS), F.when(_double(v) != 0, _string(v)))
+            .when(kind.rlike("^(ARRAY|OBJECT)") & ~F.to_json(v).isin("[]", "{}"), F.to_json(v))
+        )
+
+    return F.coalesce(once(_kind(v), said), F.lit(""))
 
 
 def text(v: Column, n: int = 80) -> Column:
@@ -91,9 +98,14 @@ def text(v: Column, n: int = 80) -> Column:
 
 def string_list(v: Column, maximum: int, n: int = 25) -> Column:
     """A list's items as bounded texts, a text as a list of one, all else as an empty list."""
+    texts = F.try_variant_get(v, "$", "array<string>")
     items = F.transform(F.try_variant_get(v, "$", "array<variant>"), as_text)
-    own = F.when(_kind(v) == "STRING", F.array(_string(v))).when(_kind(v).startswith("ARRAY"), items)
-    return bounded_list(own, maximum, n)
+
+    def listed(kind: Column) -> Column:
+        # texts alone need no look at each
+        return F.when(kind == "ARRAY<STRING>", texts).when(kind == "STRING", F.array(_string(v))).when(kind.startswith("ARRAY"), items)
+
+    return bounded_list(once(_kind(v), listed), maximum, n)
 
 
 def _snake(x: Column) -> Column:
@@ -102,8 +114,7 @@ def _snake(x: Column) -> Column:
 
 def closed(v: Column, allowed: list[str], fallback: str) -> Column:
     """The value as a word of a closed vocabulary, or the fallback."""
-    said = _snake(text(v, 3))
-    return F.when(said.isin(allowed), said).otherwise(fallback)
+    return once(_snake(text(v, 3)), lambda said: F.when(said.isin(allowed), said).otherwise(fallback))
 
 
 def closed_list(v: Column, allowed: list[str], maximum: int) -> Column:
@@ -117,8 +128,7 @@ def closed_items(candidates: Column, allowed: list[str], maximum: int) -> Column
 
 
 def _choice(v: Column, allowed: list[str], fallback: str) -> Column:
-    said = F.lower(text(v, 1))
-    return F.when(said.isin(allowed), said).otherwise(fallback)
+    return once(F.lower(text(v, 1)), lambda said: F.when(said.isin(allowed), said).otherwise(fallback))
 
 
 def source_tag(p: Column) -> Column:
@@ -196,7 +206,12 @@ def fingerprint(fields: dict[str, Column]) -> Column:
 
 def features(p: Column) -> Column:
     own = feature_fields(p)
-    return F.struct(*[v.alias(k) for k, v in own.items()], fingerprint(own).alias("canonical_fingerprint"))
+
+    def printed(whole: Column) -> Column:
+        fields = {k: whole[k] for k in own}
+        return F.struct(*[v.alias(k) for k, v in fields.items()], fingerprint(fields).alias("canonical_fingerprint"))
+
+    return once(F.struct(*[v.alias(k) for k, v in own.items()]), printed)
 
 
 def _finite(value: object) -> object:

@@ -51,7 +51,7 @@ def normalised(answers: DataFrame, normaliser, name: str, error: str) -> DataFra
     """data_id, name (struct, null on failure), error ("" on success) of a stage's answers."""
     own = normalize.with_object(answers, "answer")
     failed = F.when(F.col("error") != "", F.col("error")).otherwise(F.col("object_error"))
-    value = normaliser(normalize.payload(F.col("object")))
+    value = normalize.once(normalize.payload(F.col("object")), normaliser)
     return own.select("data_id", F.when(F.col("object").isNotNull(), value).alias(name), failed.alias(error))
 
 

@@ -276,7 +276,7 @@ def features_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "domain_hints": F.col("inputs"), "retrieval_phrases": F.col("invariants"), "custom_tags": F.col("outputs"),
     }
     v = F.try_parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in payload.items()])))
-    own = table(spark, sf_dir, "purpose_index").select("card_id", normalize.features(v).alias("f"))
+    own = table(spark, sf_dir, "purpose_index").select("card_id", normalize.once(v, normalize.features).alias("f"))
     lists = [F.array_join(f"f.{c}", ",").alias(c) for c in ("capability_tags", "constraint_tags", "success_tags")]
     return own.select("card_id", "f.task_family", "f.interaction_pattern", *lists, F.col("f.canonical_fingerprint").alias("fingerprint")).distinct()
 

@@ -47,7 +47,7 @@ def query(sql: str = ""):  # noqa: ANN201
 
 
 def _of(payload: Column, normaliser) -> Column:  # noqa: ANN001
-    return normaliser(F.try_parse_json(payload)).alias("own")
+    return normalize.once(F.try_parse_json(payload), normaliser).alias("own")
 
 
 def _pick(cases: list[str | Column], at: Column) -> Column:
