@@ -12,14 +12,14 @@ over a collection. Lists of statements are cut after semicolons and blocks; a cu
 tried as a whole, so cutting never rejects.
 
 Notation: 'lit' is a token, UPPER a token class, Name a rule, NAME any word, with | * + ? and parentheses;
-what stands between '(' and ')' (or [ ] { } INDENT DEDENT, '${' }, TEMPLATE END, JSX END) is the bracket's content.
+what stands between '(' and ')' (or [ ] { } INDENT DEDENT, '${' }, TEMPLATE END, JSX END, FSTR END) is the bracket's content.
 """
 
 from __future__ import annotations
 
 import re
 
-PAIRS = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT", "${": "}", "TEMPLATE": "END", "JSX": "END"}
+PAIRS = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT", "${": "}", "TEMPLATE": "END", "JSX": "END", "FSTR": "END"}
 EOF = 0
 BASE = 10_000
 MOST = 400_000

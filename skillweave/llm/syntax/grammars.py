@@ -467,7 +467,7 @@ Param = ID (':' Expr)? ('=' Expr)? | '/' | '*' (ID (':' ('*'? Expr))?)? | '**' I
 Patterns = OpenPattern (',' OpenPattern)* ','? ;
 OpenPattern = '*' ID | Pattern ;
 Pattern = OnePattern ('|' OnePattern)* ('as' ID)? ;
-OnePattern = '-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | Dotted ('(' (PatternArg (',' PatternArg)* ','?)? ')')? | '(' Patterns? ')' | '[' Patterns? ']'
+OnePattern = '-'? NUM (('+' | '-') NUM)? | (STR | FSTR Fields END)+ | 'None' | 'True' | 'False' | Dotted ('(' (PatternArg (',' PatternArg)* ','?)? ')')? | '(' Patterns? ')' | '[' Patterns? ']'
            | '{' ((('-'? NUM | STR+ | Dotted | 'None' | 'True' | 'False') ':' Pattern | '**' ID) (',' (('-'? NUM | STR+ | Dotted | 'None' | 'True' | 'False') ':' Pattern | '**' ID))* ','?)? '}' ;
 PatternArg = (ID '=')? Pattern ;
 Stars = Star (',' Star)* ','? ;
@@ -487,7 +487,8 @@ Slice = '*' Expr | Named | Expr? ':' Expr? (':' Expr?)? ;
 Comp = ('async'? 'for' CompTargets 'in' Or ('if' 'not'* Condition)*)+ ;
 CompTargets = ('*'? Postfix) (',' '*'? Postfix)* ','? ;
 Condition = ID ':=' Or | Or | Lambda ;
-Atom = ID | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (Yield | Stars | Named Comp)? ')' | '[' (Stars | Star Comp)? ']'
+Fields = ('${' (Yield | Stars) '}')* ;
+Atom = ID | NUM | (STR | FSTR Fields END)+ | 'None' | 'True' | 'False' | '...' | '(' (Yield | Stars | Named Comp)? ')' | '[' (Stars | Star Comp)? ']'
      | '{' (Dict | Stars | Star Comp)? '}' ;
 Dict = DictItem (',' DictItem)* ','? | Expr ':' Expr Comp ;
 DictItem = Expr ':' Expr | '**' Expr ;

@@ -396,7 +396,76 @@ class ScriptLexer(Lexer):
 
 
 class PythonLexer(Lexer):
-    _LINE = re.compile(r"[ \t\f]*")
+    """Indentation as brackets; an f-string holds the tokens of its fields."""
+
+    _OPENED = re.compile(r"(\w*)(\"\"\"|'''|[\"'])")
+    _OUTSIDE = re.compile(r"[^{}\\]*")
+    _WITHIN = re.compile(r"[^{}()\[\]\"'!:=]*")
+    _CONVERTED = re.compile(r"![rsa]\s*(?=[:}])")
+    _SHOWN = re.compile(r"=\s*(?=[!:}])")
+
+    def _fields(self, literal: str) -> list[str] | None:
+        """The expressions in an f-string's fields, None if it is none."""
+        prefix, quote = self._OPENED.match(literal).groups()
+        text, raw = literal[len(prefix) + len(quote) : -len(quote)], "r" in prefix.lower()
+        found: list[str] = []
+        # how many fields' format specifications are open
+        at, depth, n = 0, 0, len(text)
+        while True:
+            at = self._OUTSIDE.match(text, at).end()
+            if at >= n:
+                return None if depth else found
+            c = text[at]
+            if c == "\\":
+                named = None if raw else re.compile(r"\\N\{[^}]*\}").match(text, at)
+                at = named.end() if named else at + (1 if raw else 2)
+            elif not depth and text[at + 1 : at + 2] == c:
+                at += 2
+            elif c == "}":
+                if not depth:
+                    return None
+                depth -= 1
+                at += 1
+            else:
+                begin = at + 1
+                at = self._expression_end(text, begin)
+                if at < 0 or not text[begin:at].strip():
+                    return None
+                found.append(text[begin:at])
+                shown = self._SHOWN.match(text, at)
+                at = shown.end() if shown else at
+                converted = self._CONVERTED.match(text, at)
+                at = converted.end() if converted else at
+                if text[at : at + 1] not in (":", "}"):
+                    return None
+                depth += text[at] == ":"
+                at += 1
+
+    def _expression_end(self, text: str, at: int) -> int:
+        """Index at which a field's expression ends, -1 if it has no end."""
+        depth = 0
+        while True:
+            at = self._WITHIN.match(text, at).end()
+            c = text[at : at + 1]
+            if not c:
+                return -1
+            if c in "\"'":
+                quoted = self._QUOTED.match(text, at)
+                if not quoted:
+                    return -1
+                at = quoted.end()
+                continue
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                if not depth:
+                    return at if c == "}" else -1
+                depth -= 1
+            elif not depth and (c == ":" or (c == "!" and text[at + 1 : at + 2] != "=")):
+                return at
+            elif not depth and c == "=" and text[at - 1] not in "=!<>" and self._SHOWN.match(text, at):
+                return at
+            at += 1
 
     def lex(self, text: str) -> tuple | None:
         if text.startswith("﻿"):
@@ -404,6 +473,7 @@ class PythonLexer(Lexer):
         g = self.grammar
         words, ops, group = self.words, self.op_ids, g.group
         nl, indent = g.term("NL"), g.term("INDENT")
+        self.hole, self.fstr = g.term("${"), g.term("FSTR")
         depth: list[tuple[str, list[int]]] = []
         blocks: list[tuple[int, list[int]]] = []
         out: list[int] = []
@@ -465,7 +535,15 @@ class PythonLexer(Lexer):
                     return None
                 out.append(self.num)
             elif k in (5, 6):
-                out.append(self.str)
+                if "{" not in m[0] and "}" not in m[0] or not set("fFtT") & set(self._OPENED.match(m[0])[1]):
+                    out.append(self.str)
+                    continue
+                found = self._fields(m[0])
+                inner = None if found is None else [self.lex(f"({x})") for x in found]
+                # a field is what stands between one pair of brackets and the line's end
+                if inner is None or any(not x or len(x) != 2 or x[0] < BASE for x in inner):
+                    return None
+                out.append(group(self.fstr, tuple(group(self.hole, g.groups[x[0] - BASE][1]) for x in inner)))
             else:
                 return None
         if depth or at != n:
@@ -729,6 +807,7 @@ def lexer(dialect: str) -> Lexer | YamlLexer:
         )
         made.grammar.cutting(";", "else", "let fn pub use impl struct enum mod trait if for while loop match return const static")
     elif dialect == "python":
+        PythonLexer._QUOTED = re.compile(_PY_STR)
         made = PythonLexer(G.PYTHON, r"", _PY_OPS, _PY_STR, r"(?!)", r"#[^\n]*|\\\r?\n", r"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?(?![\w])", prefix="[rRbBuUfFtT]{1,2}")
         made.grammar.cutting("NL", "INDENT elif else except finally", "")
     elif dialect == "json":

@@ -184,6 +184,25 @@ def test_expressions_in_templates_and_markup(ext, text, fine):
     assert parsing.is_valid(text, ext, False) == fine
 
 
+F_STRINGS = [
+    "{a}", "{a!r:>{w}} {b=} {c = !s} {{}}", "{}", "{a b}", "}", "{a!z}", "{a", "{d[\"k\"]} {f(1, b=2)}", "{a == b} {a != b} {a <= b}", "{(lambda x: x)(1)}", "{x:{y}.{z}}",
+    "{x:%Y-%m-%d}", "{a if b else c}", "{*a, b}", "{yield}", "{[i for i in a]}", "{a +}", "{{a}", "{a}}", "{a:{b c}}", "{a;b}", "{a)", "{a) + (b}", "{lambda x: 1}", "{a:=5}",
+    "{(a:=5)}", "{a,}", "{a[1:2]}", "{ {1: 2}[1] }", "{a!r }", "{await b}", "{a # c}", "{f\"{b}\"}", "{\"}\"}", "{a:}}", "{a!r:}", "{ }", "{=}", "{a==}", "{a=!r:^20}", "\\{a}\\n",
+]
+
+
+@pytest.mark.parametrize("body", F_STRINGS)
+@pytest.mark.parametrize("prefix", ["f", "rf", ""])
+def test_fields_of_f_strings_like_the_parser(prefix, body):
+    text = f"x = {prefix}'{body}' 'more'\n"
+    try:
+        ast.parse(text)
+        fine = True
+    except SyntaxError:
+        fine = False
+    assert parsing.is_valid(text, "py", False) == fine
+
+
 def test_where_it_stands():
     assert parsing.is_valid("    def m(self):\n        return 1\n", "py", True)
     assert parsing.is_valid("public int f() { return 1; }", "java", True) and not parsing.is_valid("public int f() { return 1; }", "java", False)
