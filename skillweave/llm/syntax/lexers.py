@@ -418,7 +418,8 @@ class PythonLexer(Lexer):
             c = text[at]
             if c == "\\":
                 named = None if raw else re.compile(r"\\N\{[^}]*\}").match(text, at)
-                at = named.end() if named else at + (1 if raw else 2)
+                # a backslash doesn't escape a brace
+                at = named.end() if named else at + (1 if raw or text[at + 1 : at + 2] in ("{", "}") else 2)
             elif not depth and text[at + 1 : at + 2] == c:
                 at += 2
             elif c == "}":
