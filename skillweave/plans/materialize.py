@@ -45,6 +45,29 @@ def upload(spark: SparkSession, local: str, path: str) -> None:
     system.copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
 
 
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """Makes one file of the part files of a folder, in the order of their partitions, over what is at path; each
+    part goes as soon as it is copied."""
+    source, held = _file_system(spark, folder)
+    target, system = _file_system(spark, path)
+    system.mkdirs(target.getParent())
+    system.setWriteChecksum(False)
+    found = [x.getPath() for x in held.listStatus(source)]
+    parts = sorted((x for x in found if x.getName().startswith("part-")), key=lambda x: (int(x.getName().split("-")[1]), x.getName()))
+    out = system.create(target, True)
+    try:
+        for part in parts:
+            own = held.open(part)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 16, False)
+            finally:
+                own.close()
+            held.delete(part, False)
+    finally:
+        out.close()
+    held.delete(source, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back.
 

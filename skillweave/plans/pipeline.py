@@ -16,6 +16,7 @@ from skillweave.functions.text import code_fence_stripped
 from skillweave.operators import decisions, parsing, purpose_index, selection
 from skillweave.plans import prompts
 from skillweave.plans.config import Settings
+from skillweave.plans.materialize import materialize, scratch
 from skillweave.plans.models import HttpClient, ModelClient
 from skillweave.plans.stages import Answers
 from skillweave.sources import jsonl
@@ -85,18 +86,16 @@ class Pipeline:
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     def scan(self, path: str) -> tuple[DataFrame, DataFrame]:
-        """(units, skipped) of all repositories under path."""
+        """(units, skipped) of all repositories under path; both are read off one table, so that files are read and
+        parsed once."""
         s = self.settings.scan
         files = read_repositories(
             self.spark, path, extensions=s.allowed_extensions, skip_dirs=s.skip_dirs,
             include_tests=s.include_tests, max_file_bytes=s.max_file_bytes,
         )
-        readable = files.where("skip_reason is null")
-        outcomes = parsing.parse_outcomes(readable, s.min_unit_lines, s.max_unit_bytes)
-        empty = outcomes.where("not parsed").withColumn("reason", F.lit("no_reusable_sized_unit"))
-        skipped = files.where("skip_reason is not null").withColumn("reason", F.col("skip_reason"))
-        named = ["repo_name", F.col("relative_path").alias("path"), "reason"]
-        return parsing.source_units(outcomes), skipped.select(*named).unionByName(empty.select(*named))
+        outcomes = materialize(parsing.parse_outcomes(files, s.min_unit_lines, s.max_unit_bytes))
+        skipped = outcomes.where("not parsed").select("repo_name", F.col("relative_path").alias("path"), "reason")
+        return parsing.source_units(outcomes), skipped
 
     def decide(self, units: DataFrame, work: str) -> DataFrame:
         """The decision table of units. Each stage sees the units that reached it; its answers are on disk before
@@ -163,8 +162,9 @@ class Pipeline:
         driver, one partition at a time."""
         root = absolute(output_dir or self.settings.output_dir)
         work = f"{root}/tables"
-        units, skipped = self.scan(path)
-        units, skipped = self._kept(units, f"{work}/source_units"), self._kept(skipped, f"{work}/scan_skipped")
+        with scratch():
+            units, skipped = self.scan(path)
+            units, skipped = self._kept(units, f"{work}/source_units"), self._kept(skipped, f"{work}/scan_skipped")
         decided = self.decide(units, work)
         accepted = decisions.accepted_records(decided)
         inferred = purpose_index.infer(accepted) if self.settings.pipeline.build_purpose_index else None

@@ -21,20 +21,25 @@ ANSWERS = "data_id string, stage string, request string, messages array<struct<r
 _TYPES = [("data_id", pa.string()), ("stage", pa.string()), ("request", pa.string())]
 _MESSAGES = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
 _SCHEMA = pa.schema([*_TYPES, ("messages", _MESSAGES), ("answer", pa.string()), ("error", pa.string())])
+#: answers that leave a task together
+ROWS = 200
 
 
 def _ask(
     batches: Iterator[pa.RecordBatch], client: ModelClient, stage: str, as_json: bool, full: bool
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            answer, error = None, ""
-            try:
-                answer = client.complete(stage, row["data_id"], row["messages"], as_json)
-            except Exception as e:  # noqa: BLE001 - whatever a client raises is the unit's error, not the job's
-                error = str(e) or type(e).__name__
-            said = {} if full else {"messages": None}
-            yield pa.RecordBatch.from_pylist([row | said | {"stage": stage, "answer": answer, "error": error}], _SCHEMA)
+        for at in range(0, len(batch), ROWS):
+            rows = []
+            for row in batch.slice(at, ROWS).to_pylist():
+                answer, error = None, ""
+                try:
+                    answer = client.complete(stage, row["data_id"], row["messages"], as_json)
+                except Exception as e:  # noqa: BLE001 - whatever a client raises is the unit's error, not the job's
+                    error = str(e) or type(e).__name__
+                said = {} if full else {"messages": None}
+                rows.append(row | said | {"stage": stage, "answer": answer, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
 class Answers:
@@ -51,15 +56,22 @@ class Answers:
     def ask(self, units: DataFrame, stage: str, messages: Column, client: ModelClient, as_json: bool = True) -> DataFrame:
         """data_id, answer, error for every row of units. Units that have an answer to the same messages from an
         earlier run are not asked again; failed calls are."""
-        out = units.select("data_id", messages.alias("messages")).dropDuplicates(["data_id"])
-        out = out.withColumn("request", F.sha2(F.to_json("messages"), 256)).select("data_id", "request", "messages")
+        once = units.dropDuplicates(["data_id"])
         known = self._known(stage)
+        if known is None:
+            # the units move, not the longer messages
+            once = once.repartition(self.concurrency)
+        out = once.select("data_id", messages.alias("messages"))
+        out = out.withColumn("request", F.sha2(F.to_json("messages"), 256)).select("data_id", "request", "messages")
         wanted = out
         if known is not None:
             wanted = out.join(known.where("error = ''").select("data_id", "request"), ["data_id", "request"], "left_anti")
-        asked = wanted.repartition(self.concurrency).mapInArrow(lambda it, full=self.full: _ask(it, client, stage, as_json, full), ANSWERS)
+            wanted = wanted.repartition(self.concurrency)
+        asked = wanted.mapInArrow(lambda it, full=self.full: _ask(it, client, stage, as_json, full), ANSWERS)
         asked.write.mode("append").parquet(f"{self.path}/{stage}")
         whole = self.spark.read.schema(ANSWERS).parquet(f"{self.path}/{stage}")
+        if known is None:
+            return whole.select("data_id", "answer", "error")
         own = whole.join(out.select("data_id", "request"), ["data_id", "request"], "left_semi")
         # an answer wins over an earlier error
         best = own.groupBy("data_id").agg(F.max_by(F.struct("answer", "error"), F.col("error") == "").alias("r"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions.text import strip
-from skillweave.plans.materialize import upload
+from skillweave.plans.materialize import join_parts, shared_dir, upload
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -52,17 +53,26 @@ def objects(df: DataFrame) -> Iterator[dict]:
     return (plain(r) for r in df.toLocalIterator(prefetchPartitions=True))
 
 
+def _line(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)
+
+
+def _write_parts(df: DataFrame, line: Callable[[Row], str], path: str) -> None:
+    """Rows go to Python as they would to the driver; Arrow takes longer over wide structs that are mostly null."""
+    parts = f"{shared_dir(df.sparkSession)}/skillweave-{uuid.uuid4().hex}"
+    df.rdd.map(line).saveAsTextFile(parts)
+    join_parts(df.sparkSession, parts, path)
+
+
 def write_lines(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
-    """One key-sorted object per line, in one file, for people and other tools. The driver holds one partition at a
-    time. For large results use write_table."""
-    rows = objects(df.orderBy(*order) if order else df)
-    write_text(df.sparkSession, (json.dumps(row, ensure_ascii=False, sort_keys=True, default=str) + "\n" for row in rows), path)
+    """One key-sorted object per line, in one file, for people and other tools. The executors write the lines, the
+    driver puts their files together. For large results use write_table."""
+    _write_parts(df.orderBy(*order) if order else df, lambda row: _line(plain(row)), path)
 
 
 def write_raw_lines(df: DataFrame, column: str, path: str, order: tuple[str, ...] = ()) -> None:
     """A column of finished JSON texts, normalised to key-sorted lines."""
-    rows = (df.orderBy(*order) if order else df).select(column).toLocalIterator()
-    write_text(df.sparkSession, (json.dumps(json.loads(r[0]), ensure_ascii=False, sort_keys=True) + "\n" for r in rows), path)
+    _write_parts((df.orderBy(*order) if order else df).select(column), lambda row: _line(json.loads(row[0])), path)
 
 
 def write_document(spark: SparkSession, value: object, path: str) -> None:

@@ -1,13 +1,14 @@
 """A Spark data source that lists and reads directories of repositories.
 
 Listing happens on the driver down to as many directories as there shall be input partitions; the executors walk
-what lies below them, guard and read. Cheap guards come first, so that skipped files are not read. Hadoop's own
-listing is not used because it hides names that begin with an underscore.
+what lies below them, guard and read. A directory of many files is several partitions. Cheap guards come first, so that
+skipped files are not read. Hadoop's own listing is not used because it hides names that begin with an underscore.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from skillweave.functions.guards import secret_marker
 from skillweave.functions.vocab import LANGUAGES, SKIP_DIRS, TEST_DIRS, TEST_ENDS, TEST_START
 
+#: files of one directory that are worth a partition
+SLICE = 1000
+
 SCHEMA = "repo_name string, repo_path string, relative_path string, size bigint, content string, skip_reason string"
 _ARROW = pa.schema(
     [(c, pa.string()) for c in ("repo_name", "repo_path", "relative_path")]
@@ -54,15 +58,21 @@ def test_path(relative: str) -> bool:
 
 @dataclass
 class Files(InputPartition):
-    """A part of a repository: a directory's own files, or all files below it (deep)."""
+    """A part of a repository: a directory's own files, or all files below it (deep). Of several slices it has the
+    files whose names' checksums fall to it, so that a file is in one slice whatever else comes and goes."""
 
     repo: str
     top: str
     deep: bool
+    slice: int = 0
+    slices: int = 1
 
     def __post_init__(self) -> None:
         super().__init__(f"{self.repo}/{self.top}")
 
+    def holds(self, name: str) -> bool:
+        return self.slices == 1 or zlib.crc32(os.fsencode(name)) % self.slices == self.slice
+
 
 class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
@@ -77,12 +87,21 @@ class RepositoryReader(DataSourceReader):
         return name not in self.skip_dirs and not name.startswith(".")
 
     def partitions(self) -> list[Files]:
-        """Directories are opened level by level until there are enough parts, so that one deep directory is many."""
+        """Directories are opened level by level until there are enough parts, so that one deep directory is many. The
+        files of an opened directory are cut into slices; each lists the whole directory, so they are a quarter of the
+        parts at most."""
         done, open_ = [], deque((str(repo), "") for repo in discover(self.path))
         while open_ and len(done) + len(open_) < self.least_parts:
             repo, top = open_.popleft()
-            done.append(Files(repo, top, False))
-            below = sorted(x.name for x in os.scandir(Path(repo, top)) if x.is_dir(follow_symlinks=False) and self._kept(x.name))
+            below, files = [], 0
+            for x in os.scandir(Path(repo, top)):
+                if not x.is_dir(follow_symlinks=False):
+                    files += 1
+                elif self._kept(x.name):
+                    below.append(x.name)
+            slices = max(1, min(-(-files // SLICE), self.least_parts // 4))
+            done.extend(Files(repo, top, False, i, slices) for i in range(slices))
+            below.sort()
             open_.extend((repo, f"{top}/{x}" if top else x) for x in below)
         return done + [Files(repo, top, True) for repo, top in open_]
 
@@ -90,7 +109,7 @@ class RepositoryReader(DataSourceReader):
         for current, dirs, files in os.walk(Path(part.repo, part.top)):
             dirs[:] = sorted(x for x in dirs if self._kept(x)) if part.deep else []
             for name in sorted(files):
-                if not name.startswith(".") and Path(name).suffix.lower() in self.extensions:
+                if not name.startswith(".") and part.holds(name) and Path(name).suffix.lower() in self.extensions:
                     yield Path(current, name)
 
     def _row(self, root: Path, path: Path) -> dict:
@@ -99,7 +118,8 @@ class RepositoryReader(DataSourceReader):
         if not self.include_tests and test_path(relative):
             return row | {"skip_reason": "test_file"}
         try:
-            if not path.resolve().is_relative_to(root.resolve()):
+            # only links lead out, as the walk follows none
+            if path.is_symlink() and not path.resolve().is_relative_to(root.resolve()):
                 return row | {"skip_reason": "path_escape"}
             size = path.stat().st_size
             if size > self.max_bytes:

@@ -638,12 +638,16 @@ PLANTED = {"_private/x.py": "x = 1\n", ".hidden.py": "x = 1\n", ".dot/x.py": "x
 
 
 def _write_tree(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    made: set[str] = set()
     for batch in batches:
         count = 0
         for repo, path, text in zip(*(c.to_pylist() for c in batch.columns)):
-            target = Path(root, repo, path)
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_bytes(text.encode("utf-8"))
+            target = os.path.join(root, repo, path)
+            if (folder := os.path.dirname(target)) not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            with open(target, "wb", buffering=0) as out:
+                out.write(text.encode("utf-8"))
             count += 1
         yield pa.RecordBatch.from_arrays([pa.array([count])], names=["n"])
 
